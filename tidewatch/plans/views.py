@@ -388,6 +388,39 @@ def index_columns(d) -> str:
     )
 
 
+# Indexes the workload templates meet: schema, table, index, columns.
+WORKLOAD_INDEXES = [
+    ("attendance", "parts", "ix_state", ["state"]),
+    ("ATTENDANCE", "Parts", "ix_tenant", ["tenant", "made", "name", "x"]),
+    ("shop", "cart", "ix_user", ["USER_ID"]),
+    ("attendance", "orders", "ix_note", ["note"]),
+    ("attendance", "stock", "ix_bin", ["bin", "other"]),
+    ("shop", "orders", "ix_cust", ["cust", "day"]),
+    ("attendance", "parts", "a_state", ["state", "tenant"]),
+    ("attendance", "parts", "b_state", ["state"]),
+]
+
+
+def workload_indexes(d) -> str:
+    """Those indexes on three of the four servers."""
+    n = len(WORKLOAD_INDEXES)
+
+    def pick(i: int) -> str:
+        return "CASE k " + " ".join(f"WHEN {j} THEN '{w[i]}'" for j, w in enumerate(WORKLOAD_INDEXES)) + " END"
+
+    def column(j: int) -> str:
+        cols = WORKLOAD_INDEXES[j][3]
+        return "CASE seq " + " ".join(f"WHEN {s + 1} THEN '{c}'" for s, c in enumerate(cols)) + " END"
+
+    columns = "CASE k " + " ".join(f"WHEN {j} THEN {column(j)}" for j in range(n)) + " END"
+    src = f"""SELECT DISTINCT concat('s', {d.text(f'p_partkey {d.div} {n} % 3')}) AS server, p_partkey % {n} AS k
+      FROM {d.table('part')}"""
+    return f"""
+    SELECT server, {pick(0)} AS schema, {pick(1)} AS table_, {pick(2)} AS index_, CAST(seq AS INT) AS seq,
+      {columns} AS column_, 1 AS non_unique
+    FROM ({d.series(src, '4', 'seq')}) e WHERE {columns} IS NOT NULL"""
+
+
 def index_usage(d) -> str:
     return f"""
     SELECT concat('s', {d.text(f'{_table_no(d)} % 4')}) AS server,
@@ -550,7 +583,7 @@ ALL = {
     f.__name__: f
     for f in (
         metrics, status_wide, status, servers, variables, processlist, trx, lock_waits, locks_new,
-        locks_old, metadata_locks, digests, digests_raw, samples_raw, index_columns, index_usage,
+        locks_old, metadata_locks, digests, digests_raw, samples_raw, index_columns, workload_indexes, index_usage,
         tables, constraints, catalog_columns, reports, replicas_new, replicas_old, statements, grid,
     )
 }
