@@ -1,5 +1,6 @@
 """Column functions: everything here is a JVM-side expression."""
 
+from tidewatch.functions.binding import let, pinned
 from tidewatch.functions.numbers import (
     fixed,
     is_number,
@@ -41,6 +42,7 @@ __all__ = [
     "is_number",
     "is_safe_ident",
     "is_sleeping",
+    "let",
     "lock_summary",
     "matches_needle",
     "number_text",
@@ -48,6 +50,7 @@ __all__ = [
     "parse_double",
     "parse_i64",
     "parse_u64",
+    "pinned",
     "saturating_sub",
     "short_digest",
     "statement_kind",

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidewatch.functions import fixed, fmt_duration, one_line, short_digest
 from tidewatch.operators.digests import RATIO_LIMIT, examined_per_sent
 from tidewatch.operators.indexes import TABLE, proper_prefixes
-from tidewatch.operators.shapes import statement_shape
+from tidewatch.operators.suggest import statement_shapes
 
 # Fixed values.
 MIN_UPTIME_SECS = 7 * 24 * 3600
@@ -222,9 +222,7 @@ def statement_findings(digests: DataFrame) -> DataFrame:
 
 def function_on_column(digests: DataFrame) -> DataFrame:
     """Columns a predicate wraps in a function, which no plain index serves."""
-    shaped = digests.where(F.col("count") >= MIN_EXECUTIONS).withColumn(
-        "shape", statement_shape(F.coalesce(F.col("digest_text"), F.col("text")))
-    )
+    shaped = statement_shapes(digests.where(F.col("count") >= MIN_EXECUTIONS))
     return shaped.select(
         "server", "text", "shape.table", F.explode("shape.wrapped_columns").alias("column")
     ).select(

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.binding import let
+
 # Reserved words that are not identifiers.
 KEYWORDS = [
     "SELECT", "FROM", "WHERE", "AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "BETWEEN", "ORDER",
@@ -31,11 +33,6 @@ ID = "`[^`]*`"
 COLUMN = rf"(?:{ID} \. )*`([^`]*)`"
 RANGE_OPS = [">", "<", ">=", "<=", "BETWEEN", "LIKE"]
 
-SHAPE = (
-    "struct<schema:string,table:string,equality:array<string>,range:string,"
-    "order_by:array<string>,wrapped_columns:array<string>>"
-)
-
 
 def _stored(name: Column) -> Column:
     return F.translate(name, _SPECIAL, _STORED)
@@ -74,7 +71,7 @@ def _fold_calls(clause: Column) -> Column:
     as many rounds as there are groups are always enough.
     """
     marked = F.regexp_replace(clause, rf"(?<!\. )({ID}) \(", "$1 {")
-    depth = F.length(clause) - F.length(F.replace(clause, F.lit("("), F.lit("")))
+    rounds = F.greatest(F.length(F.regexp_replace(clause, r"[^(]", "")), F.lit(1))
     first_arg = rf"(?:{COLUMN} |{_CALL}([^|{_END}]*)\|[^{_END}]*{_END} )?"
     call = rf"`([^`]*)` \{{ {first_arg}[^(){{]*\)"
 
@@ -82,7 +79,7 @@ def _fold_calls(clause: Column) -> Column:
         line = F.regexp_replace(line, call, f"{_CALL}$1|$2$3{_END}")
         return F.regexp_replace(line, r"\(([^(){]*)\)", "⟨$1⟩")
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), marked, close)
+    folded = F.aggregate(F.sequence(F.lit(1), rounds), marked, close)
     unclosed = rf"(?s)`([^`]*)` \{{ (?:{COLUMN} )?.*\z"
     return F.regexp_replace(folded, unclosed, f"{_CALL}$1|$2{_END} ")
 
@@ -91,79 +88,108 @@ def _names(line: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(line, F.lit(pattern), F.lit(group))
 
 
-def statement_shape(sql: Column) -> Column:
-    """Shape struct of a SELECT over one table, or NULL."""
-    line = token_line(sql)
-    source = F.regexp_extract(line, r"(?s)^.*? FROM (.*)\z", 1)
-    table_ref = rf"^`([^`]*)`(?: \. `([^`]*)`)? "
-    first = F.regexp_extract(source, table_ref, 1)
-    second = F.regexp_extract(source, table_ref, 2)
-    dotted = source.rlike(rf"^{ID} \. {ID} ")
-
-    clause = F.concat(
-        F.regexp_extract(
-            line, r"(?s)^.*? WHERE( .*?)(?: (?:ORDER|GROUP|LIMIT|HAVING) |\z)", 1
+def _table(source: Column) -> Column:
+    """Schema and table after FROM, or NULL when there is not exactly one."""
+    one = rf"^`([^`]*)` (?!\. )"
+    two = r"^`([^`]*)` \. `([^`]*)` "
+    dotted = source.rlike(two)
+    joined = rf"^{ID}(?: \. {ID})?(?: AS \S+| {ID})? , "
+    name = F.when(dotted, F.regexp_extract(source, two, 2)).otherwise(F.regexp_extract(source, one, 1))
+    return F.when(
+        (dotted | source.rlike(one)) & ~source.rlike(joined),
+        F.struct(
+            F.when(dotted, _restored(F.regexp_extract(source, two, 1))).alias("schema"),
+            _restored(name).alias("table"),
         ),
-        F.lit(" "),
-    )
-    folded = _fold_calls(clause)
-    predicate = rf"{COLUMN} (<=>|>=|<=|=|>|<|IN|BETWEEN|LIKE|IS(?! NOT)) "
-    preds = F.arrays_zip(
-        _names(folded, predicate, 1).alias("col"), _names(folded, predicate, 2).alias("op")
     )
-    is_range = lambda p: p["op"].isin(RANGE_OPS)
-    equal = F.transform(F.filter(preds, lambda p: ~is_range(p)), lambda p: p["col"])
-    # Only the first range column can use an index, and only if no equality
-    # before it already pins the column.
-    ranges = F.filter(
-        preds,
-        lambda p, i: is_range(p)
-        & ~F.exists(
+
+
+def _is_range(predicate: Column) -> Column:
+    return predicate["op"].isin(RANGE_OPS)
+
+
+def _predicates(folded: Column) -> Column:
+    """``(col, op)`` pairs in the order they are written."""
+    pattern = rf"{COLUMN} (<=>|>=|<=|=|>|<|IN|BETWEEN|LIKE|IS(?! NOT)) "
+    return F.arrays_zip(_names(folded, pattern, 1).alias("col"), _names(folded, pattern, 2).alias("op"))
+
+
+def _first_range(preds: Column) -> Column:
+    """Only the first range column can use an index, and only if no equality
+    written before it already pins the column."""
+
+    def usable(p: Column, i: Column) -> Column:
+        pinned_before = F.exists(
             F.slice(preds, F.lit(1), i),
-            lambda q: ~is_range(q) & (F.lower(q["col"]) == F.lower(p["col"])),
-        ),
-    )
-    ordering = F.regexp_extract(
-        line, rf"(?s)^.*? ORDER (?:BY )?((?:(?:{ID}(?: \. {ID})*|ASC|DESC|,) )*)", 1
-    )
-    call_follows = F.regexp_extract(
-        line, rf"(?s)^.*? ORDER (?:BY )?(?:(?:{ID}(?: \. {ID})*|ASC|DESC|,) )*(.)", 1
-    ).isin("(", ".")
-    sorted_by = _names(ordering, COLUMN, 1)
-    sorted_by = F.when(
-        call_follows, F.slice(sorted_by, F.lit(1), F.greatest(F.size(sorted_by) - 1, F.lit(0)))
-    ).otherwise(sorted_by)
-    wrapped = _names(folded, rf"{_CALL}[^|{_END}]*\|([^{_END}]+){_END}", 1)
-
-    judged = (
-        line.startswith(" SELECT ")
-        & ~F.contains(F.substring(line, 8, 2**31 - 1), F.lit(" SELECT "))
-        & ~F.contains(line, F.lit(" JOIN "))
-        & ~F.contains(line, F.lit(" UNION "))
-        & (F.regexp_extract(source, table_ref, 0) != "")
-        & (dotted | ~source.rlike(rf"^{ID} \. "))
-        & ~source.rlike(rf"^{ID}(?: \. {ID})?(?: AS \S+| {ID})? , ")
-        & ~F.contains(clause, F.lit(" OR "))
-        & (F.when(dotted, second).otherwise(first) != "")
-    )
+            lambda q: ~_is_range(q) & (F.lower(q["col"]) == F.lower(p["col"])),
+        )
+        return _is_range(p) & ~pinned_before
 
-    def restored(names: Column) -> Column:
-        return F.transform(dedupe(names), _restored)
+    return F.get(F.filter(preds, usable), F.lit(0))["col"]
 
-    return F.when(
-        judged,
-        F.struct(
-            F.when(dotted, _restored(first)).alias("schema"),
-            _restored(F.when(dotted, second).otherwise(first)).alias("table"),
-            restored(equal).alias("equality"),
-            _restored(F.get(ranges, F.lit(0))["col"]).alias("range"),
-            restored(sorted_by).alias("order_by"),
-            restored(wrapped).alias("wrapped_columns"),
-        ),
+
+def _order_columns(line: Column) -> Column:
+    """Sort columns up to the first thing that is not a plain column."""
+    item = rf"(?:{ID}(?: \. {ID})*|ASC|DESC|,) "
+    head = rf"(?s)^.*? ORDER (?:BY )?((?:{item})*)(.?)"
+
+    def columns(parts: Column) -> Column:
+        cols = _names(parts["items"], COLUMN, 1)
+        cut = parts["next"].isin("(", ".")
+        return F.when(cut, F.slice(cols, F.lit(1), F.greatest(F.size(cols) - 1, F.lit(0)))).otherwise(cols)
+
+    found = F.struct(
+        F.regexp_extract(line, head, 1).alias("items"), F.regexp_extract(line, head, 2).alias("next")
     )
+    return let(found, columns)
+
+
+def _restored_all(names: Column) -> Column:
+    return F.transform(let(names, dedupe), _restored)
+
+
+def statement_shape(sql: Column) -> Column:
+    """Shape struct of a SELECT over one table, or NULL."""
+    where = r"(?s)^.*? WHERE( .*?)(?: (?:ORDER|GROUP|LIMIT|HAVING) |\z)"
+    one_select = r"(?s)^ SELECT (?!.* (?:SELECT|JOIN|UNION) )"
+
+    def of_clause(table: Column, line: Column, folded: Column, preds: Column) -> Column:
+        equal = F.transform(F.filter(preds, lambda p: ~_is_range(p)), lambda p: p["col"])
+        wrapped = _names(folded, rf"{_CALL}[^|{_END}]*\|([^{_END}]+){_END}", 1)
+        return F.struct(
+            table["schema"].alias("schema"),
+            table["table"].alias("table"),
+            _restored_all(equal).alias("equality"),
+            _restored(_first_range(preds)).alias("range"),
+            _restored_all(_order_columns(line)).alias("order_by"),
+            _restored_all(wrapped).alias("wrapped_columns"),
+        )
+
+    def of_parts(p: Column, line: Column) -> Column:
+        judged = p["table"]["table"].isNotNull() & ~F.contains(p["clause"], F.lit(" OR "))
+        shape = let(
+            _fold_calls(p["clause"]),
+            lambda folded: let(
+                _predicates(folded), lambda preds: of_clause(p["table"], line, folded, preds)
+            ),
+        )
+        return F.when(judged, shape)
+
+    def of_line(line: Column) -> Column:
+        parts = F.struct(
+            _table(F.regexp_extract(line, r"(?s)^.*? FROM (.*)\z", 1)).alias("table"),
+            F.concat(F.regexp_extract(line, where, 1), F.lit(" ")).alias("clause"),
+        )
+        return F.when(line.rlike(one_select), let(parts, lambda p: of_parts(p, line)))
+
+    return let(token_line(sql), of_line)
 
 
 def candidate_index(shape: Column) -> Column:
     """Equality columns, then the range column, or else the sort columns."""
-    tail = F.when(shape["range"].isNotNull(), F.array(shape["range"])).otherwise(shape["order_by"])
-    return dedupe(F.concat(shape["equality"], tail))
+
+    def wanted(s: Column) -> Column:
+        tail = F.when(s["range"].isNotNull(), F.array(s["range"])).otherwise(s["order_by"])
+        return let(F.concat(s["equality"], tail), dedupe)
+
+    return let(shape, wanted)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.functions.binding import pinned
 from tidewatch.operators.digests import examined_per_sent
 from tidewatch.operators.shapes import candidate_index, statement_shape
 
@@ -44,9 +45,8 @@ def estimate_impact(digests: DataFrame) -> DataFrame:
 
 def statement_shapes(digests: DataFrame) -> DataFrame:
     """Digests with their shape; NULL where the statement cannot be judged."""
-    return digests.withColumn(
-        "shape", statement_shape(F.coalesce(F.col("digest_text"), F.col("text")))
-    )
+    text = F.coalesce(F.col("digest_text"), F.col("text"))
+    return pinned(digests, "shape", statement_shape(text))
 
 
 def _lower(columns: Column) -> Column:
@@ -56,6 +56,7 @@ def _lower(columns: Column) -> Column:
 def proposals(digests: DataFrame, min_executions: int = MIN_EXECUTIONS) -> DataFrame:
     """Digests with the index their shape wants and where it would go."""
     shaped = statement_shapes(digests.where(F.col("count") >= min_executions))
+    shaped = pinned(shaped, "columns", candidate_index(F.col("shape")))
     schema = F.coalesce(F.col("shape.schema"), F.nullif(F.col("schema"), F.lit("")))
     return (
         shaped.where(F.col("shape").isNotNull())
@@ -68,7 +69,7 @@ def proposals(digests: DataFrame, min_executions: int = MIN_EXECUTIONS) -> DataF
             impact_rank().alias("impact"),
             schema.alias("schema"),
             F.col("shape.table").alias("table"),
-            candidate_index(F.col("shape")).alias("columns"),
+            "columns",
         )
         .where((F.size("columns") > 0) & (F.coalesce(F.col("schema"), F.lit("")) != ""))
         .withColumn("key", _lower(F.col("columns")))
