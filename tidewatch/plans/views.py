@@ -575,7 +575,7 @@ def grid(d) -> str:
     return f"""
     SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat(' ', lang) ELSE lang END AS lang,
       source, n_chars,
-      CASE WHEN doc_id % 7 = 0 THEN concat('a|b\\c "', source, '" <i>&''', lang, '''</i>') ELSE text END AS text
+      CASE WHEN doc_id % 7 = 0 THEN concat('a|b', chr(92), 'c "', source, '" <i>&''', lang, '''</i>') ELSE text END AS text
     FROM {d.table('documents')}"""
 
 
