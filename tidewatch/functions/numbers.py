@@ -6,9 +6,12 @@ so every parse checks the text first and yields NULL when it does not fit.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+SPLIT = 134217729.0  # fixed value: 2^27 + 1, cuts a double in half
 U64 = "decimal(20,0)"
 U64_MAX = 18446744073709551615  # fixed value: largest unsigned 64-bit integer
 
@@ -38,9 +41,26 @@ def saturating_sub(a: Column, b: Column) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Text with ``digits`` decimals; ties go to the even digit."""
-    dec = c.cast("double").try_cast("decimal(38,12)")
-    return F.bround(dec, digits).cast(f"decimal(38,{digits})").cast("string")
+    """Text with ``digits`` decimals, rounded from the exact binary value.
+
+    What prints as a tie (3.255) is usually a little above or below it in
+    binary. The exact side comes from splitting the number into two halves
+    whose products with a small integer are exact; real ties go to even.
+    """
+    v = c.cast("double")
+    scale = 10**digits
+    dec = v.try_cast("decimal(38,12)")
+    below = F.floor(dec, F.lit(digits))
+    looks_tied = (dec - below) == F.lit(Decimal(5).scaleb(-digits - 1))
+    high = v * SPLIT - (v * SPLIT - v)
+    tie = F.round(below.cast("double") * scale) * 2 + 1
+    side = (high * (2 * scale) - tie) + (v - high) * (2 * scale)
+    rounded = (
+        F.when(looks_tied & (side < 0), below)
+        .when(looks_tied & (side > 0), below + F.lit(Decimal(1).scaleb(-digits)))
+        .otherwise(F.bround(dec, digits))
+    )
+    return rounded.cast(f"decimal(38,{digits})").cast("string")
 
 
 def number_text(c: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import lock_summary
+from tidewatch.functions import let, lock_summary, pinned
 
 REPORT_KEYS = ["server", "snapshot_ts"]
 
@@ -19,13 +19,9 @@ SECTION = (
     r"(?s)LATEST DETECTED DEADLOCK[^\n]*\n(?:[ \t]*-{4,}[ \t\r]*(?:\n|\z))*+"
     r"(.*?)(?:\n[ \t]*-{4,}[ \t\r]*(?=\n|\z)|\z)"
 )
-_NEXT_MARKER = r"(?=^[ \t]*\*\*\* |\z)"
-PARTY_BLOCK = rf"(?ms)^[ \t]*\*\*\* \([0-9]+\) [^\n]*TRANSACTION:.*?{_NEXT_MARKER}"
-HELD_BLOCK = rf"(?ms)^[ \t]*\*\*\* \(([0-9]+)\) [^\n]*HOLDS THE LOCK.*?{_NEXT_MARKER}"
-WAIT_BLOCK = rf"(?ms)^[ \t]*\*\*\* \(([0-9]+)\) [^\n]*WAITING FOR THIS LOCK.*?{_NEXT_MARKER}"
+MARKER = r"(?m)^[ \t]*\*\*\* "
 LOCK_LINE = r"(?m)^[ \t]*((?:RECORD LOCKS|TABLE LOCK)[^\n]*)"
-VICTIM = r"(?m)^[ \t]*\*\*\* (?!\([0-9]+\))[^\n]*WE ROLL BACK TRANSACTION[^\n]*\(([0-9]+)\)"
-STATEMENT = r"(?ms)^[ \t]*MySQL thread id [^\n]*\n(.*?)(?=^[ \t]*(?:RECORD LOCKS|TABLE LOCK)|\z)"
+IS_LOCK_LINE = r"^(?:RECORD LOCKS|TABLE LOCK)"
 NOT_STATEMENT = r"^(?:\z|TRANSACTION |mysql tables in use|MySQL thread id)|lock struct\(s\)"
 
 
@@ -61,47 +57,99 @@ def lock_of(raw: Column) -> Column:
     )
 
 
-def _locks_of(section: Column, block: str, index: Column) -> Column:
-    """Locks listed for party ``index`` under the markers ``block`` matches."""
-    blocks = F.filter(
-        _all(section, block), lambda b: F.regexp_extract(b, block, 1).try_cast("int") == index
-    )
-    lines = F.flatten(F.transform(blocks, lambda b: _all(b, LOCK_LINE, 1)))
+def _block(text: Column) -> Column:
+    """What follows one ``***`` marker: kind, party number and text."""
+    head = F.regexp_extract(text, r"^([^\n]*)", 1)
+
+    def of_number(n: Column) -> Column:
+        kind = (
+            F.when(n.isNull(), F.when(F.contains(head, F.lit("WE ROLL BACK TRANSACTION")), F.lit("victim")))
+            .when(F.contains(head, F.lit("TRANSACTION:")), F.lit("party"))
+            .when(F.contains(head, F.lit("HOLDS THE LOCK")), F.lit("holds"))
+            .when(F.contains(head, F.lit("WAITING FOR THIS LOCK")), F.lit("waiting"))
+        )
+        return F.struct(kind.alias("kind"), n.alias("index"), text.alias("text"))
+
+    number = F.regexp_extract(head, r"^\(([0-9]+)\)", 1)
+    return let(F.nullif(number, F.lit("")).try_cast("int"), of_number)
+
+
+def _of_kind(blocks: Column, kind: str) -> Column:
+    return F.filter(blocks, lambda b: b["kind"] == kind)
+
+
+def _locks_of(blocks: Column, kind: str, index: Column) -> Column:
+    """Locks listed for one party under its markers of one kind."""
+    own = F.filter(blocks, lambda b: (b["kind"] == kind) & (b["index"] == index))
+    lines = F.flatten(F.transform(own, lambda b: _all(b["text"], LOCK_LINE, 1)))
     return F.transform(lines, lambda raw: lock_of(_strip(raw)))
 
 
-def _party(section: Column, block: Column) -> Column:
-    index = F.regexp_extract(block, r"\(([0-9]+)\)", 1).try_cast("int")
-    head = F.regexp_extract(block, r"(?m)^[ \t]*(TRANSACTION [^\n]*)", 1)
-    thread = F.regexp_extract(block, r"(?m)^[ \t]*(MySQL thread id [^\n]*)", 1)
-    # After the query id: nothing, a user, or host, user and state words.
-    words = F.filter(
-        F.split(F.regexp_extract(thread, r"query id \S+(.*)", 1), r"\s+"), lambda w: w != ""
-    )
-    alone = F.size(words) == 1
-    lines = F.transform(F.split(F.regexp_extract(block, STATEMENT, 1), "\n"), _strip)
-    statement = F.filter(lines, lambda ln: ~ln.rlike(NOT_STATEMENT))
-    empty = F.lit("")
-    return F.struct(
-        index.alias("index"),
-        F.regexp_replace(
-            F.regexp_extract(head, r"TRANSACTION ([^,]*)", 1), r"^\s+|[^A-Za-z0-9]+\z", ""
-        ).alias("trx_id"),
-        _long(head, r"ACTIVE [^0-9]*([0-9]+)").alias("active_secs"),
-        _strip(F.regexp_extract(head, r" sec (.*)", 1)).alias("activity"),
-        _long(thread, r"MySQL thread id [^0-9]*([0-9]+)").alias("thread_id"),
-        F.when(alone, empty).otherwise(F.coalesce(F.get(words, F.lit(0)), empty)).alias("host"),
-        F.coalesce(F.when(alone, F.get(words, F.lit(0))).otherwise(F.get(words, F.lit(1))), empty).alias("user"),
-        F.array_join(F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(3))), " ").alias("state"),
-        _long(block, r"(?m)^[ \t]*mysql tables in use [^0-9\n]*([0-9]+)").alias("tables_in_use"),
-        _long(block, r"(?m)^[ \t]*mysql tables in use[^\n]*locked [^0-9\n]*([0-9]+)").alias("tables_locked"),
-        _long(block, r"([0-9]+)[ \t]+lock struct\(s\)").alias("lock_structs"),
-        _long(block, r"lock struct\(s\)[^\n]*?([0-9]+)[ \t]+row").alias("row_locks"),
-        F.array_join(statement, "\n").alias("query"),
-        _locks_of(section, HELD_BLOCK, index).alias("holds"),
-        # The last lock waited for is the one that closed the circle.
-        F.try_element_at(_locks_of(section, WAIT_BLOCK, index), F.lit(-1)).alias("waiting"),
-    )
+def _statement(text: Column) -> Column:
+    """Lines between the thread line and the first lock line."""
+    after = F.regexp_extract(text, r"(?s)MySQL thread id [^\n]*\n(.*)\z", 1)
+
+    def of_lines(lines: Column) -> Column:
+        first_lock = F.array_position(F.transform(lines, lambda ln: ln.rlike(IS_LOCK_LINE)), True)
+        upto = F.when(first_lock > 0, (first_lock - 1).cast("int")).otherwise(F.size(lines))
+        kept = F.filter(F.slice(lines, F.lit(1), upto), lambda ln: ~ln.rlike(NOT_STATEMENT))
+        return F.array_join(kept, "\n")
+
+    return let(F.transform(F.split(after, "\n"), _strip), of_lines)
+
+
+def _thread(text: Column) -> Column:
+    """Thread id and the words after the query id: nothing, a user, or host,
+    user and state."""
+    line = F.regexp_extract(text, r"(?m)^[ \t]*(MySQL thread id [^\n]*)", 1)
+
+    def of_words(words: Column) -> Column:
+        empty = F.lit("")
+        first, second = (F.coalesce(F.get(words, F.lit(i)), empty) for i in (0, 1))
+        alone = F.size(words) == 1
+        return F.struct(
+            F.when(alone, empty).otherwise(first).alias("host"),
+            F.when(alone, first).otherwise(second).alias("user"),
+            F.array_join(
+                F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(3))), " "
+            ).alias("state"),
+            _long(text, r"MySQL thread id [^0-9\n]*([0-9]+)").alias("id"),
+        )
+
+    words = F.split(F.regexp_extract(line, r"query id \S+(.*)", 1), r"\s+")
+    return let(F.filter(words, lambda w: w != ""), of_words)
+
+
+def _party(block: Column, blocks: Column) -> Column:
+    text, index = block["text"], block["index"]
+
+    def of_parts(p: Column) -> Column:
+        head, thread = p["head"], p["thread"]
+        return F.struct(
+            index.alias("index"),
+            F.regexp_replace(
+                F.regexp_extract(head, r"TRANSACTION ([^,]*)", 1), r"^\s+|[^A-Za-z0-9]+\z", ""
+            ).alias("trx_id"),
+            _long(head, r"ACTIVE [^0-9]*([0-9]+)").alias("active_secs"),
+            _strip(F.regexp_extract(head, r" sec (.*)", 1)).alias("activity"),
+            thread["id"].alias("thread_id"),
+            thread["host"].alias("host"),
+            thread["user"].alias("user"),
+            thread["state"].alias("state"),
+            _long(text, r"(?m)^[ \t]*mysql tables in use [^0-9\n]*([0-9]+)").alias("tables_in_use"),
+            _long(text, r"(?m)^[ \t]*mysql tables in use[^\n]*locked [^0-9\n]*([0-9]+)").alias(
+                "tables_locked"
+            ),
+            _long(text, r"([0-9]+)[ \t]+lock struct\(s\)").alias("lock_structs"),
+            _long(text, r"lock struct\(s\)[^\n]*?([0-9]+)[ \t]+row").alias("row_locks"),
+            _statement(text).alias("query"),
+            _locks_of(blocks, "holds", index).alias("holds"),
+            # The last lock waited for is the one that closed the circle.
+            F.try_element_at(_locks_of(blocks, "waiting", index), F.lit(-1)).alias("waiting"),
+        )
+
+    head = F.regexp_extract(text, r"(?m)^[ \t]*(TRANSACTION [^\n]*)", 1)
+    return let(F.struct(head.alias("head"), _thread(text).alias("thread")), of_parts)
 
 
 def deadlock_sections(reports: DataFrame) -> DataFrame:
@@ -113,17 +161,18 @@ def deadlock_sections(reports: DataFrame) -> DataFrame:
 
 def deadlocks(reports: DataFrame) -> DataFrame:
     """One nested row per report that shows a deadlock."""
-    section = F.col("section")
-    first_line = F.regexp_extract(section, r"^\s*([^\n]*)", 1)
-    parsed = deadlock_sections(reports).withColumn(
-        "parties", F.transform(_all(section, PARTY_BLOCK), lambda b: _party(section, b))
-    )
+    cut = pinned(deadlock_sections(reports), "pieces", F.split("section", MARKER))
+    after_markers = F.slice("pieces", F.lit(2), F.size("pieces"))
+    cut = pinned(cut, "blocks", F.transform(after_markers, _block))
+    parties = F.transform(_of_kind(F.col("blocks"), "party"), lambda b: _party(b, F.col("blocks")))
+    parsed = pinned(cut, "parties", parties)
+    verdict = F.try_element_at(_of_kind(F.col("blocks"), "victim"), F.lit(-1))["text"]
     return parsed.where(F.size("parties") > 0).select(
         *REPORT_KEYS,
-        F.when(first_line.startswith("*** "), F.lit("")).otherwise(_strip(first_line)).alias("detected_at"),
-        F.try_element_at(_all(section, VICTIM, 1), F.lit(-1)).try_cast("int").alias("victim"),
+        _strip(F.regexp_extract(F.get("pieces", F.lit(0)), r"^\s*([^\n]*)", 1)).alias("detected_at"),
+        F.nullif(F.regexp_extract(verdict, r"^[^\n]*\(([0-9]+)\)", 1), F.lit("")).try_cast("int").alias("victim"),
         "parties",
-        section.alias("raw"),
+        F.col("section").alias("raw"),
     )
 
 
