@@ -91,21 +91,17 @@ def evaluate_alerts(
         (F.col("enabled") & breached(F.col("value"), F.col("cmp"), F.col("threshold"))).alias("breach"),
     )
 
-    # The two passes share one layout: (keys, chunk) ordered by time.
-    joined = joined.withColumn("_chunk", chunk_of(F.col("t"), chunk_seconds))
-    order = ["t", "wall_ms"]
-    flagged = look_back(
-        joined, STATE_KEYS, order, "_chunk",
-        previous={"prev_breach": F.col("breach"), "prev_t": F.col("t")},
-    ).withColumn(
-        "turned", F.when(F.col("breach") != F.coalesce("prev_breach", F.lit(False)), F.col("t"))
-    )
+    turned = F.when(F.col("breach") != F.coalesce("prev_breach", F.lit(False)), F.col("t"))
     runs = look_back(
-        flagged, STATE_KEYS, order, "_chunk", last_known={"earlier_turn": F.col("turned")}
+        joined,
+        STATE_KEYS,
+        ["t", "wall_ms"],
+        chunk_of(F.col("t"), chunk_seconds),
+        previous={"prev_breach": F.col("breach"), "prev_t": F.col("t")},
+        last_known={"earlier_turn": turned},
     )
-
     hold = F.greatest(F.col("for_secs"), F.lit(0.0))
-    run_start = F.coalesce(F.col("turned"), F.col("earlier_turn"))
+    run_start = F.coalesce(turned, F.col("earlier_turn"))
     held = F.col("breach") & (F.col("t") - run_start >= hold)
     was_held = F.coalesce(
         F.col("prev_breach") & (F.col("prev_t") - F.col("earlier_turn") >= hold), F.lit(False)

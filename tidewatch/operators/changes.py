@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.timeline import look_back
+from tidewatch.operators.timeline import chunk_of, look_back
 
 PAIRS = "array<struct<column:string,value:string>>"
 CHANGE_LOG = f"seq bigint, op string, key {PAIRS}, values {PAIRS}"
@@ -67,14 +67,14 @@ def _keyed(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Log entries with typed key columns ``k_*`` and a value map."""
     pairs = F.map_from_entries(F.when(F.col("op") == "insert", F.col("values")).otherwise(F.col("key")))
     return (
-        log.withColumn("_key", pairs)
+        log.withColumn("_id", pairs)
         .withColumn("_set", F.map_from_entries("values"))
         .select(
             "seq",
             "op",
-            "_key",
+            "_id",
             "_set",
-            *[F.try_element_at("_key", F.lit(k)).try_cast(base.schema[k].dataType).alias(f"k_{k}") for k in keys],
+            *[F.try_element_at("_id", F.lit(k)).try_cast(base.schema[k].dataType).alias(f"k_{k}") for k in keys],
         )
     )
 
@@ -82,9 +82,11 @@ def _keyed(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _traced(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each entry with whether its row exists at that point of the batch."""
     k_cols = [f"k_{k}" for k in keys]
-    keyed = _keyed(base, log, keys).withColumn("_chunk", F.floor(F.col("seq") / SEQ_CHUNK))
+    keyed = _keyed(base, log, keys)
     resets = F.when(F.col("op").isin("insert", "delete"), F.col("op"))
-    traced = look_back(keyed, k_cols, ["seq"], "_chunk", last_known={"_last_reset": resets})
+    traced = look_back(
+        keyed, k_cols, ["seq"], chunk_of(F.col("seq"), SEQ_CHUNK), last_known={"_last_reset": resets}
+    )
     present = base.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.lit(True).alias("_in_base"))
     same = F.lit(True)
     for k in keys:
@@ -102,7 +104,7 @@ def change_errors(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataF
     columns = F.array(*[F.lit(c) for c in base.columns])
     key_names = F.array(*[F.lit(k) for k in keys])
     unknown = F.exists(F.map_keys("_set"), lambda c: ~F.array_contains(columns, c))
-    unkeyed = F.size(F.array_except(key_names, F.coalesce(F.map_keys("_key"), F.array().cast("array<string>")))) > 0
+    unkeyed = F.size(F.array_except(key_names, F.coalesce(F.map_keys("_id"), F.array().cast("array<string>")))) > 0
     op = F.col("op")
     error = (
         F.when(op.isNull() | ~op.isin("update", "delete", "insert"), F.lit("unknown operation"))

@@ -64,10 +64,10 @@ def hit_ratio(reads: Column, requests: Column) -> Column:
 
 def _with_previous(status: DataFrame, chunk_seconds: float) -> DataFrame:
     return look_back(
-        status.withColumn("_chunk", chunk_of(F.col("t"), chunk_seconds)),
+        status,
         keys=["server", "session", "variable"],
         order=["t", "wall_ms"],
-        chunk="_chunk",
+        chunk=chunk_of(F.col("t"), chunk_seconds),
         previous={"prev_t": F.col("t"), "prev_value": F.col("value")},
     )
 
@@ -115,10 +115,10 @@ def wide_samples(status: DataFrame) -> DataFrame:
 def sample_pairs(status: DataFrame, chunk_seconds: float = DAY_SECONDS) -> DataFrame:
     """Each sample next to the one before it; pairs without elapsed time drop."""
     paired = look_back(
-        wide_samples(status).withColumn("_chunk", chunk_of(F.col("t"), chunk_seconds)),
+        wide_samples(status),
         keys=["server", "session"],
         order=["t", "wall_ms"],
-        chunk="_chunk",
+        chunk=chunk_of(F.col("t"), chunk_seconds),
         previous={"prev_t": F.col("t"), **{f"prev_{n}": F.col(n) for n in COUNTERS}},
     )
     dt = F.col("t") - F.col("prev_t")

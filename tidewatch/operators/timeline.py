@@ -6,6 +6,9 @@ into time chunks; the window runs per ``(key, chunk)``, and one small row per
 chunk carries what the following chunk needs to know about its past. Results
 are the same as those of the plain window.
 
+Rows are shuffled once. Both the windows and the per-chunk rows read that one
+exchange, so stacked look-backs do not compute their input again and again.
+
 Width of a chunk: telemetry arrives at most every 200 ms, so a day of one
 series is at most 432,000 rows, whatever the fleet looks like.
 """
@@ -30,66 +33,91 @@ def look_back(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: str,
+    chunk: Column,
     previous: Mapping[str, Column] | None = None,
     last_known: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add columns taken from earlier rows of the same key.
 
     ``previous`` maps a new column to the expression to read on the row before
-    (like ``lag``); ``last_known`` maps one to the newest non-NULL value of its
-    expression on any earlier row. ``order`` must be a total order within a key.
-    ``chunk`` names the column of chunk numbers; it stays in the result, so a
-    second look back over the same keys finds its rows already in place.
+    (like ``lag``). ``last_known`` maps one to the newest non-NULL value of its
+    expression on any earlier row; that expression may use the ``previous``
+    columns. ``order`` must be a total order within a key. Key columns may hold
+    NULLs, which count as equal.
     """
     previous = dict(previous or {})
     last_known = dict(last_known or {})
-    order_cols = [F.col(c) for c in order]
-    position = F.struct(*order_cols)
+    rest = [c for c in df.columns if c not in keys]
 
-    # One struct for all lagged values: NULL exactly when there is no row before.
-    row = F.struct(*[e.alias(n) for n, e in previous.items()], F.lit(1).alias("_present"))
-    staged = df.withColumn("_row", row)
-    for name, expr in last_known.items():
-        staged = staged.withColumn(f"_mark_{name}", expr)
+    # Key and row travel as two structs. Keys with NULLs then compare like any
+    # other, and both readers of the exchange want the same columns, which is
+    # what lets Spark run it once.
+    read = F.struct(F.lit(1).alias("_"), *[e.alias(n) for n, e in previous.items()])
+    staged = df.select(
+        F.struct(*keys).alias("_key"),
+        chunk.alias("_chunk"),
+        F.struct(*rest, read.alias("_read")).alias("_row"),
+    ).repartition("_key", "_chunk")
 
-    summary = staged.groupBy(*keys, chunk).agg(
-        F.max_by("_row", position).alias("_row"),
-        *[
-            F.max_by(f"_mark_{n}", F.when(F.col(f"_mark_{n}").isNotNull(), position)).alias(
-                f"_mark_{n}"
-            )
-            for n in last_known
-        ],
-    )
-    over_chunks = Window.partitionBy(*keys).orderBy(chunk)
-    earlier_chunks = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col(chunk).alias("_k_chunk"),
-        F.lag("_row").over(over_chunks).alias("_carry_row"),
-        *[
-            F.last(f"_mark_{n}", ignorenulls=True).over(earlier_chunks).alias(f"_carry_{n}")
-            for n in last_known
-        ],
-    )
+    place = [f"_order_{c}" for c in order]
+    staged = staged.withColumns({f"_order_{c}": F.col("_row")[c] for c in order})
+    in_chunk = Window.partitionBy("_key", "_chunk").orderBy(*place)
+    above = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    local = staged.withColumn("_prev", F.lag("_row").over(in_chunk)["_read"])
+    position = F.struct(*place)
+    summary = [F.max_by("_row", position).alias("_last"), F.min_by("_row", position).alias("_first")]
+    if last_known:
+        # A chunk's first row does not know its predecessor yet: its marks wait.
+        opened = local.select(
+            "_key", "_chunk", "_row", *place, "_prev", "_row.*",
+            *[F.col("_prev")[n].alias(n) for n in previous],
+        )
+        local = opened.select(
+            "_key", "_chunk", "_row", *place, "_prev",
+            *[F.when(F.col("_prev").isNotNull(), e).alias(mark_name(n)) for n, e in last_known.items()],
+        )
+        for n in last_known:
+            mark = F.col(mark_name(n))
+            summary.append(F.max_by(mark, F.when(mark.isNotNull(), position)).alias(mark_name(n)))
+    chunks = local.groupBy("_key", "_chunk").agg(*summary)
 
-    in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order_cols)
-    earlier_rows = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    local = staged.select(
-        *df.columns,
-        F.lag("_row").over(in_chunk).alias("_prev_row"),
+    over_chunks = Window.partitionBy("_key").orderBy("_chunk")
+    earlier = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_carry", F.lag("_last").over(over_chunks)["_read"])
+    marks = [mark_name(n) for n in last_known]
+    chunks = chunks.select(
+        "_key", "_chunk", "_carry", "_first.*", *marks, *[F.col("_carry")[n].alias(n) for n in previous]
+    ).withColumns({f"_open_{n}": e for n, e in last_known.items()})
+    carried = chunks.select(
+        F.col("_key").alias("_k"),
+        F.col("_chunk").alias("_c"),
+        "_carry",
+        *[f"_open_{n}" for n in last_known],
         *[
-            F.last(f"_mark_{n}", ignorenulls=True).over(earlier_rows).alias(f"_near_{n}")
+            F.last(F.coalesce(mark_name(n), f"_open_{n}"), ignorenulls=True)
+            .over(earlier)
+            .alias(f"_past_{n}")
             for n in last_known
         ],
     )
-    same_chunk = F.col(chunk) == F.col("_k_chunk")
-    for k in keys:
-        same_chunk = same_chunk & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    back = F.coalesce(F.col("_prev_row"), F.col("_carry_row"))
+
+    local = local.select(
+        "_key", "_chunk", "_row", "_prev",
+        *[F.last(mark_name(n), ignorenulls=True).over(above).alias(f"_near_{n}") for n in last_known],
+    )
+    same_chunk = (F.col("_key") == F.col("_k")) & (F.col("_chunk") == F.col("_c"))
+    back = F.coalesce(F.col("_prev"), F.col("_carry"))
+
+    def known(n: str) -> Column:
+        inside = F.when(F.col("_prev").isNotNull(), F.coalesce(f"_near_{n}", f"_open_{n}"))
+        return F.coalesce(inside, F.col(f"_past_{n}"))
+
     return local.join(carried, same_chunk, "left").select(
-        *df.columns,
+        *[F.col("_key" if c in keys else "_row")[c].alias(c) for c in df.columns],
         *[back[n].alias(n) for n in previous],
-        *[F.coalesce(F.col(f"_near_{n}"), F.col(f"_carry_{n}")).alias(n) for n in last_known],
+        *[known(n).alias(n) for n in last_known],
     )
+
+
+def mark_name(column: str) -> str:
+    return f"_mark_{column}"
