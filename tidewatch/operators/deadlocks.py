@@ -15,8 +15,9 @@ from tidewatch.functions import let, lock_summary, pinned
 REPORT_KEYS = ["server", "snapshot_ts"]
 
 # Fixed patterns of the report layout.
+HEADER = "LATEST DETECTED DEADLOCK"
 SECTION = (
-    r"(?s)LATEST DETECTED DEADLOCK[^\n]*\n(?:[ \t]*-{4,}[ \t\r]*(?:\n|\z))*+"
+    r"(?s)^[^\n]*\n(?:[ \t]*-{4,}[ \t\r]*(?:\n|\z))*+"
     r"(.*?)(?:\n[ \t]*-{4,}[ \t\r]*(?=\n|\z)|\z)"
 )
 MARKER = r"(?m)^[ \t]*\*\*\* "
@@ -154,9 +155,10 @@ def _party(block: Column, blocks: Column) -> Column:
 
 def deadlock_sections(reports: DataFrame) -> DataFrame:
     """Deadlock part of each report that has one."""
-    return reports.select(
-        *REPORT_KEYS, F.regexp_extract(F.col("report"), SECTION, 1).alias("section")
-    ).where(F.col("section") != "")
+    some = reports.where(F.contains("report", F.lit(HEADER))).select(*REPORT_KEYS, "report")
+    # What follows the header, so that the pattern starts where it matches.
+    cut = pinned(some, "section", F.regexp_extract(F.split("report", HEADER, 2)[1], SECTION, 1))
+    return cut.where(F.col("section") != "").select(*REPORT_KEYS, "section")
 
 
 def deadlocks(reports: DataFrame) -> DataFrame:

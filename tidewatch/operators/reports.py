@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import parse_double, parse_u64, saturating_sub
+from tidewatch.functions import parse_double, parse_u64, pinned, saturating_sub
 
 # Field, label at the start of a line, which number, which match.
 REPORT_FIELDS = [
@@ -55,10 +55,14 @@ def _report_number(report: Column, label: str, which: str, match: str) -> Column
 
 def parse_engine_reports(reports: DataFrame) -> DataFrame:
     """Ten numbers per report; one that is missing is 0 and costs no other."""
-    return reports.select(
+    # One pass over the text keeps the few lines that matter.
+    labels = "|".join(label for _, label, _, _ in REPORT_FIELDS)
+    lines = F.regexp_extract_all("report", F.lit(rf"(?m)^[ \t]*(?:{labels})[^\n]*"), F.lit(0))
+    short = pinned(reports.select("server", "snapshot_ts", "report"), "lines", F.array_join(lines, "\n"))
+    return short.select(
         "server",
         "snapshot_ts",
-        *[_report_number(F.col("report"), lb, w, m).alias(f) for f, lb, w, m in REPORT_FIELDS],
+        *[_report_number(F.col("lines"), lb, w, m).alias(f) for f, lb, w, m in REPORT_FIELDS],
     )
 
 
