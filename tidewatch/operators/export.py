@@ -8,6 +8,8 @@ per partition, and the files in name order are the document.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -190,7 +192,9 @@ def to_markdown(
     delimiter = sizes.select(
         *group, F.lit(1).alias("part"), *blanks, line(rule(k) for k in cells).alias("line")
     )
-    body = rows.join(sizes, list(group)).select(
+    # A group may be NULL, and keeps its rows.
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"s_{g}")) for g in group])
+    body = rows.join(sizes.withColumnsRenamed({g: f"s_{g}" for g in group}), same).select(
         *group, F.lit(2).alias("part"), *[F.col(f"o_{o}").alias(o) for o in order],
         line(padded(F.col(k), k) for k in cells).alias("line"),
     )

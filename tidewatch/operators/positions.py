@@ -39,6 +39,11 @@ def number_rows(df: DataFrame, order: Sequence[str], groups: Sequence[str] = ())
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
         F.sum("_rows").over(group).alias("row_count"),
     )
-    return stored.join(offsets, ["_part", *groups]).select(
+    # A group may be NULL, and keeps its rows.
+    renamed = offsets.withColumnsRenamed({"_part": "p_part", **{g: f"p_{g}" for g in groups}})
+    same = F.col("_part") == F.col("p_part")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"p_{g}"))
+    return stored.join(renamed, same).select(
         *df.columns, (F.col("_offset") + F.col("_place") - F.col("_first")).alias("row_no"), "row_count"
     )

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.operators.alerts import STATE_KEYS, Rule, breached, describe_rule, rules_table
-from tidewatch.operators.series import SERIES_KEYS, bucket_start, rollup_1m
+from tidewatch.operators.series import SERIES_KEYS, rollup_1m
 from tidewatch.operators.timeline import DAY_MILLIS
 
 # ---------------------------------------------------------------- rollup
@@ -157,27 +157,29 @@ def merge_samples(batch: DataFrame, path: str) -> None:
     leaves the same rows.
     """
     spark = batch.sparkSession
-    incoming = batch.withColumn("day", F.expr(f"ts div {DAY_MILLIS}"))
-    touched = incoming.select("server", "day").distinct()
+    incoming = batch.withColumn("day", F.expr(f"ts div {DAY_MILLIS}")).persist()
     try:
-        stored = spark.read.schema(STORE_SCHEMA).parquet(path)
-        merged = incoming.unionByName(stored.join(touched, ["server", "day"], "left_semi"))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        merged = incoming
-    newest = merged.groupBy("server", "metric", "ts", "day").agg(
-        F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")
-    )
-    # A few files per partition, however much one server holds.
-    spread = F.pmod(F.xxhash64("metric", bucket_start(F.col("ts"), 3_600_000)), F.lit(8))
-    (
-        newest.repartition("server", "day", spread)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("server", "day")
-        .parquet(path)
-    )
+        touched = incoming.select("server", "day").distinct()
+        try:
+            stored = spark.read.schema(STORE_SCHEMA).parquet(path)
+            merged = incoming.unionByName(stored.join(touched, ["server", "day"], "left_semi"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            merged = incoming
+        newest = merged.groupBy("server", "metric", "ts", "day").agg(
+            F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")
+        )
+        # Few files per partition; one that is far bigger than others is split.
+        (
+            newest.hint("rebalance", "server", "day")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("server", "day")
+            .parquet(path)
+        )
+    finally:
+        incoming.unpersist()
 
 
 def stream_upsert(samples: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
