@@ -103,18 +103,24 @@ def change_errors(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataF
     """Entries that would make the batch fail: ``(seq, op, error)``."""
     columns = F.array(*[F.lit(c) for c in base.columns])
     key_names = F.array(*[F.lit(k) for k in keys])
-    unknown = F.exists(F.map_keys("_set"), lambda c: ~F.array_contains(columns, c))
-    unkeyed = F.size(F.array_except(key_names, F.coalesce(F.map_keys("_id"), F.array().cast("array<string>")))) > 0
+    given = F.coalesce(F.map_keys("_id"), F.array().cast("array<string>"))
     op = F.col("op")
     error = (
         F.when(op.isNull() | ~op.isin("update", "delete", "insert"), F.lit("unknown operation"))
-        .when(unkeyed, F.lit("no primary key"))
+        .when(F.size(F.array_except(key_names, given)) > 0, F.lit("no primary key"))
         .when((op != "delete") & (F.coalesce(F.size("_set"), F.lit(0)) <= 0), F.lit("no values"))
-        .when((op != "delete") & unknown, F.lit("unknown column"))
-        .when((op == "insert") & F.col("row_exists"), F.lit("duplicate key"))
+        .when(
+            (op != "delete") & F.exists(F.map_keys("_set"), lambda c: ~F.array_contains(columns, c)),
+            F.lit("unknown column"),
+        )
     )
-    traced = _traced(base, log, keys).withColumn("error", error)
-    return traced.where(F.col("error").isNotNull()).select("seq", "op", "error")
+    malformed = _keyed(base, log, keys).withColumn("error", error).where(F.col("error").isNotNull())
+    # Whether a row exists only ever changes by inserts and deletes, so the
+    # updates, usually most of the log, stay out of the look back.
+    resets = _traced(base, log.where(op.isin("insert", "delete")), keys)
+    twice = resets.where((op == "insert") & F.col("row_exists")).withColumn("error", F.lit("duplicate key"))
+    out = ["seq", "op", "error"]
+    return malformed.select(*out).unionByName(twice.select(*out))
 
 
 def affected_rows(base: DataFrame, log: DataFrame, keys: Sequence[str]) -> DataFrame:
