@@ -19,6 +19,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm.common import map_rows, texts
 
@@ -195,3 +196,36 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         run,
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean",
     )
+
+
+def encoded_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and decoded_sha256 of each document, for training.
+
+    The ids are decoded again and must give the text's bytes; if not, the task fails. Null texts
+    have no ids. Columns that ``docs`` lacks are null.
+    """
+    model = shared_model(docs.sparkSession, ranks_path)
+    for name in ("lang", "source"):
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.lit(None).cast("string"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        coder = codec(model.value, pattern)
+        out: dict = {k: [] for k in ("n_tokens", "ids", "decoded_sha256")}
+        for text in batch.column("text").to_pylist():
+            ids = coder.ids(text or "")
+            decoded = coder.decode(ids.tolist())
+            if decoded != (text or "").encode():
+                raise ValueError("a text does not decode to itself")
+            out["n_tokens"].append(ids.size)
+            out["ids"].append(ids.astype(np.int32))
+            out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+        return {k: batch.column(k) for k in ("doc_id", "lang", "source")} | out
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+        F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"),
+    )
+    return map_rows(
+        rows, run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, decoded_sha256 string"
+    )

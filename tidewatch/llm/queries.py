@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, languages, licenses, quality, secrets, toxicity
+from tidewatch.llm import byte_bpe, decontaminate, jaccard, languages, licenses, quality, secrets, toxicity
 from tidewatch.llm.common import crc_remainder, table
 
 
@@ -43,6 +43,10 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, net).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(table(spark, folder, "documents")).drop("text_hash")
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, folder, "labels")))
@@ -65,12 +69,19 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return languages.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contaminated(docs, benchmark).drop("text_hash")
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_license_scans": op2_license_scans,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_language_id": op9_language_id,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {}

@@ -274,3 +274,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "spans": spans}
 
     return map_rows(texts(docs), run, "doc_id long, spans array<struct<kind:string,first:long,last:long>>")
+
+
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with ``[kind]`` for each span; overlapping spans become one, of the first one's kind."""
+    out, at, k = [], 0, 0
+    while k < len(spans):
+        kind, start, end = spans[k]
+        k += 1
+        while k < len(spans) and spans[k][1] < end:
+            end = max(end, spans[k][2])
+            k += 1
+        out += [text[at:start], f"[{kind}]"]
+        at = end
+    return "".join([*out, text[at:]])
