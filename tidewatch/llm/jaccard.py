@@ -6,14 +6,14 @@ shingles that stand out in some part of the table, ties by hash). Linked sets mu
 their first n - ceil(0.8 n) + 1 shingles, so only those prefixes are indexed.
 
 1. Equal sets become one set, so copies cost one row each and are never paired.
-2. Hub candidates: in each posting list every set is paired with the smallest set number only.
+2. Hub candidates: in each posting list every set is paired with a few hubs only.
 3. Verification: the candidates of a probe, in blocks, are stored in a prefix tree; the probe
    walks it once, sharing partial overlaps along common beginnings and leaving subtrees whose
    remaining length cannot reach the bound.
 4. Links give components. Posting lists that still hold several components are joined in
    full, but only across components, with the bounds on sizes, positions and number of shared
    prefix shingles; what passes is verified as before. Nothing is capped: a group of near copies
-   is settled by its hub, and what the hub cannot settle is settled here.
+   is settled by its hubs, and what they cannot settle is settled here.
 
 Only texts of candidate sets travel, never token sets of the whole table.
 """
@@ -43,6 +43,8 @@ from tidewatch.llm.components import components
 WORDS = 5
 #: Slots of the count of frequent shingles; its size is fixed, only the order depends on it.
 SLOTS = 1 << 20
+#: Hubs of a posting list.
+HUBS = 8
 #: Members of one prefix tree.
 BLOCK = 128
 
@@ -243,11 +245,16 @@ def _prefix_shared(a, b):
 
 
 def hub_pairs(postings: DataFrame) -> DataFrame:
-    """(u, v): the smallest set of a posting list with each other one that is likely to link."""
-    hubs = postings.groupBy("token").agg(F.min("node").alias("u"))
-    pairs = (
-        postings.join(hubs, "token").where("node <> u").groupBy("u", F.col("node").alias("v")).agg(F.count("*").alias("shared"), F.first("n").alias("b"))
-    )
+    """(u, v): the hubs of a posting list with each other set that is likely to link.
+
+    Hubs are the smallest set numbers of each of HUBS residues. Rows are numbered as their
+    sets' hashes dealt them, so each hub of a group of near copies links its own random share of the group, and few are left over.
+    """
+    least = [F.min(F.when(F.pmod("node", F.lit(HUBS)) == k, F.col("node"))).alias(f"h{k}") for k in range(HUBS)]
+    hubs = postings.groupBy("token").agg(*least)
+    hubs = hubs.select("token", F.array_compact(F.array(*(f"h{k}" for k in range(HUBS)))).alias("hubs"))
+    rows = postings.join(hubs, "token").select(F.explode("hubs").alias("u"), F.col("node").alias("v"), F.col("n").alias("b"))
+    pairs = rows.where("u <> v").groupBy("u", "v").agg(F.count("*").alias("shared"), F.first("b").alias("b"))
     sizes = postings.groupBy(F.col("node").alias("u")).agg(F.first("n").alias("a"))
     fit = _sizes_fit(F.col("a"), F.col("b")) & (2 * F.col("shared") >= _prefix_shared(F.col("a"), F.col("b")))
     return pairs.join(sizes, "u").where(fit).select("u", "v")
