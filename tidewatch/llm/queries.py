@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, jaccard, languages, licenses, quality, secrets, toxicity
+from tidewatch.llm import byte_bpe, decontaminate, jaccard, languages, licenses, quality, secrets, substrings, toxicity
 from tidewatch.llm.common import crc_remainder, table
 
 
@@ -43,6 +43,11 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, net).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.kept_words(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(table(spark, folder, "documents")).drop("text_hash")
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_license_scans": op2_license_scans,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op8_byte_level_bpe": op8_byte_level_bpe,
