@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, jaccard, languages, licenses, quality, secrets, substrings, toxicity
+from tidewatch.llm import byte_bpe, decontaminate, jaccard, languages, licenses, neighbours, quality, secrets, substrings, toxicity
 from tidewatch.llm.common import crc_remainder, table
 
 
@@ -59,6 +59,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), every=20, k=20)
+
+
 def op8_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
