@@ -138,7 +138,7 @@ class Shard:
         place = np.append(query / length, 0.0) @ self.axes
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
         for radius, rows in self.tree.ascending(place):
-            found = (self.vectors[rows] * query).sum(axis=1)
+            found = np.einsum("ij,j->i", self.vectors[rows], query)
             good = self.ids[rows] != query_id
             if ids.size >= k:
                 good &= found >= scores[k - 1]
