@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,33 @@ LANES = 16384
 
 @dataclass
 class Model:
-    """symbols: code point to symbol (0: between words, 1: other letter); tables: by language."""
+    """symbols: code point to symbol (0: between words, 1: other letter); edges: by language the
+    transitions of the automaton, as states * width + symbol and targets.
+
+    What is sent to the workers is the edges (a few bytes for each character of the sample); the dense
+    tables are laid out there, once for each worker.
+    """
 
     languages: list[str]
     symbols: np.ndarray
-    tables: list[np.ndarray]
+    edges: list[tuple[int, np.ndarray, np.ndarray]]
+
+    @cached_property
+    def tables(self) -> list[np.ndarray]:
+        out = []
+        for states, places, targets in self.edges:
+            table = np.full((states, 2 + LETTERS), -1, np.int32)
+            table.ravel()[places] = targets
+            out.append(table)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
 
 
-def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings; -1 where none; state 0 starts."""
+def suffix_automaton(text: np.ndarray, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(states, places, targets) of the automaton of all substrings: from state s by symbol c, at
+    place s * width + c, to a target; state 0 starts."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for symbol in text.tolist():
@@ -72,11 +91,9 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
                     walk = link[walk]
                 link[target] = link[state] = copy
         last = state
-    table = np.full((len(nexts), width), -1, np.int32)
-    for state, row in enumerate(nexts):
-        for symbol, target in row.items():
-            table[state, symbol] = target
-    return table
+    places = np.array([state * width + symbol for state, row in enumerate(nexts) for symbol in row], np.int64)
+    targets = np.array([target for row in nexts for target in row.values()], np.int32)
+    return len(nexts), places, targets
 
 
 def _lowered(text: str) -> np.ndarray:
@@ -111,11 +128,11 @@ def fit(labelled: list[tuple[str, str]]) -> Model:
     common = common[counts[common] > 0]
     symbols[common] = np.arange(2, 2 + common.size)
     languages = sorted({language for language, _ in labelled})
-    tables = []
+    edges = []
     for language in languages:
         parts = [encoded(t, symbols) for k, t in sorted(labelled) if k == language]
-        tables.append(suffix_automaton(np.concatenate(parts), 2 + LETTERS))
-    return Model(languages, symbols, tables)
+        edges.append(suffix_automaton(np.concatenate(parts), 2 + LETTERS))
+    return Model(languages, symbols, edges)
 
 
 def phrases(table: np.ndarray, stretches: np.ndarray, lengths: np.ndarray) -> np.ndarray:
