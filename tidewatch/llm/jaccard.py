@@ -11,7 +11,7 @@ their first n - ceil(0.8 n) + 1 shingles, so only those prefixes are indexed.
    walks it once, sharing partial overlaps along common beginnings and leaving subtrees whose
    remaining length cannot reach the bound.
 4. Links give components. Posting lists that still hold several components are joined in
-   full, but only across components, with the bounds on sizes, positions and number of shared
+   full (first a share of the pairs, then all between the components that remain), but only across components, with the bounds on sizes, positions and number of shared
    prefix shingles; what passes is verified as before. Nothing is capped: a group of near copies
    is settled by its hubs, and what they cannot settle is settled here.
 
@@ -45,6 +45,8 @@ WORDS = 5
 SLOTS = 1 << 20
 #: Hubs of a posting list.
 HUBS = 8
+#: One in so many of the remaining pairs is verified before all that then remain.
+SHARE = 8
 #: Members of one prefix tree.
 BLOCK = 128
 
@@ -244,27 +246,33 @@ def _prefix_shared(a, b):
     )
 
 
-def hub_pairs(postings: DataFrame) -> DataFrame:
-    """(u, v): the hubs of a posting list with each other set that is likely to link.
+def _placed(postings: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Postings with the component of their set, of those lists that hold several components."""
+    own = postings.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return own.join(mixed.select("token"), "token")
+
 
-    Hubs are the smallest set numbers of each of HUBS residues. Rows are numbered as their
-    sets' hashes dealt them, so each hub of a group of near copies links its own random share of the group, and few are left over.
+def hub_pairs(placed: DataFrame) -> DataFrame:
+    """(u, v): the hubs of a posting list with each set of another component that is likely to link.
+
+    Hubs are the smallest set numbers of each of HUBS residues. Rows are numbered as their sets'
+    hashes dealt them, so each hub of a group of near copies links its own random share of it.
     """
-    least = [F.min(F.when(F.pmod("node", F.lit(HUBS)) == k, F.col("node"))).alias(f"h{k}") for k in range(HUBS)]
-    hubs = postings.groupBy("token").agg(*least)
+    hub = F.struct("node", "component")
+    own = [F.min(F.when(F.pmod("node", F.lit(HUBS)) == k, hub)).alias(f"h{k}") for k in range(HUBS)]
+    hubs = placed.groupBy("token").agg(*own)
     hubs = hubs.select("token", F.array_compact(F.array(*(f"h{k}" for k in range(HUBS)))).alias("hubs"))
-    rows = postings.join(hubs, "token").select(F.explode("hubs").alias("u"), F.col("node").alias("v"), F.col("n").alias("b"))
-    pairs = rows.where("u <> v").groupBy("u", "v").agg(F.count("*").alias("shared"), F.first("b").alias("b"))
-    sizes = postings.groupBy(F.col("node").alias("u")).agg(F.first("n").alias("a"))
+    rows = placed.join(hubs, "token").select(F.explode("hubs").alias("hub"), "node", "n", "component")
+    rows = rows.where("hub.component <> component").select(F.col("hub.node").alias("u"), F.col("node").alias("v"), "n")
+    pairs = rows.groupBy("u", "v").agg(F.count("*").alias("shared"), F.first("n").alias("b"))
+    sizes = placed.groupBy(F.col("node").alias("u")).agg(F.first("n").alias("a"))
     fit = _sizes_fit(F.col("a"), F.col("b")) & (2 * F.col("shared") >= _prefix_shared(F.col("a"), F.col("b")))
     return pairs.join(sizes, "u").where(fit).select("u", "v")
 
 
-def remaining_pairs(postings: DataFrame, grouped: DataFrame) -> DataFrame:
+def remaining_pairs(own: DataFrame) -> DataFrame:
     """(u, v): all pairs of sets in different components that can still link."""
-    own = postings.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    own = own.join(mixed.select("token"), "token")
     a = own.select("token", *(F.col(k).alias(f"{k}_a") for k in ("node", "n", "place", "component")))
     b = own.select("token", *(F.col(k).alias(f"{k}_b") for k in ("node", "n", "place", "component")))
     n_a, n_b, least = F.col("n_a"), F.col("n_b"), F.least("place_a", "place_b")
@@ -316,13 +324,19 @@ def classes(docs: DataFrame) -> DataFrame:
     postings = stored(postings.join(several.select("token"), "token"), folders[4])
     discard(spark, folders[3])
 
-    first = stored(hub_pairs(postings))
-    links = stored(verified(first, _texts_of(first, nodes, docs), weights))
-    grouped = stored(components(links))
-    rest = stored(remaining_pairs(postings, grouped))
-    more = stored(verified(rest, _texts_of(rest, nodes, docs), weights))
-    if not more.isEmpty():
-        grouped = stored(components(grouped.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)))
+    grouped = spark.createDataFrame([], "node long, component long")
+    # Hubs settle most of a group of near copies. A share of the remaining pairs then joins nearly all
+    # others to it, and the last round takes every pair that is still between components.
+    for round_of in ("hubs", "share", "all"):
+        placed = _placed(postings, grouped)
+        pairs = hub_pairs(placed) if round_of == "hubs" else remaining_pairs(placed)
+        if round_of == "share":
+            pairs = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(SHARE)) == 0)
+        pairs = stored(pairs)
+        links = stored(verified(pairs, _texts_of(pairs, nodes, docs), weights))
+        if not links.isEmpty():
+            known = grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            grouped = stored(components(known.unionAll(links)))
     discard(spark, folders[4])
     whole = nodes.join(grouped, "node", "left").select(
         "set_key", "doc_id", F.coalesce("component", "node").alias("component")
