@@ -128,3 +128,12 @@ def test_numbers_are_exact_under_skew(spark):
         assert (r.d, r.lo, r.hi, r.c) == (r.n, 0, r.n - 1, r.n)
     hot = [r.id for r in out.where("g = 'hot'").orderBy("row_no").limit(50).collect()]
     assert hot == sorted(hot)
+
+
+def test_to_json_is_valid_when_order_keys_repeat(spark):
+    import json
+
+    rows = spark.createDataFrame([(k // 3, f"v{k}") for k in range(10)], "k long, v string")
+    lines = export.to_json(rows, order=["k"]).orderBy("part", "k", "row_no").collect()
+    parsed = json.loads("\n".join(r.line for r in lines))
+    assert sorted(x["v"] for x in parsed) == sorted(f"v{k}" for k in range(10))

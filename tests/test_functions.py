@@ -71,3 +71,13 @@ def test_text(spark):
         assert not run(spark, bad, "string", T.is_safe_ident)
     assert run(spark, 86_399_999, "bigint", T.format_datetime) == "1970-01-01 23:59:59"
     assert run(spark, 0, "bigint", lambda c: T.format_datetime(c, "Asia/Tokyo")) == "1970-01-01 09:00:00"
+
+
+def test_number_text_reads_back_equal(spark):
+    values = [0.0, 0.1, 1 / 3, 0.30000000000000004, 1.5e-20, 1.2345678901234567e-7, -2.5e-5, 5e-324, 1.7976931348623157e308,
+              1e15, 1.5e15, 123456789012345678.0, -9.875e20, 1e22, 12345.678, 1e7, 12345678.5, 0.001]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("text", T.number_text(F.col("v")))
+    for row in df.collect():
+        assert float(row.text) == row.v and "E" not in row.text.upper() and not row.text.endswith(".0"), row
+    small = spark.sql("SELECT CAST(0.1 AS FLOAT) AS v").select(T.number_text(F.col("v")).alias("text")).first()
+    assert small.text == "0.1"

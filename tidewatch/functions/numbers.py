@@ -64,11 +64,20 @@ def fixed(c: Column, digits: int) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A double as people write it: no exponent, no trailing ``.0``."""
-    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    plain = F.regexp_replace(c.try_cast("decimal(38,15)").cast("string"), r"0+\z", "")
-    return (
-        F.when(F.isnan(c), F.lit("NaN"))
-        .when(whole, c.try_cast("bigint").cast("string"))
-        .otherwise(F.coalesce(F.regexp_replace(plain, r"\.\z", ""), c.cast("string")))
+    """A double or float as people write it: no exponent, no trailing ``.0``, and read back equal.
+
+    The cast to text has as many digits as the value needs; only its exponent is written out.
+    """
+    text = c.cast("string")
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    parts = r"^-?(\d)\.(\d+)E(-?\d+)\z"
+    fraction = F.regexp_replace(F.regexp_extract(text, parts, 2), r"^0\z", "")
+    digits = F.concat(F.regexp_extract(text, parts, 1), fraction)
+    power = F.regexp_extract(text, parts, 3).try_cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
+    rest = F.substring(digits, power + 2, F.length(digits))
+    large = F.concat(F.substring(whole, F.lit(1), power + 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")))
+    return F.when(power.isNull(), F.regexp_replace(text, r"\.0\z", "")).otherwise(
+        F.concat(sign, F.when(power < 0, small).otherwise(large))
     )

@@ -12,12 +12,13 @@ from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed
 from tidewatch.operators.rates import METRIC_LABELS
 from tidewatch.operators.timeline import DAY_SECONDS, chunk_of, look_back
 
-LOG_ROWS = 500  # fixed value: transitions kept in the log
+LOG_ROWS = 500  # fixed value: transitions kept in each server's log
 
 
 @dataclass(frozen=True)
@@ -149,10 +150,10 @@ def firing_counts(states: DataFrame) -> DataFrame:
     return states.groupBy("server").agg(F.count_if(F.col("status") == "firing").alias("firing"))
 
 
-def alert_log(evaluated: DataFrame, rows: int = LOG_ROWS) -> DataFrame:
-    """The newest transitions of the fleet, newest first."""
-    return (
-        alert_transitions(evaluated)
-        .orderBy(F.desc("at_ms"), F.desc("t"), "server", "session", "rule_id")
-        .limit(rows)
-    )
+def alert_log(evaluated: DataFrame, rows: int | None = LOG_ROWS) -> DataFrame:
+    """The newest transitions, newest first: ``rows`` of each server, older ones are dropped; None keeps all."""
+    found = alert_transitions(evaluated)
+    if rows is not None:
+        newest = Window.partitionBy("server").orderBy(F.desc("at_ms"), F.desc("t"), "session", "rule_id")
+        found = found.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= rows).drop("_n")
+    return found.orderBy(F.desc("at_ms"), F.desc("t"), "server", "session", "rule_id")

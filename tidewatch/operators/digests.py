@@ -66,7 +66,8 @@ def filter_digests(digests: DataFrame, needle: str) -> DataFrame:
 
 
 def worst_statements(digests: DataFrame, n: int = WORST_STATEMENTS) -> DataFrame:
-    return rank_digests(digests).limit(n)
+    """The ``n`` slowest statements of each server, with their rank; all others are dropped."""
+    return top_per_server(digests, n)
 
 
 def digest_flags(digests: DataFrame) -> DataFrame:

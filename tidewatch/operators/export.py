@@ -36,7 +36,7 @@ def as_text(df: DataFrame, name: str) -> Column:
     """A cell as text; NULL stays NULL."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return number_text(_ref(name).cast("double"))
+        return number_text(_ref(name))
     return _ref(name).cast("string")
 
 
@@ -114,16 +114,19 @@ def to_ndjson(df: DataFrame, keep: Sequence[str] = (), columns: Sequence[str] |
 
 
 def to_json(df: DataFrame, order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Lines of one JSON array: ``part`` 0 opens it, 1 holds rows, 2 closes it."""
+    """Lines of one JSON array: ``part`` 0 opens it, 1 holds rows, 2 closes it.
+
+    Each row but the first has its comma in front, so rows are numbered: ``row_no`` is the last sort
+    key, and rows that tie in ``order`` still give a valid array.
+    """
     rows = to_ndjson(df, keep=order, columns=list(df.columns) if columns is None else columns)
-    at = F.struct(*order)
-    last = rows.select(F.max(at)).scalar()
-    body = rows.select(
+    body = number_rows(rows, order).select(
         F.lit(1).alias("part"),
         *order,
-        F.when(at == last, F.col("line")).otherwise(F.concat("line", F.lit(","))).alias("line"),
+        F.col("row_no").cast("bigint").alias("row_no"),
+        F.when(F.col("row_no") == 0, F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"),
     )
-    return _framed(body, order, "[", "]")
+    return _framed(body, [*order, "row_no"], "[", "]")
 
 
 def _framed(body: DataFrame, order: Sequence[str], head: str, tail: str | None) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from tidewatch.sources.snapshots import not_system
 
 TABLE = ["server", "schema", "table"]
-TOP_SCANS = 100  # fixed value: full-scan tables listed
 
 
 def index_definitions(index_columns: DataFrame) -> DataFrame:
@@ -36,14 +35,12 @@ def tables_without_pk(tables: DataFrame, constraints: DataFrame) -> DataFrame:
     )
 
 
-def full_table_scans(usage: DataFrame, tables: DataFrame, limit: int = TOP_SCANS) -> DataFrame:
-    """Tables read without an index, the worst ``limit`` of each server."""
-    worst = Window.partitionBy("server").orderBy(F.desc("reads"), "schema", "table")
-    top = (
-        usage.where(F.col("index").isNull() & (F.col("reads") > 0) & not_system(F.col("schema")))
-        .withColumn("_n", F.row_number().over(worst))
-        .where(F.col("_n") <= limit)
-    )
+def full_table_scans(usage: DataFrame, tables: DataFrame, limit: int | None = None) -> DataFrame:
+    """Tables read without an index: all of them, or for display the worst ``limit`` of each server."""
+    top = usage.where(F.col("index").isNull() & (F.col("reads") > 0) & not_system(F.col("schema")))
+    if limit is not None:
+        worst = Window.partitionBy("server").orderBy(F.desc("reads"), "schema", "table")
+        top = top.withColumn("_n", F.row_number().over(worst)).where(F.col("_n") <= limit)
     sizes = tables.select(*TABLE, "table_rows")
     return top.join(sizes, TABLE, "left").select(
         *TABLE,

@@ -11,7 +11,7 @@ from tidewatch.functions import host_key, is_sleeping, matches_needle, user_key
 LONG_SECS = 10
 IDLE_SECS = 60
 
-SNAPSHOT = ["server"]
+SNAPSHOT = ["server", "snapshot_ts"]
 
 
 def _sleeping() -> Column:
@@ -32,7 +32,7 @@ def summarize_sessions(
 
 
 def session_breakdown(sessions: DataFrame) -> DataFrame:
-    """By user and by host in one pass: ``(server, dimension, key, ...)``."""
+    """By user and by host in one pass: ``(server, snapshot_ts, dimension, key, ...)``."""
     keyed = sessions.select(
         *SNAPSHOT,
         "time",
@@ -41,7 +41,7 @@ def session_breakdown(sessions: DataFrame) -> DataFrame:
         host_key(F.col("host")).alias("by_host"),
     )
     both = keyed.groupingSets(
-        [["server", "by_user"], ["server", "by_host"]], "server", "by_user", "by_host"
+        [[*SNAPSHOT, "by_user"], [*SNAPSHOT, "by_host"]], *SNAPSHOT, "by_user", "by_host"
     ).agg(
         F.grouping("by_user").alias("no_user"),
         F.count(F.lit(1)).alias("total"),
@@ -51,7 +51,7 @@ def session_breakdown(sessions: DataFrame) -> DataFrame:
     )
     per_user = F.col("no_user") == 0
     return both.select(
-        "server",
+        *SNAPSHOT,
         F.when(per_user, F.lit("user")).otherwise(F.lit("host")).alias("dimension"),
         F.when(per_user, F.col("by_user")).otherwise(F.col("by_host")).alias("key"),
         "total",

@@ -78,8 +78,7 @@ def _(spark, sf):
 
 
 _SCANS = f""", scans AS (SELECT u.server, u.schema, u.table_, u.reads, coalesce(t.table_rows, 0) AS table_rows
-      FROM (SELECT * FROM v_index_usage WHERE index_ IS NULL AND reads > 0 AND schema NOT IN {_SYSTEM}
-        QUALIFY row_number() OVER (PARTITION BY server ORDER BY reads DESC, schema, table_) <= 100) u
+      FROM (SELECT * FROM v_index_usage WHERE index_ IS NULL AND reads > 0 AND schema NOT IN {_SYSTEM}) u
       LEFT JOIN v_tables t ON t.server = u.server AND t.schema = u.schema AND t.table_ = u.table_)"""
 
 

@@ -106,11 +106,11 @@ _MIXED = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN
     "grid_sort",
     "WITH m AS (" + _MIXED.format(n="CAST(o_custkey AS VARCHAR)", t="orders") + """)
     SELECT o_orderkey, cell FROM m ORDER BY cell IS NOT NULL DESC, TRY_CAST(cell AS DOUBLE) IS NULL DESC,
-      TRY_CAST(cell AS DOUBLE) DESC, CASE WHEN TRY_CAST(cell AS DOUBLE) IS NULL THEN cell END DESC, o_orderkey LIMIT 400""",
+      TRY_CAST(cell AS DOUBLE) DESC, CASE WHEN TRY_CAST(cell AS DOUBLE) IS NULL THEN cell END DESC, o_orderkey""",
 )
 def _(spark, sf):
     mixed = spark.sql(_MIXED.format(n="CAST(o_custkey AS STRING)", t="{orders}"), orders=base(spark, sf, "orders"))
-    return K.grid_sort(mixed, "cell", ["o_orderkey"], descending=True).limit(400)
+    return K.grid_sort(mixed, "cell", ["o_orderkey"], descending=True)
 
 
 @query(
@@ -255,8 +255,9 @@ def _(spark, sf):
 @query(
     "to_json",
     with_views("grid")
-    + f""" SELECT 1 AS part, doc_id, CAST({_JSON} AS VARCHAR) || CASE WHEN doc_id = (SELECT max(doc_id) FROM v_grid) THEN '' ELSE ',' END AS line FROM v_grid
-    UNION ALL SELECT 0, NULL, '[' UNION ALL SELECT 2, NULL, ']'""",
+    + f""" SELECT 1 AS part, doc_id, row_no, CASE WHEN row_no = 0 THEN '' ELSE ',' END || CAST({_JSON} AS VARCHAR) AS line
+      FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_no FROM v_grid)
+    UNION ALL SELECT 0, NULL, NULL, '[' UNION ALL SELECT 2, NULL, NULL, ']'""",
 )
 def _(spark, sf):
     return O.to_json(grid(spark, sf), order=["doc_id"], columns=_CELLS)

@@ -596,24 +596,9 @@ def base(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that has fewer splits than there are cores.
-
-    Only a small table ever has so few; a large one keeps its own splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-# Views whose rows are costly to derive or to read.
-COSTLY = {"reports"}
-
-
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     sql = ALL[name](Spark())
     used = {t: base(spark, folder, t) for t in BASE_TABLES if "{" + t + "}" in sql}
-    if name in COSTLY:
-        used = {t: spread(df) for t, df in used.items()}
     df = spark.sql(sql, **used)
     for old, new in RENAMES.items():
         if old in df.columns:
