@@ -131,9 +131,7 @@ def test_numbers_are_exact_under_skew(spark):
 
 
 def test_to_json_is_valid_when_order_keys_repeat(spark):
-    import json
-
     rows = spark.createDataFrame([(k // 3, f"v{k}") for k in range(10)], "k long, v string")
-    lines = export.to_json(rows, order=["k"]).orderBy("part", "k", "row_no").collect()
+    lines = O.to_json(rows, order=["k"]).orderBy("part", "k", "row_no").collect()
     parsed = json.loads("\n".join(r.line for r in lines))
     assert sorted(x["v"] for x in parsed) == sorted(f"v{k}" for k in range(10))

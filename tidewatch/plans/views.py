@@ -331,7 +331,7 @@ def digests(d) -> str:
     FROM {d.table('lineitem')} GROUP BY l_partkey"""
     return f"""
     SELECT concat('s', {d.text('p % 4')}) AS server, concat('digest-', {d.text('p')}) AS digest,
-      CASE WHEN p % 7 = 0 THEN '' ELSE 'attendance' END AS schema,
+      CASE WHEN p % 7 = 0 THEN '' ELSE 'roster' END AS schema,
       CASE WHEN p % 50 = 49 THEN NULL ELSE {_template('p')} END AS digest_text,
       CASE WHEN p % 50 = 49 THEN '' ELSE {_template('p')} END AS text,
       n AS count, CAST(ms AS DOUBLE) AS total_ms, CAST(ms {d.div} n AS DOUBLE) AS avg_ms,
@@ -346,7 +346,7 @@ def digests_raw(d) -> str:
     return f"""
     SELECT concat('s', {d.text('p % 4')}) AS server,
       CASE WHEN p % 9 = 0 THEN NULL ELSE concat('digest-', {d.text('p')}) END AS digest,
-      CASE WHEN p % 7 = 0 THEN NULL ELSE 'attendance' END AS schema_name,
+      CASE WHEN p % 7 = 0 THEN NULL ELSE 'roster' END AS schema_name,
       {_template('p')} AS digest_text,
       CASE WHEN p % 4 < 2 THEN concat('/* app */ ', {_template('p')}) END AS query_sample_text,
       n AS count_star, ms * 1000000000 AS sum_timer_wait, max_ms * 1000000000 AS max_timer_wait, p
@@ -390,14 +390,14 @@ def index_columns(d) -> str:
 
 # Indexes the workload templates meet: schema, table, index, columns.
 WORKLOAD_INDEXES = [
-    ("attendance", "parts", "ix_state", ["state"]),
+    ("roster", "parts", "ix_state", ["state"]),
     ("ATTENDANCE", "Parts", "ix_tenant", ["tenant", "made", "name", "x"]),
     ("shop", "cart", "ix_user", ["USER_ID"]),
-    ("attendance", "orders", "ix_note", ["note"]),
-    ("attendance", "stock", "ix_bin", ["bin", "other"]),
+    ("roster", "orders", "ix_note", ["note"]),
+    ("roster", "stock", "ix_bin", ["bin", "other"]),
     ("shop", "orders", "ix_cust", ["cust", "day"]),
-    ("attendance", "parts", "a_state", ["state", "tenant"]),
-    ("attendance", "parts", "b_state", ["state"]),
+    ("roster", "parts", "a_state", ["state", "tenant"]),
+    ("roster", "parts", "b_state", ["state"]),
 ]
 
 
@@ -480,44 +480,46 @@ def reports(d) -> str:
     def label(text: str, e: str) -> str:
         return f"concat('{text}', {d.text(e)})"
 
-    lock = "'RECORD LOCKS space id 42 page no 4 n bits 80 index '"
+    def lock(index: str, table: str, key: str, mode: str) -> str:
+        place = f"'RECORD LOCKS space id ', {d.text(f'{key} % 800 + 3')}, ' page no ', {d.text(f'{key} % 61 + 5')}, ' n bits ', {d.text(f'{key} % 4 * 8 + 72')}"
+        return f"concat({place}, ' index {index} of table {table} trx id ', {d.text(key)}, ' {mode}')"
 
     def party(n: int, key: str) -> list[str]:
         return [
             f"'*** ({n}) TRANSACTION:'",
-            f"concat('TRANSACTION ', {d.text(key)}, ', ACTIVE ', {d.text(f'{key} % 60')}, ' sec starting index read')",
-            "'mysql tables in use 1, locked 1'",
-            f"concat('LOCK WAIT ', {d.text(f'{key} % 9 + 2')}, ' lock struct(s), heap size 1136, ', {d.text(f'{key} % 5')}, ' row lock(s)')",
-            f"concat('MySQL thread id ', {d.text(f'{key} + 7')}, ', OS thread handle 0x7f3c, query id ', {d.text(f'{key} * 2')}, ' 10.0.0.', {d.text('o_custkey % 9')}, ' app', {d.text(f'{key} % 3')}, ' updating rows')",
-            f"concat('UPDATE `shop`.`cart` SET qty = ', {d.text(key)})",
-            f"concat('  WHERE id = ', {d.text('o_custkey')})",
+            f"concat('TRANSACTION ', {d.text(key)}, ', ACTIVE ', {d.text(f'{key} % 60')}, ' sec fetching rows')",
+            f"concat('mysql tables in use ', {d.text(f'{key} % 3 + 1')}, ', locked ', {d.text(f'{key} % 2 + 1')})",
+            f"concat('LOCK WAIT ', {d.text(f'{key} % 9 + 2')}, ' lock struct(s), heap size ', {d.text(f'{key} % 7 * 1024 + 3200')}, ', ', {d.text(f'{key} % 5')}, ' row lock(s)')",
+            f"concat('MySQL thread id ', {d.text(f'{key} + 7')}, ', OS thread handle ', {d.text(f'{key} + 140000')}, ', query id ', {d.text(f'{key} * 2')}, ' 172.20.4.', {d.text('o_custkey % 9')}, ' svc', {d.text(f'{key} % 3')}, ' Searching rows for update')",
+            f"concat('DELETE FROM `depot`.`pallet` WHERE lane = ', {d.text(key)})",
+            f"concat('  ORDER BY slot LIMIT ', {d.text('o_custkey')})",
             f"'*** ({n}) HOLDS THE LOCK(S):'",
-            f"concat({lock}, 'PRIMARY of table `shop`.`', o_orderpriority, '` trx id ', {d.text(key)}, ' lock_mode X locks rec but not gap')",
+            lock("by_bay", "`depot`.`', o_orderpriority, '`", key, "lock mode S"),
             f"'*** ({n}) WAITING FOR THIS LOCK TO BE GRANTED:'",
-            f"concat({lock}, 'idx_user of table `shop`.`cart` trx id ', {d.text(key)}, ' lock_mode X waiting')",
+            lock("by_lane", "`depot`.`pallet`", key, "lock_mode X locks gap before rec waiting"),
         ]
 
     deadlock = lines(
         rule, "'LATEST DETECTED DEADLOCK'", rule,
-        f"concat('2026-08-20 10:10:', {d.text(f'{k} % 50 + 10')})",
+        f"concat('2031-02-14 22:41:', {d.text(f'{k} % 50 + 10')})",
         *party(1, k), *party(2, f"({k} + 1)"),
         f"concat('*** WE ROLL BACK TRANSACTION (', {d.text(f'{k} % 2 + 1')}, ')')",
     )
     log = lines(
-        "'------------'", "'TRANSACTIONS'", "'------------'", "'Trx id counter 12350'",
+        "'------------'", "'TRANSACTIONS'", "'------------'", label("Trx id counter ", f"{k} + 90817"),
         label("History list length ", f"{k} * 97 % 2000000"),
         "'---'", "'LOG'", "'---'",
-        label("Log sequence number ", f"500000000 + {k}"),
-        label("Log flushed up to   ", f"500000000 + {k} - {k} % 1000"),
-        label("Pages flushed up to ", "499000000"),
-        label("Last checkpoint at  ", f"500000000 + {k} - {k} * 131 % 1600000"),
-        "'0 pending log flushes, 0 pending chkp writes'",
+        label("Log sequence number ", f"91250000000 + {k}"),
+        label("Log buffer assigned up to ", f"91250000000 + {k}"),
+        label("Log flushed up to   ", f"91250000000 + {k} - {k} % 700"),
+        label("Pages flushed up to ", "91240000000"),
+        label("Last checkpoint at  ", f"91250000000 + {k} - {k} * 157 % 2100000"),
         "'BUFFER POOL AND MEMORY'",
-        label("Buffer pool size   ", f"CASE WHEN {k} % 5 = 0 THEN 0 ELSE 8192 END"),
-        label("Free buffers       ", f"{k} % 1024"),
-        label("Database pages     ", f"{k} % 7000"),
-        label("Modified db pages  ", f"{k} % 120"),
-        "'Buffer pool size   512'",
+        label("Buffer pool size   ", f"CASE WHEN {k} % 5 = 0 THEN 0 ELSE 40960 END"),
+        label("Free buffers       ", f"{k} % 3001"),
+        label("Database pages     ", f"{k} % 36000"),
+        label("Modified db pages  ", f"{k} % 450"),
+        "'Buffer pool size   2560'",
     )
     return f"""
     SELECT concat('s', {d.text('o_custkey')}) AS server, {d.seconds_ts(f'{_NOW} + {k}')} AS snapshot_ts,
