@@ -99,7 +99,7 @@ def brute_kept(rows):
     return out
 
 
-@pytest.mark.parametrize("large", [1, 500])
+@pytest.mark.parametrize("large", [1, 60_000])
 def test_repeated_passages(documents, large, monkeypatch):
     monkeypatch.setattr(substrings, "LARGE_BUCKET", large)
     random.seed(large)

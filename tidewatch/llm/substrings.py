@@ -11,7 +11,7 @@ they are sorted and compared by their words.
 2. Stretches of the other minimisers are packed. Equal strings become one with the smallest
    doc_id (a map-side aggregate), so a passage in a third of all documents is a handful of rows.
 3. Within a bucket the windows of all strings are sorted; equal neighbours give each window's owner, the
-   smallest document that it starts in. A bucket of very many different strings is split: its
+   smallest document that it starts in. A bucket of very many windows is split: its
    windows are keyed one by one by 128 bits of their words, aggregated map-side and joined back.
 4. Owners go back by string to every occurrence, and words of windows owned by a smaller
    document are removed.
@@ -30,8 +30,9 @@ from tidewatch.llm.common import byte_texts, discard, map_rows, shared_folder, s
 
 WINDOW = 50
 KEY = 8
-#: Different strings of one bucket beyond which its windows are dealt out one by one.
-LARGE_BUCKET = 500
+#: Windows of one bucket beyond which they are dealt out one by one; what one task holds is about
+#: 400 bytes for each.
+LARGE_BUCKET = 60_000
 #: Windows of one packed string, at most.
 LONGEST = 256
 
@@ -180,12 +181,13 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     parts = stored(parts.withColumn("string_key", F.unhex(F.md5("words"))), folders[1])
     discard(spark, folders[0])
     strings = parts.groupBy("string_key").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("minimiser").alias("minimiser"), F.first("words").alias("words")
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("minimiser").alias("minimiser"),
+        F.first("windows").alias("windows"), F.first("words").alias("words"),
     )
     strings = stored(strings, folders[2])
-    sizes = strings.groupBy("minimiser").agg(F.count("*").alias("strings"), F.min("least").alias("low"), F.max("most").alias("high"))
+    sizes = strings.groupBy("minimiser").agg(F.sum("windows").alias("held"), F.min("least").alias("low"), F.max("most").alias("high"))
     sized = strings.join(sizes.where("low < high"), "minimiser")
-    owners = _settle(sized.where(F.col("strings") <= LARGE_BUCKET)).unionAll(_settle_large(sized.where(F.col("strings") > LARGE_BUCKET)))
+    owners = _settle(sized.where(F.col("held") <= LARGE_BUCKET)).unionAll(_settle_large(sized.where(F.col("held") > LARGE_BUCKET)))
     hits = (
         parts.select("doc_id", "text_hash", "first", "string_key")
         .join(owners, "string_key")
