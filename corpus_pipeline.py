@@ -101,7 +101,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: No stage but the near copies could be written in SQL; tests hold run() against a brute-force version.
+#: Language and latent search cannot be written in SQL. The operators have their own brute-force tests; run() as a whole has none yet.
 ORACLE_SQL = None
 
 
