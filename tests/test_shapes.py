@@ -9,36 +9,46 @@ from tidewatch.operators.shapes import candidate_index, statement_shape
 
 # statement, (schema, table, equality, range, order_by, wrapped), candidate
 JUDGED = [
-    ("SELECT * FROM `a` WHERE `u` = ? AND `d` >= ?", (None, "a", ["u"], "d", [], []), ["u", "d"]),
-    ("select * from t where c > ? and s = ? and n = ?", (None, "t", ["s", "n"], "c", [], []), ["s", "n", "c"]),
-    ("SELECT * FROM t WHERE k = ? ORDER BY c DESC, d LIMIT 5", (None, "t", ["k"], None, ["c", "d"], []), ["k", "c", "d"]),
-    ("SELECT * FROM t WHERE k = ? AND i > ? ORDER BY c", (None, "t", ["k"], "i", ["c"], []), ["k", "i"]),
-    ("SELECT * FROM t WHERE a IN (?) AND b BETWEEN ? AND ?", (None, "t", ["a"], "b", [], []), ["a", "b"]),
-    ("SELECT * FROM `x`.`t` q WHERE `q`.`u` = ?", ("x", "t", ["u"], None, [], []), ["u"]),
-    ("SELECT * FROM t WHERE DATE(`c`) = ? AND `x` = ?", (None, "t", ["x"], None, [], ["c"]), ["x"]),
-    ("SELECT * FROM t WHERE f(g(h(a, b), ?), c) = ? AND z = ?", (None, "t", ["z"], None, [], ["g"]), ["z"]),
-    ("SELECT * FROM t WHERE COALESCE(?, a) = ? AND z LIKE CONCAT(?, b)", (None, "t", [], "z", [], []), ["z"]),
-    ("SELECT * FROM t WHERE ((a = ?) AND (b < ?))", (None, "t", ["a"], "b", [], []), ["a", "b"]),
-    ("SELECT * FROM t WHERE `or` = ? AND `a b` > ?", (None, "t", ["or"], "a b", [], []), ["or", "a b"]),
-    ("SELECT * FROM t WHERE `a``b` = ? AND `x(y)` = ?", (None, "t", ["a`b", "x(y)"], None, [], []), ["a`b", "x(y)"]),
-    ("SELECT * FROM t WHERE a = ? AND A > ? AND b > ?", (None, "t", ["a"], "b", [], []), ["a", "b"]),
-    ("SELECT * FROM t WHERE a > ? AND a = ?", (None, "t", ["a"], "a", [], []), ["a"]),
-    ("SELECT * FROM t WHERE a IS NOT NULL AND b IS NULL AND c <> ?", (None, "t", ["b"], None, [], []), ["b"]),
-    ("SELECT * FROM t WHERE a = ? ORDER BY b, lower(c)", (None, "t", ["a"], None, ["b"], []), ["a", "b"]),
-    ("SELECT * FROM t", (None, "t", [], None, [], []), []),
-    ("SELECT * FROM t WHERE f(a", (None, "t", [], None, [], ["a"]), []),
+    ("SELECT level FROM readings WHERE gauge = ? AND taken < ?", (None, "readings", ["gauge"], "taken", [], []), ["gauge", "taken"]),
+    (
+        "select level from `tide` . `readings` as r where r.taken between ? and ? and `r`.`gauge` = ?",
+        ("tide", "readings", ["gauge"], "taken", [], []),
+        ["gauge", "taken"],
+    ),
+    (
+        "SELECT no FROM berths WHERE harbour = ? AND pier <=> ? ORDER BY depth DESC, no ASC LIMIT 3",
+        (None, "berths", ["harbour", "pier"], None, ["depth", "no"], []),
+        ["harbour", "pier", "depth", "no"],
+    ),
+    ("SELECT no FROM berths WHERE depth > ? AND pier = ? ORDER BY no", (None, "berths", ["pier"], "depth", ["no"], []), ["pier", "depth"]),
+    ("SELECT id FROM ships WHERE name LIKE ? AND flag IN (?, ?)", (None, "ships", ["flag"], "name", [], []), ["flag", "name"]),
+    ("SELECT id FROM ships WHERE pilot = ? AND HOUR(`docked at`) < ?", (None, "ships", ["pilot"], None, [], ["docked at"]), ["pilot"]),
+    ("SELECT id FROM ships WHERE ABS(FLOOR(SQRT(beam, ?), ?), hull) = ? AND yard = ?", (None, "ships", ["yard"], None, [], ["FLOOR"]), ["yard"]),
+    ("SELECT id FROM ships WHERE yard >= UPPER(?, crew) AND IFNULL(?, hull) = ?", (None, "ships", [], "yard", [], []), ["yard"]),
+    ("SELECT id FROM ships WHERE (((flag = ?)) AND ((beam <= ?)))", (None, "ships", ["flag"], "beam", [], []), ["flag", "beam"]),
+    ("SELECT id FROM ships WHERE `call sign` >= ? AND `union` = ?", (None, "ships", ["union"], "call sign", [], []), ["union", "call sign"]),
+    ("SELECT id FROM ships WHERE `no``1` = ? AND `len(m)` = ?", (None, "ships", ["no`1", "len(m)"], None, [], []), ["no`1", "len(m)"]),
+    ("SELECT id FROM ships WHERE Beam < ? AND yard = ? AND YARD < ?", (None, "ships", ["yard"], "Beam", [], []), ["yard", "Beam"]),
+    ("SELECT id FROM ships WHERE yard = ? AND YARD < ? AND beam < ?", (None, "ships", ["yard"], "beam", [], []), ["yard", "beam"]),
+    ("SELECT id FROM ships WHERE beam <= ? AND beam = ?", (None, "ships", ["beam"], "beam", [], []), ["beam"]),
+    ("SELECT id FROM ships WHERE lost IS NULL AND sold IS NOT NULL AND crew != ?", (None, "ships", ["lost"], None, [], []), ["lost"]),
+    ("SELECT id FROM ships WHERE yard = ? ORDER BY built, length(name), id", (None, "ships", ["yard"], None, ["built"], []), ["yard", "built"]),
+    ("SELECT flag FROM ships GROUP BY flag HAVING count(*) > ?", (None, "ships", [], None, [], []), []),
+    ("SELECT name FROM ships LIMIT ?", (None, "ships", [], None, [], []), []),
+    ("SELECT name FROM ships WHERE MONTH(built", (None, "ships", [], None, [], ["built"]), []),
 ]
 SKIPPED = [
-    "SELECT * FROM a JOIN b ON a.i = b.i WHERE a.x = ?",
-    "SELECT * FROM t WHERE a = ? OR b = ?",
-    "SELECT * FROM t WHERE i IN (SELECT i FROM u)",
-    "SELECT * FROM a, b WHERE a.i = b.i",
-    "SELECT * FROM a AS x, b WHERE x.i = b.i",
-    "SELECT 1 UNION SELECT 2",
-    "UPDATE t SET a = ? WHERE b = ?",
-    "SELECT 1",
-    "SELECT * FROM x . WHERE a = ?",
-    "",
+    "SELECT s.name FROM ships s INNER JOIN calls c ON c.ship = s.id WHERE c.port = ?",
+    "SELECT name FROM ships WHERE crew > ? OR beam > ?",
+    "SELECT name FROM ships WHERE id = (SELECT max(ship) FROM calls)",
+    "SELECT name FROM ships, calls WHERE calls.ship = ships.id",
+    "SELECT name FROM port.ships s, calls WHERE ship = id",
+    "SELECT name FROM ships UNION ALL SELECT name FROM wrecks",
+    "DELETE FROM calls WHERE gone < ?",
+    "INSERT INTO calls VALUES (?, ?)",
+    "SELECT now()",
+    "SELECT name FROM port . WHERE id = ?",
+    "   ",
 ]
 
 

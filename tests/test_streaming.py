@@ -68,3 +68,26 @@ def test_upsert_is_idempotent(spark, tmp_path):
     got = {(r.server, r.ts): r.value for r in rows.collect()}
     assert rows.count() == 4
     assert got == {("a", 1): 5.0, ("a", 2): 2.0, ("b", 1): 7.0, ("a", 90_000_000): 6.0}
+
+
+def test_silent_counters_are_forgotten(spark, tmp_path):
+    day = 86_400.0
+
+    def row(session, t, v):
+        return ("s", session, "Queries", t, int(t * 1000), v)
+
+    batches = [[row("old", 1.0, 10.0)], [row("new", 3 * day, 1.0)], [row("new", 3 * day + 1, 2.0)], [row("old", 3 * day + 2, 30.0)]]
+    out = drain(jobs.stream_rates(feed(spark, tmp_path, STATUS, batches)), tmp_path)
+    assert [(r.session, r.rate) for r in out.collect()] == [("new", 1.0)]
+
+
+def test_upsert_reads_the_days_of_the_batch_only(spark, tmp_path):
+    store, schema = str(tmp_path / "store"), SAMPLES + ", seq bigint"
+    days = [("a", "m", day * 86_400_000, float(day), day) for day in range(4)]
+    jobs.merge_samples(spark.createDataFrame([], schema), store)
+    jobs.merge_samples(spark.createDataFrame([*days, ("a", "m", None, 1.0, 9)], schema), store)
+    read = jobs.stored_days(spark, store, 1, 2)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :]
+    assert "day" in filters and ">= 1" in filters and "<= 2" in filters
+    assert sorted(r.value for r in read.collect()) == [1.0, 2.0]

@@ -117,18 +117,19 @@ def read_series(
             df = df.where(F.col("metric").isin(metrics))
         return df
 
-    # Aggregated before any join: a busy series is down to its buckets by then.
-    raw = _bucketed(source(samples), spec.bucket_ms, "value", "value", "value").withColumn(
-        "downsampled", F.lit(False)
-    )
+    def points(df: DataFrame, *values: str, folded: bool) -> DataFrame:
+        return _bucketed(df, spec.bucket_ms, *values).withColumn("downsampled", F.lit(folded))
+
+    raw = source(samples)
     if not spec.use_rollup:
-        return raw
+        return points(raw, "value", "value", "value", folded=False)
     long_range = source(rollups)
-    folded = _bucketed(long_range, spec.bucket_ms, "avg", "min", "max").withColumn(
-        "downsampled", F.lit(True)
-    )
+    # One row per series: raw rows of a known series are gone before they are bucketed.
     known = long_range.select(*SERIES_KEYS).distinct()
-    return folded.unionByName(raw.join(known, SERIES_KEYS, "left_anti"))
+    unknown = raw.join(known, SERIES_KEYS, "left_anti")
+    return points(long_range, "avg", "min", "max", folded=True).unionByName(
+        points(unknown, "value", "value", "value", folded=False)
+    )
 
 
 def split_bytes_rates(series: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -287,25 +287,34 @@ def metadata_locks(d) -> str:
 # the statement cannot be judged. Fields: schema, table, equality, range,
 # order_by, wrapped_columns.
 TEMPLATES = [
-    ("SELECT * FROM `shop`.`cart` WHERE `user_id` = ? AND `added_at` >= ?",
-     ("shop", "cart", ["user_id"], "added_at", [], [])),
-    ("SELECT a . id FROM parts a WHERE a . made > ? AND a . state = ? AND a . TENANT <=> ?",
-     (None, "parts", ["state", "TENANT"], "made", [], [])),
-    ("SELECT name FROM parts WHERE tenant = ? ORDER BY made DESC , name LIMIT ?",
-     (None, "parts", ["tenant"], None, ["made", "name"], [])),
-    ("SELECT * FROM a JOIN b ON a . id = b . a_id WHERE a . x = ?", None),
-    ("SELECT * FROM parts WHERE x = ? OR y = ?", None),
-    ("SELECT * FROM stock WHERE DATE ( `seen at` ) = ? AND UPPER ( TRIM ( sku ) ) = ? AND bin IN ( ? , ? )",
-     (None, "stock", ["bin"], None, [], ["seen at", "TRIM"])),
-    ("SELECT * FROM stock , bins WHERE stock . id = bins . id", None),
-    ("UPDATE stock SET qty = ? WHERE id = ?", None),
-    ("SELECT * FROM orders AS o WHERE o . note IS NULL AND o . `group` LIKE ? AND o . total BETWEEN ? AND ?",
-     (None, "orders", ["note"], "group", [], [])),
-    ("SELECT * FROM orders WHERE id IN ( SELECT id FROM old )", None),
-    ("SELECT * FROM orders WHERE gone IS NOT NULL AND a NOT IN ( ? ) AND b <> ? ORDER BY lower ( c )",
-     (None, "orders", [], None, [], [])),
-    ("SELECT count ( * ) FROM `shop` . `orders` WHERE ( cust = ? ) AND Cust = ? AND day < ? GROUP BY day",
-     ("shop", "orders", ["cust"], "day", [], [])),
+    ("SELECT gauge , level FROM `harbour` . `readings` AS r WHERE r . gauge = ? AND r . level BETWEEN ? AND ? "
+     "AND r . quality = ? ORDER BY r . taken",
+     ("harbour", "readings", ["gauge", "quality"], "level", ["taken"], [])),
+    ("SELECT max ( draught ) FROM vessels WHERE flag IN ( ? , ? , ? ) AND Flag = ? GROUP BY hull HAVING count ( * ) > ?",
+     (None, "vessels", ["flag"], None, [], [])),
+    ("SELECT * FROM vessels WHERE YEAR ( built ) = ? AND owner LIKE ? AND retired IS NULL",
+     (None, "vessels", ["retired"], "owner", [], ["built"])),
+    ("SELECT id FROM moorings WHERE ( ( pier = ? ) AND ( depth >= ? ) ) ORDER BY depth LIMIT ? OFFSET ?",
+     (None, "moorings", ["pier"], "depth", ["depth"], [])),
+    ("SELECT v . name FROM vessels v LEFT JOIN calls c ON c . vessel = v . id WHERE c . port = ?", None),
+    ("SELECT id FROM tolls WHERE paid = ? AND ( payer = ? OR agent = ? )", None),
+    ("DELETE FROM tolls WHERE due < ?", None),
+    ("SELECT id FROM calls WHERE port = ? UNION ALL SELECT id FROM calls_old WHERE port = ?", None),
+    ("SELECT id FROM calls WHERE vessel = ( SELECT max ( id ) FROM vessels )", None),
+    ("SELECT c . id FROM calls c , vessels v WHERE v . id = c . vessel", None),
+    ("SELECT `berth no` FROM `harbour` . `moorings` WHERE `key` = ? AND `berth no` <> ? AND beam < ? AND width < ?",
+     ("harbour", "moorings", ["key"], "beam", [], [])),
+    ("SELECT * FROM calls ORDER BY arrived DESC , ROUND ( stay )",
+     (None, "calls", [], None, ["arrived"], [])),
+    ("SELECT * FROM pilots WHERE COALESCE ( LOWER ( TRIM ( name ) ) , ? ) = ? AND licence <=> ?",
+     (None, "pilots", ["licence"], None, [], ["LOWER"])),
+    ("SELECT name FROM pilots WHERE port = ? AND licence IS NOT NULL AND grade NOT IN ( ? ) AND hired > ? AND hired < ?",
+     (None, "pilots", ["port"], "hired", [], [])),
+    ("SELECT r . level FROM readings r WHERE r . taken >= ? AND r . GAUGE = ? ORDER BY r . taken , r . level DESC",
+     (None, "readings", ["GAUGE"], "taken", ["taken", "level"], [])),
+    ("INSERT INTO calls ( vessel , port ) VALUES ( ? , ? )", None),
+    ("SELECT count ( * ) FROM tolls WHERE payer = ? AND Payer > ? AND amount > ?",
+     (None, "tolls", ["payer"], "amount", [], [])),
 ]
 
 
@@ -390,14 +399,14 @@ def index_columns(d) -> str:
 
 # Indexes the workload templates meet: schema, table, index, columns.
 WORKLOAD_INDEXES = [
-    ("roster", "parts", "ix_state", ["state"]),
-    ("ATTENDANCE", "Parts", "ix_tenant", ["tenant", "made", "name", "x"]),
-    ("shop", "cart", "ix_user", ["USER_ID"]),
-    ("roster", "orders", "ix_note", ["note"]),
-    ("roster", "stock", "ix_bin", ["bin", "other"]),
-    ("shop", "orders", "ix_cust", ["cust", "day"]),
-    ("roster", "parts", "a_state", ["state", "tenant"]),
-    ("roster", "parts", "b_state", ["state"]),
+    ("roster", "vessels", "ix_flag", ["flag", "hull"]),
+    ("ROSTER", "Pilots", "ix_port", ["port", "hired", "name", "grade"]),
+    ("roster", "pilots", "ix_licence", ["LICENCE"]),
+    ("harbour", "readings", "ix_gauge", ["gauge"]),
+    ("roster", "tolls", "ix_payer", ["payer"]),
+    ("harbour", "moorings", "ix_beam", ["beam", "key"]),
+    ("roster", "vessels", "b_retired", ["retired"]),
+    ("roster", "vessels", "a_retired", ["Retired"]),
 ]
 
 

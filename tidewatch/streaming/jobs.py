@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,6 +48,20 @@ RATE_KEYS = ["server", "session", "variable"]
 RATE_OUTPUT = "server string, session string, variable string, t double, wall_ms long, rate double"
 RATE_STATE = "t double, value double"
 
+#: How long the state of a silent key stays, and how late a row may come.
+IDLE = "1 day"
+
+
+def _timed(df: DataFrame, idle: str) -> DataFrame:
+    """Event time from ``wall_ms``. Rows later than ``idle`` count as lost."""
+    return df.withColumn("event_time", F.timestamp_millis("wall_ms")).withWatermark("event_time", idle)
+
+
+def _keep_until(state: GroupState, rows: pd.DataFrame) -> None:
+    """The state goes once the watermark, which trails by ``idle``, passes the key's last row."""
+    newest = int(rows["wall_ms"].max()) + 1
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
+
 
 def _in_order(parts: Iterable[pd.DataFrame]) -> pd.DataFrame:
     """One key's rows of one micro-batch by time. A series gains a row per poll,
@@ -56,6 +70,9 @@ def _in_order(parts: Iterable[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _rates(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = _in_order(parts)
     t, value = rows["t"].to_numpy(), rows["value"].to_numpy()
     before = pd.Series(t).shift(), pd.Series(value).shift()
@@ -68,6 +85,7 @@ def _rates(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
     rate = pd.Series(0.0, index=range(len(rows)))
     rate[usable] = grown[usable] / dt[usable]
     state.update((float(t[-1]), float(value[-1])))
+    _keep_until(state, rows)
     out = pd.DataFrame(
         {
             **dict(zip(RATE_KEYS, key)),
@@ -79,18 +97,19 @@ def _rates(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
     yield out if known else out.iloc[1:]
 
 
-def stream_rates(status: DataFrame) -> DataFrame:
+def stream_rates(status: DataFrame, idle: str = IDLE) -> DataFrame:
     """Counter growth per second since the sample before, across micro-batches.
 
     State is one number per counter, so one busy server is spread over as many
     keys as it has counters. A sample that is not newer than the last one gives
-    a rate of zero and still becomes the last one.
+    a rate of zero and still becomes the last one. A counter that is silent for
+    ``idle`` (its session ended, say) is forgotten.
     """
-    numeric = status.where(F.col("value").isNotNull()).select(
-        *RATE_KEYS, "t", "wall_ms", F.col("value").cast("double").alias("value")
+    numeric = _timed(status, idle).where(F.col("value").isNotNull()).select(
+        *RATE_KEYS, "t", "wall_ms", F.col("value").cast("double").alias("value"), "event_time"
     )
     return numeric.groupBy(*RATE_KEYS).applyInPandasWithState(
-        _rates, RATE_OUTPUT, RATE_STATE, "append", GroupStateTimeout.NoTimeout
+        _rates, RATE_OUTPUT, RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -104,6 +123,9 @@ ALERT_STATE = "breach_since double, firing boolean"
 
 
 def _alerts(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     since, firing = state.get if state.exists else (None, False)
     found = []
     rows = _in_order(parts)
@@ -118,29 +140,33 @@ def _alerts(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 found.append((*key, r.t, r.wall_ms, r.rule, "resolved", r.value))
             since, firing = None, False
     state.update((since, firing))
+    _keep_until(state, rows)
     yield pd.DataFrame(
         found, columns=[*STATE_KEYS, "t", "at_ms", "rule", "transition", "value"]
     )
 
 
-def stream_alerts(metrics: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def stream_alerts(
+    metrics: DataFrame, rules: list[Rule] | None = None, idle: str = IDLE
+) -> DataFrame:
     """Transitions of the hold-window rules as they happen.
 
     ``metrics`` is the stream form of ``(server, session, t, wall_ms, metric,
     value)``. Breach flags and rule texts come from Spark; the Python step only
-    keeps when a breach began and whether it fired.
+    keeps when a breach began and whether it fired, and forgets a rule of a
+    session that is silent for ``idle``.
     """
     flagged = (
-        metrics.join(rules_table(metrics.sparkSession, rules), "metric")
+        _timed(metrics, idle).join(rules_table(metrics.sparkSession, rules), "metric")
         .where(F.col("enabled"))
         .select(
-            *STATE_KEYS, "t", "wall_ms", "value", "for_secs",
+            *STATE_KEYS, "t", "wall_ms", "value", "for_secs", "event_time",
             breached(F.col("value"), F.col("cmp"), F.col("threshold")).alias("breach"),
             describe_rule(F.col("metric"), F.col("cmp"), F.col("threshold"), F.col("for_secs")).alias("rule"),
         )
     )
     return flagged.groupBy(*STATE_KEYS).applyInPandasWithState(
-        _alerts, ALERT_OUTPUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout
+        _alerts, ALERT_OUTPUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -149,19 +175,27 @@ def stream_alerts(metrics: DataFrame, rules: list[Rule] | None = None) -> DataFr
 STORE_SCHEMA = "server string, metric string, ts bigint, value double, seq bigint, day bigint"
 
 
+def stored_days(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """Rows of the store from one day to another; other days are not listed as input."""
+    return spark.read.schema(STORE_SCHEMA).parquet(path).where(F.col("day").between(first, last))
+
+
 def merge_samples(batch: DataFrame, path: str) -> None:
     """Merge samples into the store at ``path``, last arrival per key winning.
 
-    Only the (server, day) partitions the batch touches are read and replaced.
-    The arrival number is stored with each value, so a batch that runs twice
+    Only the days the batch spans are read, and only the (server, day)
+    partitions it touches are replaced. The arrival number is stored with each value, so a batch that runs twice
     leaves the same rows.
     """
     spark = batch.sparkSession
-    incoming = batch.withColumn("day", F.expr(f"ts div {DAY_MILLIS}")).persist()
+    incoming = batch.where("ts IS NOT NULL").withColumn("day", F.expr(f"ts div {DAY_MILLIS}")).persist()
     try:
+        first, last = incoming.agg(F.min("day"), F.max("day")).first()
+        if first is None:
+            return
         touched = incoming.select("server", "day").distinct()
         try:
-            stored = spark.read.schema(STORE_SCHEMA).parquet(path)
+            stored = stored_days(spark, path, first, last)
             merged = incoming.unionByName(stored.join(touched, ["server", "day"], "left_semi"))
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
