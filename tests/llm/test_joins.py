@@ -157,6 +157,30 @@ def test_planted_benchmark_items(spark, documents):
     assert decontaminate.contaminated(documents([]), bench).count() == 0
 
 
+def test_long_benchmark_items(spark, documents):
+    """Items of several parts: the last words alone are no match, the whole item is, also far from its answer."""
+    random.seed(21)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    sizes = (257, 300, 300, 129, 700)
+    items = [[word() for _ in range(n)] for n in sizes]
+    items[2] = [*items[2][:-2], "Answer:", "forty", "two"]
+    text = lambda n: [word() for _ in range(n)]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        for tail in (1, 2, 44, len(item) // 2):  # clean: only the last words of the item
+            texts.append([*text(90), *item[-tail:], *text(90)])
+        for before in (0, 75, 400):
+            want |= {(len(texts), k), (len(texts) + 1, k)}
+            texts.append([*text(before), *item, *text(60)])
+            changed = [w if j % 4 or w in ("forty", "two") else word() for j, w in enumerate(item)]
+            texts.append([*text(before), *changed, *text(60)])
+    texts.append([*text(50), *items[2][:-2], *text(300)])  # without the answer
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.contaminated(documents([" ".join(x) for x in texts]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+    assert all(decontaminate.COVERAGE <= r.coverage <= 1 for r in rows)
+
+
 def test_common_length():
     def brute(a, b):
         row = [0] * (len(b) + 1)

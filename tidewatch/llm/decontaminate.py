@@ -10,6 +10,7 @@
 3. A second pass projects every passage and compares it with every item by cosine. Passages
    above the threshold are aligned with the item by longest common subsequence; a passage counts when
    enough of the item's words come in order, and, where an item names an answer, the answer too.
+   Long items are compared by parts, but words and answer are always those of the whole item.
 
 The benchmark is worked through in blocks of ``ITEMS`` items, so what is broadcast has a fixed bound.
 """
@@ -35,9 +36,10 @@ STEP = 32
 SKETCH = 20
 COMMON = 12
 AXES = 64
-#: Items of one block, and the longest of them in words; longer items are judged by parts.
+#: Items of one block, and the longest part of an item, in words, that a passage is compared with. A
+#: passage is a quarter of 256 words, too few for COSINE once words of it are changed.
 ITEMS = 8192
-LONGEST = 256
+LONGEST = 128
 COSINE = 0.45
 COVERAGE = 0.6
 #: Share of COVERAGE by which words of low weight may carry a match.
@@ -61,25 +63,31 @@ def answer_of(text: str) -> list[bytes]:
 
 @dataclass
 class Block:
-    """Items as word lists, their answers, and the number of each term."""
+    """Items as word lists, their answers, their parts with the item of each, and the number of each term."""
 
     ids: list[int]
     items: list[list[bytes]]
     answers: list[list[bytes]]
+    parts: list[list[bytes]]
+    owners: list[int]
     terms: dict[bytes, int]
 
 
 def block_of(rows: list[tuple[int, str]]) -> Block:
-    """Items without words are left out; an item beyond LONGEST words is several parts."""
-    ids, items, answers = [], [], []
+    """Items without words are left out; an item beyond LONGEST words has several parts of equal length."""
+    ids, items, answers, parts, owners = [], [], [], [], []
     for item, text in rows:
         found = words_of(text or "")
-        for start in range(0, len(found), LONGEST):
+        n = -(-len(found) // LONGEST)
+        for k in range(n):
+            owners.append(len(items))
+            parts.append(found[len(found) * k // n : len(found) * (k + 1) // n])
+        if found:
             ids.append(item)
-            items.append(found[start : start + LONGEST])
+            items.append(found)
             answers.append(answer_of(text))
     terms = {w: k for k, w in enumerate(sorted({w for found in items for w in found}))}
-    return Block(ids, items, answers, terms)
+    return Block(ids, items, answers, parts, owners, terms)
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Block]:
@@ -125,8 +133,8 @@ def run_sums(columns: np.ndarray, number: np.ndarray, run: np.ndarray, runs: int
 
 def random_columns(block: Block) -> np.ndarray:
     """Random directions (rows); seldom terms of the benchmark weigh more, so that they are seen at all."""
-    count = np.bincount([block.terms[w] for found in block.items for w in set(found)], minlength=len(block.terms))
-    weight = np.log1p(len(block.items) / np.maximum(1, count))
+    count = np.bincount([block.terms[w] for found in block.parts for w in set(found)], minlength=len(block.terms))
+    weight = np.log1p(len(block.parts) / np.maximum(1, count))
     drawn = np.random.default_rng(17).normal(size=(len(block.terms), SKETCH))
     return np.ascontiguousarray((drawn * weight[:, None]).T, np.float32)
 
@@ -175,11 +183,11 @@ def gather(docs: DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray, int]:
 
 @dataclass
 class Latent:
-    """``axes``: latent coordinates (rows) of the terms, inverse frequency included; ``items``: unit rows;
-    ``least``: how far a passage must reach in an item's direction to hold enough of its words."""
+    """``axes``: latent coordinates (rows) of the terms, inverse frequency included; ``parts``: unit rows;
+    ``least``: how far a passage must reach in a part's direction to hold enough of its words."""
 
     axes: np.ndarray
-    items: np.ndarray
+    parts: np.ndarray
     least: np.ndarray
 
 
@@ -195,10 +203,10 @@ def randomised_axes(matrix: np.ndarray, rank: int, rounds: int = 3) -> np.ndarra
 
 
 def decompose(block: Block, held: np.ndarray, sketch: np.ndarray, passages: int) -> Latent:
-    """Latent axes of the block's items, free of what the corpus has in common."""
+    """Latent axes of the block's parts, free of what the corpus has in common."""
     inverse = np.log((1 + passages) / (1 + held)) + 0.1
-    matrix = np.zeros((len(block.items), len(block.terms)))
-    for k, found in enumerate(block.items):
+    matrix = np.zeros((len(block.parts), len(block.terms)))
+    for k, found in enumerate(block.parts):
         np.add.at(matrix[k], [block.terms[w] for w in found], 1.0)
     matrix *= inverse
     whole = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -209,11 +217,11 @@ def decompose(block: Block, held: np.ndarray, sketch: np.ndarray, passages: int)
     axes = randomised_axes(rest, AXES)
     places = rest @ axes
     norm = np.linalg.norm(places, axis=1, keepdims=True)
-    items = np.where(norm > 1e-9, places / np.maximum(norm, 1e-12), 0)
-    # Of two passages that an item lies across, one holds three quarters of it or of a passage.
-    part = np.minimum(1.0, 0.75 * PASSAGE / np.array([len(found) for found in block.items]))
+    parts = np.where(norm > 1e-9, places / np.maximum(norm, 1e-12), 0)
+    # Of two passages that a part lies across, one holds three quarters of it or of a passage.
+    part = np.minimum(1.0, 0.75 * PASSAGE / np.array([len(found) for found in block.parts]))
     least = REACH * COVERAGE * part * (whole * norm)[:, 0]
-    return Latent(np.ascontiguousarray((axes * inverse[:, None]).T, np.float32), items.astype(np.float32), least.astype(np.float32))
+    return Latent(np.ascontiguousarray((axes * inverse[:, None]).T, np.float32), parts.astype(np.float32), least.astype(np.float32))
 
 
 def common_length(item: list[bytes], region: list[bytes]) -> int:
@@ -229,11 +237,22 @@ def common_length(item: list[bytes], region: list[bytes]) -> int:
     return len(item) - row.bit_count()
 
 
+def pace(item: list[bytes]) -> int:
+    """Words between places where an item is judged: the passages of one place share one region."""
+    return max(STEP, len(item) // 4 // STEP * STEP)
+
+
 def judged(block: Block, k: int, words: list[bytes], start: int) -> tuple[float, int] | None:
-    """(share of the item that comes in order, first word of the region) if it counts."""
+    """(share of the item that comes in order, first word of the region) if it counts.
+
+    ``start``: a multiple of the item's pace; the region serves all passages up to the next one.
+    """
     item = block.items[k]
     low = max(0, start - len(item))
-    region = words[low : start + PASSAGE + len(item)]
+    region = words[low : start + pace(item) - STEP + PASSAGE + len(item)]
+    held = set(region)
+    if sum(w in held for w in item) / len(item) < COVERAGE:
+        return None
     # Of the region, no stretch much longer than the item may be used.
     width, best = len(item) + len(item) // 2 + 2, (0.0, low)
     for at in range(0, max(1, len(region) - width + len(item) // 4 + 1), max(1, len(item) // 4)):
@@ -266,22 +285,27 @@ def search(docs: DataFrame, block: Block, latent: Latent) -> DataFrame:
         sums[:-1] += np.where(last[:-1, None], 0, sums[1:])
         norm = np.linalg.norm(sums, axis=1)
         seen: set[tuple[int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()
         for low in range(0, len(sums), ROWS):
             part, size = sums[low : low + ROWS], norm[low : low + ROWS]
-            near = part @ latent.items.T
-            passage, item = np.nonzero((near >= COSINE * size[:, None]) & (near >= latent.least) & (size[:, None] > 1e-6))
+            near = part @ latent.parts.T
+            passage, column = np.nonzero((near >= COSINE * size[:, None]) & (near >= latent.least) & (size[:, None] > 1e-6))
             owner = np.searchsorted(first, passage + low, side="right") - 1
-            for p, k, own in zip(passage.tolist(), item.tolist(), owner.tolist(), strict=True):
-                if (own, k) in seen:
+            for p, c, own in zip(passage.tolist(), column.tolist(), owner.tolist(), strict=True):
+                k = block.owners[c]
+                start = (p + low - int(first[own])) * STEP
+                start -= start % pace(block.items[k])
+                if (own, k) in seen or (own, k, start) in tried:
                     continue
-                got = judged(block, k, found[own], (p + low - int(first[own])) * STEP)
+                tried.add((own, k, start))
+                got = judged(block, k, found[own], start)
                 if got:
                     seen.add((own, k))
                     values = (
                         batch.column("doc_id")[own].as_py(),
                         int(np.uint64(xxhash.xxh64_intdigest(rows[own].encode(), 42)).astype(np.int64)),
                         block.ids[k],
-                        float(near[p, k] / size[p]),
+                        float(near[p, c] / size[p]),
                         *got,
                     )
                     for name, value in zip(out, values, strict=True):
