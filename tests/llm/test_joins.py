@@ -181,6 +181,63 @@ def test_long_benchmark_items(spark, documents):
     assert all(decontaminate.COVERAGE <= r.coverage <= 1 for r in rows)
 
 
+def planted(seed, items, sizes, changed, vocabulary=4000):
+    """Texts that hold one item each with a share of its words changed, and the items; words are seldom and common."""
+    rng = np.random.default_rng(seed)
+    words = np.array(["".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(vocabulary)])
+    share = 1 / np.arange(1, vocabulary + 1)
+    draw = lambda n: rng.choice(words, n, p=share / share.sum())
+    bench, texts = [], []
+    for _ in range(items):
+        item = draw(rng.integers(*sizes))
+        copy = item.copy()
+        at = rng.choice(item.size, round(changed * item.size), replace=False)
+        copy[at] = draw(at.size)
+        bench.append(" ".join(item))
+        texts.append(" ".join([*draw(rng.integers(0, 120)), *copy, *draw(rng.integers(0, 120))]))
+    return texts, bench
+
+
+@pytest.mark.parametrize(("items", "sizes", "changed"), [(600, (6, 12), 0.2), (1500, (15, 60), 0.35)])
+def test_recall_of_short_and_many_items(spark, documents, items, sizes, changed):
+    texts, bench = planted(31, items, sizes, changed)
+    rows = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(texts), rows).collect()}
+    assert sum((k, k) in got for k in range(items)) >= 0.97 * items
+
+
+def test_blocks_and_passes_lose_nothing(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PARTS", 16)
+    monkeypatch.setattr(decontaminate, "BLOCKS", 2)
+    texts, bench = planted(32, 70, (6, 400), 0.0)
+    rows = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    got = decontaminate.contaminated(documents(texts), rows).collect()
+    assert {(k, k) for k in range(70)} <= {(r.doc_id, r.item_id) for r in got}
+    assert len({(r.doc_id, r.item_id) for r in got}) == len(got)
+
+
+def test_seldom_words_find_what_all_pairs_find():
+    texts, bench = planted(33, 60, (6, 17), 0.2, vocabulary=300)
+    block = decontaminate.block_of([(k, w, [], w) for k, w in enumerate(map(decontaminate.words_of, bench))])
+    terms = decontaminate.united([block])
+    found = [decontaminate.words_of(t) for t in texts]
+    held = np.array([sum(w in set(x) for x in found) for w in block.terms])
+    seldom = decontaminate.seldom_words([block], terms, [(held, None, len(found))])
+    number, run, first = decontaminate.term_runs(found, terms.numbers)
+    got = set(zip(*(x.tolist() for x in seldom.candidates(number, run, first)), strict=True))
+    inverse, want = decontaminate.inverse_frequency(held, len(found)), set()
+    for d, text in enumerate(found):
+        for p in range(first[d + 1] - first[d]):
+            passage = set(text[p * decontaminate.STEP :][: decontaminate.PASSAGE])
+            for k, item in enumerate(block.items):
+                weight = [inverse[block.terms[w]] ** 2 for w in item]
+                there = [w in passage for w in item]
+                enough = np.dot(weight, there) / sum(weight) >= decontaminate.REACH * decontaminate.COVERAGE
+                if enough and sum(there) / len(item) >= decontaminate.COVERAGE:
+                    want.add((int(first[d]) + p, k))
+    assert got == want and len(want) >= 50
+
+
 def test_common_length():
     def brute(a, b):
         row = [0] * (len(b) + 1)
