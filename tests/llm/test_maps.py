@@ -78,6 +78,40 @@ def test_masking():
     assert secrets.masked("0123456789", [("a", 1, 5), ("b", 3, 7), ("c", 8, 9)]) == "0[a]7[c]9"
 
 
+def pem(kind, size, seed, fields=""):
+    body = base64.b64encode(random.Random(seed).randbytes(size)).decode()
+    lines = [body[k : k + 64] for k in range(0, len(body), 64)]
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{fields}" + "\n".join(lines) + f"\n-----END {kind}PRIVATE KEY-----", lines
+
+
+@pytest.mark.parametrize("size", [32, 48, 121, 600, 1190])
+def test_no_line_of_a_private_key_is_left(size):
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    for kind, extra in (("", ""), ("RSA ", fields), ("OPENSSH ", "")):
+        whole, lines = pem(kind, size, size, extra)
+        open_end = whole[: whole.index("\n-----END")]
+        cases = [
+            (whole, " and more words.", " and more words."),
+            (whole.replace("\n", "\r\n"), "\nmore", "\nmore"),
+            (whole.replace("\n", "\\n"), '", "a": 1', '", "a": 1'),
+            (whole.replace("\n", "\n    "), "\nx", "\nx"),
+            (whole, "\n" + pem("EC ", 60, 5)[0], "\n[private_key]"),
+            (open_end, "\n\n-- plain words follow", "\n\n-- plain words follow"),
+            (open_end, "\n" + whole, "\n[private_key]"),
+            (open_end[:-3], "", ""),
+            (open_end.replace("\n", "\\n"), "", ""),
+        ]
+        for text, after, want in cases:
+            text = f"é my key: {text}{after}"
+            spans = secrets.scan_rows([text.encode()])[0]
+            assert spans == brute_spans(text)
+            got = secrets.masked(text, spans)
+            assert got == f"é my key: [private_key]{want}", (text, got)
+            assert not any(line[:12] in got for line in lines)
+    alone = "a line -----BEGIN PRIVATE KEY----- says that a key follows"
+    assert secrets.masked(alone, secrets.scan_rows([alone.encode()])[0]) == "a line [private_key] says that a key follows"
+
+
 # --- licenses --------------------------------------------------------------------------------------
 
 LICENSE_TEXTS = [

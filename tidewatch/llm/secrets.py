@@ -51,9 +51,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: A private key from its BEGIN line to its END line. Where another mark or the text's end comes first, the
+#: header fields and base64 lines that follow, and a last line that is shorter. Line ends may be escaped or blanks.
+_NEXT = r"(?:\s|\\[nrt]|[\"'>#,])++"
+PRIVATE_KEY = (
+    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rf"|(?:{_NEXT}(?:Proc-Type|DEK-Info):[^\n\\]*+)*+"
+    rf"(?:{_NEXT}[A-Za-z0-9+/]{{20,}}+={{0,2}})*+"
+    rf"(?:{_NEXT}[A-Za-z0-9+/]{{2,}}+={{1,2}}|{_NEXT}[A-Za-z0-9+/]++\Z"
+    rf"|{_NEXT}(?<=\n)(?:[A-Za-z0-9+/]{{4}})++(?![^\s\\\"']))?)"
+)
 #: Rules of this scanner.
 OWN = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge", r"\b(?:ghp|gho|ghs|ghu|ghr)_[A-Za-z0-9]{30,}"),
     Rule("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
