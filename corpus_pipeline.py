@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 1. language: documents whose language cannot be told (no text, no letters) go.
-2. near_copies: of each group of linked documents one stays, that of the smallest doc_id.
+2. near_copies: of each group of linked documents one stays, that of the smallest doc_id, then of the
+   smallest text hash; ids that are null come last.
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: every secret is replaced by a mark of its kind; no document goes.
 5. tokens: texts that survive byte-level BPE unchanged are encoded; the result carries the ids.
@@ -34,33 +35,47 @@ def mapped(frame: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document in a language that was learned; the model is learned from ``docs``."""
+    """Keeps every document in a language that was learned; the model is learned from ``docs``.
+
+    Where no row has a language to learn from, every document with a letter stays.
+    """
     model = languages.fit(languages.training_rows(docs))
     shared = spark.sparkContext.broadcast(model)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = languages.decide(shared.value, [x or "" for x in batch.column("text").to_pylist()])
+        rows = [x or "" for x in batch.column("text").to_pylist()]
+        if not shared.value.languages:
+            return batch.filter(pa.array([bool(languages.encoded(x, shared.value.symbols).any()) for x in rows], pa.bool_()))
+        found = languages.decide(shared.value, rows)
         return batch.filter(pa.array([k != "und" for k, _ in found], pa.bool_()))
 
     return mapped(docs, keep, docs.schema)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class: the smallest doc_id; without any id, one row of the class's texts."""
-    found = jaccard.classes(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
-    own = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    columns = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
-    rows = own.join(kept.withColumnRenamed("doc_id", "kept_id"), "text_hash").where(F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return rows.groupBy("doc_id", "text_hash").agg(*columns).select(*docs.columns)
+    """Keeps one row of each class: the smallest (doc_id, text_hash), null ids last.
+
+    Texts without words are in no class: each (doc_id, text) of theirs stays once.
+    """
+    alone = F.col("class").isNull()
+    keys = ["class", F.when(alone, F.col("doc_id")).alias("own_id"), F.when(alone, F.col("text_hash")).alias("own_hash")]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    kept = jaccard.numbered_classes(docs).groupBy(*keys).agg(least)
+    kept = kept.select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_hash").alias("text_hash"))
+    # A row travels as one value, so its columns may have any names.
+    own = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    )
+    rows = own.join(kept, "text_hash").where(F.col("own_id").eqNullSafe(F.col("kept_id")))
+    return rows.groupBy("own_id", "text_hash").agg(F.first("row").alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops every document that holds an item of ``benchmark``."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct()
     marked = found.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
-    bad = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash"))
-    return docs.join(marked, bad, "left_anti")
+    bad = F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("row.text") == F.col("bad_hash"))
+    return docs.select(F.struct(*docs.columns).alias("row")).join(marked, bad, "left_anti").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,46 @@
+"""The stages of the corpus pipeline."""
+
+import random
+
+import corpus_pipeline
+import pytest
+
+
+def near(seed, n=60):
+    """A text and one that links with it."""
+    draw = random.Random(seed)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    return " ".join(words), " ".join([*words[:-1], "other"])
+
+
+def test_one_row_of_each_class_stays(spark, documents):
+    (a, b), (c, d), (e, f) = near(1), near(2), near(3)
+    # No id at all; two texts of one smallest id; an id and none; texts without words.
+    texts = [a, b, a, c, d, d, e, f, "  ", " ", "", None]
+    ids = [None, None, None, 7, 7, 9, None, 11, 20, 21, None, None]
+    got = corpus_pipeline.near_copies(spark, documents(texts, ids=ids), "").collect()
+    left = [(r.doc_id, r.text) for r in got]
+    assert len([x for x in left if x[1] in (a, b)]) == 1
+    assert len([x for x in left if x[1] in (c, d)]) == 1 and {x[0] for x in left if x[1] in (c, d)} == {7}
+    assert [x for x in left if x[1] in (e, f)] == [(11, f)]
+    assert sorted((x[0] or 0) for x in left if not (x[1] or "").strip()) == [0, 20, 21]
+    assert len(left) == 6
+
+
+@pytest.mark.parametrize("ids", [None, [None] * 5])
+def test_without_a_language_to_learn_only_texts_without_letters_go(spark, documents, ids):
+    texts = ["plain words", "été", None, "", "12 !?"]
+    docs = documents(texts, ["en"] * 5 if ids else None, ids)
+    assert sorted(r.text for r in corpus_pipeline.language(spark, docs, "").collect()) == ["plain words", "été"]
+
+
+def test_columns_of_any_name_are_kept(spark, documents, tmp_path):
+    docs = documents(["one two three four five six"] * 2, ids=[1, 2])
+    for name in ("text_hash", "kept_id", "bad_id", "bad_hash", "row", "class", "own_id"):
+        docs = docs.selectExpr("*", f"'mine' AS {name}")
+    spark.createDataFrame([(1, "some other words of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage, left in ((corpus_pipeline.near_copies, [1]), (corpus_pipeline.decontamination, [1, 2])):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert sorted(r.doc_id for r in rows) == left and all(r.text_hash == r.bad_id == r["class"] == "mine" for r in rows)

@@ -296,6 +296,11 @@ def classes(docs: DataFrame) -> DataFrame:
     link like others but name no component (null if no linked row has an id). Repeated rows stay;
     rows of one doc_id with different texts are texts of their own. An empty table gives an empty one.
     """
+    return numbered_classes(docs).drop("class")
+
+
+def numbered_classes(docs: DataFrame) -> DataFrame:
+    """``classes`` with the number of each class, which ids do not decide; null for texts without words."""
     spark = docs.sparkSession
     folders = [shared_folder(spark) for _ in range(5)]
     weights = spark.sparkContext.broadcast(frequent(docs))
@@ -342,10 +347,11 @@ def classes(docs: DataFrame) -> DataFrame:
         "set_key", "doc_id", F.coalesce("component", "node").alias("component")
     )
     named = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = whole.join(named, "component").select("set_key", "component_id")
+    by_set = whole.join(named, "component").select("set_key", "component_id", F.col("component").alias("class"))
     return small.join(by_set, "set_key", "left").select(
         "doc_id",
         "text_hash",
         "n_shingles",
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "class",
     )
