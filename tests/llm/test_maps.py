@@ -153,6 +153,43 @@ def test_contained_detections_are_suppressed():
     assert len(licenses.signatures()) > 300
 
 
+def samples(items):
+    """Matches of a parsed expression: the first choice of every node, then each other choice of one node."""
+    from re import _constants as code
+
+    def choices(op, value):
+        if op is code.LITERAL:
+            return [chr(value)]
+        if op is code.IN:
+            return [chr(v if o is code.LITERAL else v[0]) for o, v in value]
+        if op is code.ANY:
+            return ["x"]
+        if op is code.SUBPATTERN:
+            return samples(value[3])
+        if op is code.BRANCH:
+            return [x for branch in value[1] for x in samples(branch)]
+        low, _, body = value
+        return [x * n for n in (low, low + 1) for x in samples(body)]
+
+    every = [choices(op, value) for op, value in items]
+    first = [c[0] for c in every]
+    return list(dict.fromkeys("".join([*first[:k], x, *first[k + 1 :]]) for k, c in enumerate(every) for x in c))
+
+
+def test_gate_loses_no_detection(monkeypatch):
+    texts = []
+    for s in licenses.signatures():
+        for text in samples(re._parser.parse(s.pattern)):
+            text = " ".join(text.split())
+            assert s.keyword in text or not re.fullmatch(s.pattern, text), (s, text)
+            texts.append(text)
+    gated = [licenses.detections(t) for t in texts]
+    _, by = licenses._gate()
+    every = type("All", (), {"iter": lambda self, words: [(0, keyword) for keyword in by]})()
+    monkeypatch.setattr(licenses, "_gate", lambda: (every, by))
+    assert gated == [licenses.detections(t) for t in texts] and all(gated)
+
+
 # --- byte-level BPE --------------------------------------------------------------------------------
 
 

@@ -80,7 +80,7 @@ FAMILIES = (
     ("afl", "academic free", r"academic free licen[sc]e", ("1 1", "2 0", "2 1", "3 0"), "afl"),
     ("ms-pl", "microsoft", r"microsoft public licen[sc]e", (), "ms pl"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e", (), "ms rl"),
-    ("odbl", "open database", r"open (?:data commons )?database licen[sc]e", ("1 0",), "odbl"),
+    ("odbl", "database", r"open (?:data commons )?database licen[sc]e", ("1 0",), "odbl"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", (), "cc0"),
     ("cc-by", "cc by", r"cc by", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc by"),
     ("cc-by-sa", "cc by", r"cc by sa", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc by sa"),
@@ -103,7 +103,7 @@ FAMILIES = (
 #: Sentences that stand for a license without naming it; addresses.
 SENTENCES = (
     ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 95, 0.95),
-    ("isc", "hereby granted", r"permission to use copy modify and or distribute this software for any purpose", 95, 0.9),
+    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 95, 0.9),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms", 92, 0.9),
     ("bsd-3-clause", "endorse", r"neither the name of .{1,80}? may be used to endorse or promote products", 95, 0.9),
     ("gpl", "free software", r"this program is free software you can redistribute it", 92, 0.9),
