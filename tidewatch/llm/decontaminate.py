@@ -42,8 +42,8 @@ STEP = 32
 SKETCH = 20
 COMMON = 12
 AXES = 64
-#: Parts of items in one block, blocks of one pass over the table, and the longest part of an item, in words, that a passage is compared with. A
-#: passage is a quarter of 256 words, too few for COSINE once words of it are changed.
+#: Parts of items in one block, blocks of one pass over the table, and the longest part of an item, in words, that a passage is compared with: a
+#: passage holds half of such a part.
 PARTS = 512
 BLOCKS = 16
 LONGEST = 128
