@@ -195,7 +195,7 @@ def test_search_over_several_trees(monkeypatch, leaf):
     """Small leaves, copies and equal scores; the list is carried from tree to tree."""
     monkeypatch.setattr(lexical, "LEAF", leaf)
     rng = np.random.default_rng(leaf)
-    mine, best, want = [(k, 10 + k % 3) for k in range(0, 25, 2)], lexical.Best(20), []
+    mine, best, want = np.where(np.arange(25) % 2 == 0, 10 + np.arange(25) % 3, 0), lexical.Best(20), []
     for part in range(5):
         sizes = rng.integers(0, 8, 90)
         paths = [np.sort(rng.choice(25, s, replace=False)) for s in sizes[:60]]
@@ -204,9 +204,8 @@ def test_search_over_several_trees(monkeypatch, leaf):
         ids = rng.permutation(1000)[:90] + 1000 * (4 - part)
         tree = lexical.Tree(np.append(0, np.cumsum([p.size for p in paths])), np.concatenate(paths), np.concatenate(tfs), m, ids, np.zeros(90, bool))
         tree.search(mine, best)
-        dear = dict(mine)
         for p, f, size, i in zip(paths, tfs, m.tolist(), ids.tolist()):
-            score = sum(dear.get(int(t), 0) * (10**9 * int(n) // (1000 * int(n) + 12 * size)) for t, n in zip(p, f))
+            score = sum(int(mine[t]) * (10**9 * int(n) // (1000 * int(n) + 12 * size)) for t, n in zip(p, f))
             want.append((-score, i))
     assert list(zip((-best.scores).tolist(), best.ids.tolist())) == sorted(want)[:20]
 
@@ -222,7 +221,7 @@ def test_trees_prune_and_stay_exact():
         tree = lexical.Tree(np.append(0, np.cumsum(sizes)), ranks, tfs, m, np.arange(400), np.zeros(400, bool))
     finally:
         lexical.LEAF = lexical_leaf
-    mine = [(k, 10 + k) for k in range(0, tree.terms.size, 3)]
+    mine = np.where(np.arange(40) % 3 == 0, 10 + np.arange(40), 0)
     for node in range(len(tree.first)):
         best = lexical.Best(1)
         tree._score(mine, tree.first[node], tree.end[node], best)

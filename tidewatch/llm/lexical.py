@@ -29,7 +29,7 @@ from tidewatch.llm.common import byte_texts, discard, map_rows, shared_folder, s
 #: Documents that share a path of the tree without it being split further.
 LEAF = 32
 #: Documents and kept terms of one tree at most.
-TREE_ROWS, TREE_TERMS = 50_000, 2_000_000
+TREE_ROWS, TREE_TERMS = 25_000, 1_000_000
 #: Items, and bytes of their texts, that are ranked in one pass over the documents.
 BLOCK_ITEMS, BLOCK_BYTES = 2_000, 8 << 20
 #: Bytes of one text that are split into terms at a time.
@@ -83,123 +83,131 @@ def _restricted(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 class Tree:
     """An FP-tree over the restricted vectors of a run of documents.
 
-    Terms are ranks, seldom terms first. ``ids`` holds doc_ids; rows without one have ``none`` set.
+    Terms are ranks, seldom terms first. ``ids`` holds doc_ids; rows without one have ``none`` set. The
+    documents are sorted by their paths, so a node is a slice of them; a stretch of path without a fork is one edge.
     """
 
     def __init__(self, starts: np.ndarray, ranks: np.ndarray, tfs: np.ndarray, m: np.ndarray, ids: np.ndarray, none: np.ndarray):
-        rows = starts.size - 1
-        owner = np.repeat(np.arange(rows), np.diff(starts))
+        sizes = np.diff(starts)
+        owner = np.repeat(np.arange(sizes.size), sizes)
         inside = np.lexsort([ranks, owner])
         ranks, tfs = ranks[inside], tfs[inside]
-        paths = [ranks[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
-        order = sorted(range(rows), key=paths.__getitem__)
-        self.paths = [paths[k] for k in order]
+        # Terms as big-endian numbers: paths compare as their bytes do.
+        written, ends = ranks.astype(">u4").tobytes(), (4 * starts).tolist()
+        paths = [written[a:b] for a, b in zip(ends, ends[1:])]
+        order = np.array(sorted(range(sizes.size), key=paths.__getitem__), np.int64)
+        self._grow([paths[k] for k in order.tolist()])
+        del paths, written
         self.m, self.ids, self.none = m[order], ids[order], none[order]
-        # The documents of each term, in tree order, so that a subtree is a slice of each list.
-        place = np.empty(rows, np.int64)
-        place[order] = np.arange(rows)
-        at = place[owner]
-        by_term = np.lexsort([at, ranks])
-        self.doc, self.tf = at[by_term], tfs[by_term]
-        self.terms, first = np.unique(ranks[by_term], return_index=True)
-        self.span = np.append(first, by_term.size)
-        self._grow(rows)
-        self._summarise()
-
-    def _grow(self, rows: int) -> None:
+        # Terms and tfs of all documents one after the other, in tree order.
+        sizes = sizes[order]
+        self.starts = np.append(0, np.cumsum(sizes))
+        picked = np.repeat(starts[:-1][order] - self.starts[:-1], sizes) + np.arange(ranks.size)
+        self.terms, tfs = ranks[picked].astype(np.int32), tfs[picked]
+        self.share = _share(tfs, np.repeat(self.m, sizes))
+        self._summarise(tfs)
+
+    def _grow(self, paths: list[bytes]) -> None:
         """Nodes as slices of the sorted documents; the children of a node are numbered in a row."""
-        self.first, self.end, self.depth, self.kids = [0], [rows], [0], []
+        first, end, kids = [0], [len(paths)], []
         node = 0
-        while node < len(self.first):
-            a, b, d = self.first[node], self.end[node], self.depth[node]
-            begin = len(self.first)
-            if b - a > LEAF and self.paths[b - 1] != self.paths[a]:
+        while node < len(first):
+            a, b = first[node], end[node]
+            begin = len(first)
+            if b - a > LEAF and paths[b - 1] != paths[a]:
+                d = _shared(paths[a], paths[b - 1])
                 # Documents that end here come first and stay together.
                 while a < b:
-                    head = self.paths[a][d : d + 1]
+                    head = paths[a][d : d + 4]
                     c, top = a, b
                     while c < top:
                         mid = (c + top) // 2
-                        if self.paths[mid][d : d + 1] == head:
+                        if paths[mid][d : d + 4] == head:
                             c = mid + 1
                         else:
                             top = mid
-                    self.first.append(a)
-                    self.end.append(c)
-                    self.depth.append(d + 1 if head else d)
+                    first.append(a)
+                    end.append(c)
                     a = c
-            self.kids.append((begin, len(self.first)))
+            kids.append((begin, len(first)))
             node += 1
-        self.paths = []
+        self.first, self.end, self.kids = np.array(first), np.array(end), kids
 
-    def _summarise(self) -> None:
-        """Smallest m and id of each subtree, and for each term the subtrees that hold it with their greatest tf."""
-        first, end = np.array(self.first), np.array(self.end)
+    def _summarise(self, tfs: np.ndarray) -> None:
+        """Of each subtree the smallest m and id, and its terms with the most that each can count there."""
         keyed = np.where(self.none, _LAST, self.ids)
-        self.least_m = np.array([self.m[a:b].min() if b > a else 0 for a, b in zip(first, end)])
-        self.least_id = np.array([keyed[a:b].min() if b > a else _LAST for a, b in zip(first, end)])
-        levels, level = [], np.array([0])
+        count = self.first.size
+        self.least_m, self.least_id = np.zeros(count, np.int64), np.full(count, _LAST)
+        held, parts = np.zeros(count, np.int64), []
+        level = np.array([0])
         while level.size:
-            levels.append(level)
+            first, end = self.first[level], self.end[level]
+            if end[-1] > first[0]:
+                # Slices of one level rise and do not overlap.
+                self.least_m[level] = np.minimum.reduceat(np.append(self.m, _LAST), _edges(first, end))[::2]
+                self.least_id[level] = np.minimum.reduceat(np.append(keyed, _LAST), _edges(first, end))[::2]
+                spans = self.starts[end] - self.starts[first]
+                at = np.repeat(self.starts[first] - np.append(0, np.cumsum(spans)[:-1]), spans) + np.arange(spans.sum())
+                key = np.repeat(np.arange(level.size), spans) << 32 | self.terms[at]
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if key.size else np.zeros(0, np.int64)
+                most = np.maximum.reduceat(tfs[at][order], heads) if key.size else np.zeros(0, np.int64)
+                spot, term = key[heads] >> 32, (key[heads] & 0xFFFFFFFF).astype(np.int32)
+                held[level] = np.bincount(spot, minlength=level.size)
+                parts.append((term, _share(most, self.least_m[level][spot])))
             level = np.concatenate([np.arange(*self.kids[k]) for k in level.tolist()]).astype(np.int64)
-        self.node_of, self.node_tf = [], []
-        for k in range(self.terms.size):
-            a, b = self.span[k], self.span[k + 1]
-            docs, tfs, nodes, most = self.doc[a:b], self.tf[a:b], [], []
-            for level in levels:
-                # Slices of one level do not overlap and rise, so each document is in one of them or in none.
-                spot = np.searchsorted(first[level], docs, side="right") - 1
-                held = (spot >= 0) & (docs < end[level][np.maximum(spot, 0)])
-                if not held.any():
-                    break
-                spot, tfs, docs = spot[held], tfs[held], docs[held]
-                heads = np.flatnonzero(np.append(True, spot[1:] != spot[:-1]))
-                nodes.append(level[spot[heads]])
-                most.append(np.maximum.reduceat(tfs, heads))
-            self.node_of.append(np.concatenate(nodes))
-            self.node_tf.append(np.concatenate(most))
-
-    def search(self, item: list[tuple[int, int]], best: "Best") -> None:
-        """Puts the documents of the tree that belong there into an item's list."""
-        mine = []
-        for rank, dear in item:
-            k = int(np.searchsorted(self.terms, rank))
-            if k < self.terms.size and self.terms[k] == rank and dear:
-                mine.append((k, dear))
-        if not mine:
-            return
-        stack = [(0, self._bounds(mine, 0, 1)[0])]
+        # Levels are numbered one after the other, so the parts are in the order of the nodes.
+        self.node_starts = np.append(0, np.cumsum(held))
+        self.node_terms = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
+        self.node_share = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+
+    def search(self, dear: np.ndarray, best: "Best") -> None:
+        """Puts the documents that belong there into an item's list; ``dear`` is its weight for each rank."""
+        stack = [(0, int(self._bounds(dear, 0, 1)[0]))]
         while stack:
             node, bound = stack.pop()
             if not best.open_to(bound, self.least_id[node]):
                 continue
             begin, end = self.kids[node]
             if begin == end:
-                self._score(mine, self.first[node], self.end[node], best)
+                self._score(dear, self.first[node], self.end[node], best)
                 continue
-            bounds = self._bounds(mine, begin, end)
-            for k in np.argsort(bounds, kind="stable").tolist():
-                if best.open_to(bounds[k], self.least_id[begin + k]):
-                    stack.append((begin + k, bounds[k]))
+            bounds = self._bounds(dear, begin, end)
+            near = np.flatnonzero(bounds >= best.least())
+            # The best child comes last, so it is opened first.
+            for k in near[np.argsort(bounds[near], kind="stable")].tolist():
+                stack.append((begin + k, int(bounds[k])))
 
-    def _bounds(self, mine: list[tuple[int, int]], begin: int, end: int) -> np.ndarray:
+    def _bounds(self, dear: np.ndarray, begin: int, end: int) -> np.ndarray:
         """The most that a document below each of the nodes ``begin``..``end`` can score."""
-        out = np.zeros(end - begin, np.int64)
-        for k, dear in mine:
-            nodes = self.node_of[k]
-            a, b = np.searchsorted(nodes, [begin, end])
-            at = nodes[a:b]
-            out[at - begin] += dear * _share(self.node_tf[k][a:b], self.least_m[at])
-        return out
-
-    def _score(self, mine: list[tuple[int, int]], first: int, end: int, best: "Best") -> None:
-        out = np.zeros(end - first, np.int64)
-        for k, dear in mine:
-            docs = self.doc[self.span[k] : self.span[k + 1]]
-            a, b = np.searchsorted(docs, [first, end])
-            at = docs[a:b]
-            out[at - first] += dear * _share(self.tf[self.span[k] + a : self.span[k] + b], self.m[at])
-        best.offer(out, self.ids[first:end], self.none[first:end])
+        return _sums(dear, self.node_terms, self.node_share, self.node_starts[begin : end + 1])
+
+    def _score(self, dear: np.ndarray, first: int, end: int, best: "Best") -> None:
+        scores = _sums(dear, self.terms, self.share, self.starts[first : end + 1])
+        best.offer(scores, self.ids[first:end], self.none[first:end])
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes of the terms at which two paths begin alike."""
+    d = 0
+    while a[d : d + 4] == b[d : d + 4] and d < len(a):
+        d += 4
+    return d
+
+
+def _edges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Borders for ``reduceat`` over slices that rise: every other result is a slice's own."""
+    out = np.empty(2 * first.size, np.int64)
+    out[::2], out[1::2] = first, end
+    return out
+
+
+def _sums(dear: np.ndarray, terms: np.ndarray, share: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Weighted shares summed over each run of terms; an empty run has none."""
+    a, b = starts[0], starts[-1]
+    total = np.append(0, np.cumsum(dear[terms[a:b]] * share[a:b]))
+    return total[starts[1:] - a] - total[starts[:-1] - a]
 
 
 def _share(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -214,6 +222,10 @@ class Best:
         self.size = size
         self.scores, self.ids, self.none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
+    def least(self) -> int:
+        """Below this score nothing enters the list."""
+        return int(self.scores[-1]) if self.scores.size >= self.size else 1
+
     def open_to(self, score: int, least_id: int) -> bool:
         if score <= 0 or self.scores.size < self.size:
             return score > 0
@@ -239,9 +251,9 @@ def _trees(batches: Iterator[pa.RecordBatch], rank: np.ndarray, documents: int,
 
     def tree() -> Tree:
         sizes = np.concatenate([h[0] for h in held])
-        m = np.concatenate([h[3] for h in held])
-        parts = [np.concatenate([h[k] for h in held]) for k in (1, 2, 4, 5)]
-        return Tree(np.append(0, np.cumsum(sizes)), parts[0], parts[1], m, parts[2], parts[3])
+        parts = [np.concatenate([h[k] for h in held]) for k in range(1, 6)]
+        held.clear()
+        return Tree(np.append(0, np.cumsum(sizes)), *parts)
 
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
@@ -256,8 +268,8 @@ def _trees(batches: Iterator[pa.RecordBatch], rank: np.ndarray, documents: int,
             held.append((sizes, rank[column.flatten().to_numpy()], tf, m, ids, none))
             rows, terms = rows + part.num_rows, terms + tf.size
             if rows >= TREE_ROWS or terms >= TREE_TERMS:
+                rows = terms = 0
                 yield tree()
-                held, rows, terms = [], 0, 0
     if held:
         yield tree()
 
@@ -285,9 +297,14 @@ def _rank_block(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = [(number, item, Best(k)) for number, item in queries if item]
+        dear = np.zeros(rank.size, np.int64)
         for tree in _trees(batches, rank, documents, total):
             for _, item, best in lists:
-                tree.search(item, best)
+                ranks = [r for r, _ in item]
+                dear[ranks] = [w for _, w in item]
+                tree.search(dear, best)
+                dear[ranks] = 0
+            del tree
         for number, _, best in lists:
             if best.scores.size:
                 yield pa.RecordBatch.from_arrays(
