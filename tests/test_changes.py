@@ -70,11 +70,45 @@ def test_matches_a_dictionary(spark, seed, monkeypatch):
         (("merge", [("a", 1), ("b", "p")], [("x", "y")]), "unknown operation"),
     ],
 )
-def test_one_bad_entry_stops_the_batch(spark, entry, error):
+@pytest.mark.parametrize("read", ["collect", "count"])
+def test_one_bad_entry_stops_the_batch(spark, entry, error, read):
     df = spark.createDataFrame([(1, "p", "x", 1)], BASE)
     good = ("update", [("a", 1), ("b", "p")], [("x", "fine")])
-    with pytest.raises(ValueError, match=error):
-        H.apply_changes(df, log_df(spark, [good, entry]), ["a", "b"])
+    out = H.apply_changes(df, log_df(spark, [good, entry]), ["a", "b"])
+    with pytest.raises(Exception, match=error):
+        getattr(out, read)()
+
+
+@pytest.mark.parametrize("chunk", [2, 100])
+@pytest.mark.parametrize(
+    ("ops", "bad"),
+    [("ID", None), ("IDI", None), ("IuIu", 2), ("IuuuuuI", 6), ("DI", None), ("IDII", 3), ("uuIDuI", None)],
+)
+def test_inserts_meet_what_is_there(spark, monkeypatch, chunk, ops, bad):
+    """A second insert of a key fails, also when updates lie between and in another piece of the log."""
+    monkeypatch.setattr(H, "SEQ_CHUNK", chunk)
+    key = [("a", 9), ("b", "z")]
+    entries = [{"I": ("insert", [], [*key, ("n", k)]), "D": ("delete", key, []), "u": ("update", key, [("n", k)])}[o] for k, o in enumerate(ops)]
+    log, base = log_df(spark, entries), spark.createDataFrame([(1, "p", "x", 1)], BASE)
+    errors = [r.seq for r in H.change_errors(base, log, ["a", "b"]).orderBy("seq").collect()]
+    assert errors[:1] == ([] if bad is None else [bad])
+    out = H.apply_changes(base, log, ["a", "b"])
+    if bad is None:
+        assert out.count() == 1 + (ops.replace("u", "")[-1] == "I")
+    else:
+        with pytest.raises(Exception, match=rf"change {bad} \(insert\): duplicate key"):
+            out.collect()
+
+
+def test_one_pass_over_the_log_and_no_job_before_it(spark):
+    """The plan reads the log once, and building it starts no job."""
+    base, log = spark.createDataFrame([(1, "p", "x", 1)], BASE), log_df(spark, [("delete", [("a", 1), ("b", "p")], [])])
+    spark.sparkContext.setJobGroup("building", "apply_changes")
+    out = H.apply_changes(base, log, ["a", "b"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
 
 
 def test_no_key_is_refused(spark):

@@ -135,3 +135,25 @@ def test_to_json_is_valid_when_order_keys_repeat(spark):
     lines = O.to_json(rows, order=["k"]).orderBy("part", "k", "row_no").collect()
     parsed = json.loads("\n".join(r.line for r in lines))
     assert sorted(x["v"] for x in parsed) == sorted(f"v{k}" for k in range(10))
+
+
+def test_dump_reports_what_it_wrote(spark, tmp_path):
+    """Rows, statements and bytes come from the write and equal the files; statements end where they must."""
+    rows = spark.range(0, 2500, 1, 3).selectExpr("id", "concat('it\\'s ', id) AS name", "IF(id % 7 = 0, double('NaN'), id / 7) AS ratio")
+    home = str(tmp_path / "dump")
+    stats = {r.table: r for r in O.dump_tables({"a": rows, "b": rows.where("id < 0")}, home, "shop", "9.9", "now").collect()}
+    lines = [line for f in sorted((tmp_path / "dump" / "1-a").glob("part-*")) for line in f.read_text().splitlines()]
+    assert stats["a"].bytes == sum(f.stat().st_size for f in (tmp_path / "dump" / "1-a").glob("part-*"))
+    assert stats["a"].rows == 2500 and stats["a"].statements == sum(line.startswith("INSERT INTO") for line in lines)
+    assert (stats["b"].rows, stats["b"].statements, stats["b"].bytes) == (0, 0, 0)
+    assert not any("nan" in line.lower() for line in lines) and "(7,'it\\'s 7',NULL)" in [line.rstrip(",;") for line in lines]
+    sizes = [s.rows for s in O.dump_data(rows, "a", batch_rows=100).collect()]
+    # Each partition ends with a statement of its own; all others are full.
+    assert sum(sizes) == 2500 and max(sizes) == 100 and sum(n < 100 for n in sizes) <= 3
+    small = O.dump_data(rows, "a", batch_bytes=1000).collect()
+    assert all(len(s.line) < 1300 for s in small) and sum(s.rows for s in small) == 2500
+
+
+def test_only_finite_numbers_are_literals(spark):
+    df = spark.sql("SELECT double('Infinity') AS a, double('-Infinity') AS b, float('NaN') AS c, 2.5e0 AS d, double(null) AS e")
+    assert O.dump_data(df, "t").first().line.endswith("(NULL,NULL,NULL,2.5,NULL);")

@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 PYTHON_STEPS = {"dump_data", "dump_stats"}
 # These run jobs while they are built.
-EAGER = {q for q in catalogue.QUERIES if q.startswith("stream_")} | {"upsert_replay", "to_inserts", "apply_changes"}
+EAGER = {q for q in catalogue.QUERIES if q.startswith("stream_")} | {"upsert_replay", "to_inserts", "dump_stats", "browse_after", "store_stats"}
 
 
 def plan_of(spark, name: str) -> str:

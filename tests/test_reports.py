@@ -105,9 +105,9 @@ def test_numbers_of_both_layouts(spark):
 
 
 def test_deadlock_parties(spark):
-    parsed = X.deadlocks(reports(spark, DEADLOCK, NEW, DEADLOCK.split("*** (1)")[0])).cache()
-    assert parsed.count() == 1
-    one, two = X.deadlock_parties(parsed).orderBy("party").collect()
+    sections = X.deadlock_sections(reports(spark, DEADLOCK, NEW, DEADLOCK.split("*** (1)")[0]))
+    assert X.deadlocks(sections).count() == 1
+    one, two = X.deadlock_parties(sections).orderBy("party").collect()
     assert one.detected_at == "2026-03-04 05:06:07 0x7f00"
     assert (one.trx_id, one.active_secs, one.activity) == ("71", 12, "fetching rows")
     assert (one.thread_id, one.host, one.user, one.state) == (31, "localhost", "root", "")
@@ -118,7 +118,7 @@ def test_deadlock_parties(spark):
 
 
 def test_deadlock_locks(spark):
-    parsed = X.deadlocks(reports(spark, DEADLOCK))
+    parsed = X.deadlock_sections(reports(spark, DEADLOCK))
     got = [
         (r.party, r.role, r.table, r["index"], r.mode, r.record)
         for r in X.deadlock_locks(parsed).orderBy("party", "role", "pos").collect()
@@ -141,4 +141,32 @@ def test_section_ends_at_the_next_rule(spark):
 def test_long_hex_dumps_do_not_matter(spark):
     dump = "\n".join(f" {i}: len 4; hex {i:08x}; asc     ;;" for i in range(20_000))
     text = DEADLOCK.replace("Record lock, heap no 2 PHYSICAL RECORD: n_fields 3", dump)
-    assert X.deadlock_parties(X.deadlocks(reports(spark, text))).count() == 2
+    assert X.deadlock_parties(X.deadlock_sections(reports(spark, text))).count() == 2
+
+
+def test_repeated_sections_are_parsed_once(spark):
+    """Many snapshots of one deadlock: equal rows for each, one history row, and the parse above the aggregate."""
+    other = DEADLOCK.replace("TRANSACTION 71", "TRANSACTION 70")
+    start = dt.datetime(2026, 1, 2)
+    rows = [("a", start + dt.timedelta(minutes=k), other if k == 5 else DEADLOCK) for k in range(8)]
+    rows += [("b", start, DEADLOCK), ("b", start, None), ("b", start, "")]
+    frame = spark.createDataFrame(rows, "server string, snapshot_ts timestamp, report string")
+    sections = X.deadlock_sections(frame)
+    assert X.deadlock_parties(sections).count() == 18 and X.deadlock_victim(sections).count() == 9
+    history = sorted((r.server, r.trx_ids, r.first_seen.minute, r.last_seen.minute, r.victim, r.snapshots) for r in X.deadlock_history(sections).collect())
+    assert history == [("a", ["70", "72"], 5, 5, 2, 1), ("a", ["71", "72"], 0, 7, 2, 7), ("b", ["71", "72"], 0, 0, 2, 1)]
+    assert parse_engine_reports(frame).count() == 11
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+    def first(lines, part):
+        return next(k for k, line in enumerate(lines) if part in line)
+
+    for df, mark in ((X.deadlock_parties(sections), "lock struct"), (X.deadlock_history(sections), "ACTIVE|TRANSACTION"), (parse_engine_reports(frame), "History list")):
+        lines = plan(df)
+        marks = [k for k, line in enumerate(lines) if any(m in line for m in mark.split("|"))]
+        # A parent is printed above its child.
+        assert max(marks) < first(lines, "Aggregate [_text_hash") and marks
+    assert not any("lock struct" in line or "thread id" in line for line in plan(X.deadlock_history(sections)))
+    assert not any("thread id" in line for line in plan(X.deadlock_tables(sections)))

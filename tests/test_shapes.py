@@ -69,3 +69,39 @@ def test_judged(shapes, sql, want, candidate):
 @pytest.mark.parametrize("sql", SKIPPED)
 def test_skipped(shapes, sql):
     assert shapes[sql].shape is None
+
+
+def test_deep_parentheses_take_linear_time(spark):
+    """2,000 nested groups and 2,000 nested calls, in far less than a round for each."""
+    import time
+
+    def statement(n, call=""):
+        return f"SELECT id FROM ships WHERE yard = ? AND {(call + '(') * n}beam < ?{')' * n} AND flag = ?"
+
+    def seconds(sqls):
+        df = spark.createDataFrame([(s,) for s in sqls], "sql string").select(statement_shape(F.col("sql")).alias("s"))
+        start = time.monotonic()
+        rows = [r.s for r in df.collect()]
+        return time.monotonic() - start, rows
+
+    seconds([statement(3)])
+    small, _ = seconds([statement(250)] * 40)
+    large, rows = seconds([statement(2000)] * 40)
+    assert large < 8 * small + 4
+    assert (rows[0].equality, rows[0].range) == (["yard", "flag"], "beam")
+    _, (shape,) = seconds([statement(2000, "ABS ")])
+    assert (shape.equality, shape.range, shape.wrapped_columns) == (["yard", "flag"], None, ["ABS"])
+
+
+def test_repeated_texts_are_parsed_once(spark):
+    from tidewatch.operators.suggest import statement_shapes
+
+    schema = "server string, digest string, digest_text string, text string, count long"
+    sql = "SELECT no FROM berths WHERE pier = ?"
+    rows = [(f"s{k}", "d", sql, "", 20) for k in range(9)] + [("s", "e", None, sql, 1), ("s", "f", None, None, 1)]
+    shaped = statement_shapes(spark.createDataFrame(rows, schema))
+    lines = shaped._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    walk = max(k for k, line in enumerate(lines) if "aggregate(" in line)
+    assert walk < next(k for k, line in enumerate(lines) if "Aggregate [_text_hash" in line)
+    got = shaped.collect()
+    assert len(got) == 11 and [r.candidate for r in got].count(["pier"]) == 10

@@ -10,6 +10,7 @@ from tidewatch.functions import fixed, fmt_duration, one_line, short_digest
 from tidewatch.operators.digests import RATIO_LIMIT, examined_per_sent
 from tidewatch.operators.indexes import TABLE, proper_prefixes
 from tidewatch.operators.suggest import statement_shapes
+from tidewatch.sources.snapshots import newest
 
 # Fixed values.
 MIN_UPTIME_SECS = 7 * 24 * 3600
@@ -105,7 +106,7 @@ def unused_indexes(
     usage: DataFrame, defs: DataFrame, uptimes: DataFrame, capabilities: DataFrame
 ) -> DataFrame:
     """Indexes nobody read in at least a week; unique ones enforce something."""
-    idle = usage.where((F.col("reads") == 0) & (F.upper("index") != "PRIMARY"))
+    idle = newest(usage).where((F.col("reads") == 0) & (F.upper("index") != "PRIMARY"))
     old_enough = uptimes.where(F.col("uptime_s") >= MIN_UPTIME_SECS)
     known = defs.select(*TABLE, "index", "unique", F.lit(True).alias("defined"))
     joined = (
@@ -211,7 +212,7 @@ def statement_findings(digests: DataFrame) -> DataFrame:
         )
     )
     return (
-        digests.where(F.col("count") >= MIN_EXECUTIONS)
+        newest(digests).where(F.col("count") >= MIN_EXECUTIONS)
         .select("server", _digest_object().alias("object"), F.explode(found).alias("f"))
         .select(
             "server", "f.severity", "f.kind", "object", "f.detail",
@@ -222,7 +223,7 @@ def statement_findings(digests: DataFrame) -> DataFrame:
 
 def function_on_column(digests: DataFrame) -> DataFrame:
     """Columns a predicate wraps in a function, which no plain index serves."""
-    shaped = statement_shapes(digests.where(F.col("count") >= MIN_EXECUTIONS))
+    shaped = statement_shapes(newest(digests).where(F.col("count") >= MIN_EXECUTIONS))
     return shaped.select(
         "server", "text", "shape.table", F.explode("shape.wrapped_columns").alias("column")
     ).select(

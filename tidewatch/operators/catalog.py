@@ -81,6 +81,29 @@ def _filtered(df: DataFrame, condition: str | Column | None) -> DataFrame:
     return df if condition is None else df.where(condition)
 
 
+def _page_order(tiebreak: Sequence[str], order_by: str | None, descending: bool) -> list[tuple[str, bool]]:
+    """Sort columns and whether each runs downwards; the tie-break makes the order total."""
+    first = [] if order_by is None else [(order_by, descending)]
+    return [*first, *((c, False) for c in tiebreak if c != order_by)]
+
+
+def _sorted(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
+
+
+def _first_rows(df: DataFrame, order: Sequence[tuple[str, bool]], limit: int, offset: int = 0) -> DataFrame:
+    fetched = df.orderBy(*_sorted(order))
+    fetched = (fetched.offset(offset) if offset else fetched).limit(limit + 1)
+    # The windows below see one page, never the table.
+    place = Window.orderBy(*_sorted(order))
+    return (
+        fetched.withColumn("_n", F.row_number().over(place))
+        .withColumn("has_more", F.max("_n").over(Window.partitionBy(F.lit(0))) > limit)
+        .where(F.col("_n") <= limit)
+        .drop("_n")
+    )
+
+
 def browse_page(
     df: DataFrame,
     tiebreak: Sequence[str],
@@ -91,20 +114,58 @@ def browse_page(
     offset: int = 0,
 ) -> DataFrame:
     """One page plus ``has_more``. ``tiebreak`` makes the order total, so that
-    pages neither repeat nor skip rows."""
-    order = [F.col(c) for c in tiebreak]
-    if order_by is not None:
-        first = F.col(order_by)
-        order.insert(0, first.desc() if descending else first.asc())
-    fetched = _filtered(df, condition).orderBy(*order).offset(offset).limit(limit + 1)
-    # The windows below see one page, never the table.
-    place = Window.orderBy(*order)
-    return (
-        fetched.withColumn("_n", F.row_number().over(place))
-        .withColumn("has_more", F.max("_n").over(Window.partitionBy(F.lit(0))) > limit)
-        .where(F.col("_n") <= limit)
-        .drop("_n")
-    )
+    pages neither repeat nor skip rows.
+
+    An offset makes every task hand over ``offset + limit`` rows; to go on from a page, ``browse_after`` needs
+    one page of each.
+    """
+    return _first_rows(_filtered(df, condition), _page_order(tiebreak, order_by, descending), limit, offset)
+
+
+def page_end(page: DataFrame, tiebreak: Sequence[str], order_by: str | None = None, descending: bool = False) -> dict | None:
+    """Where a page ends: the sort values of its last row, or None for an empty page."""
+    order = _page_order(tiebreak, order_by, descending)
+    turned = [F.col(c).asc() if down else F.col(c).desc() for c, down in order]
+    last = page.orderBy(*turned).select(*[c for c, _ in order]).first()
+    return None if last is None else last.asDict()
+
+
+def _beyond(column: str, kind, down: bool, value) -> Column:
+    """Rows that sort after ``value``: NULL sorts first upwards and last downwards."""
+    c = F.col(column)
+    if value is None:
+        return F.lit(False) if down else c.isNotNull()
+    at = F.lit(value).cast(kind)
+    return (c < at) | c.isNull() if down else c > at
+
+
+def seek(df: DataFrame, order: Sequence[tuple[str, bool]], end: dict) -> DataFrame:
+    """Rows after the position ``end`` in an order."""
+    after, same = F.lit(False), F.lit(True)
+    for column, down in order:
+        kind = df.schema[column].dataType
+        after = after | (same & _beyond(column, kind, down, end[column]))
+        value = end[column]
+        same = same & (F.col(column).isNull() if value is None else F.col(column) == F.lit(value).cast(kind))
+    return df.where(after)
+
+
+def browse_after(
+    df: DataFrame,
+    end: dict | None,
+    tiebreak: Sequence[str],
+    condition: str | Column | None = None,
+    order_by: str | None = None,
+    descending: bool = False,
+    limit: int = PAGE_ROWS,
+) -> DataFrame:
+    """The page that follows a page's ``page_end``; without one the first page.
+
+    The position is a filter, which reaches the scan, and each task hands over one page, however deep it is.
+    """
+    order = _page_order(tiebreak, order_by, descending)
+    rows = _filtered(df, condition)
+    return _first_rows(rows if end is None else seek(rows, order, end), order, limit)
 
 
 def count_rows(df: DataFrame, condition: str | Column | None = None) -> DataFrame:

@@ -1,16 +1,20 @@
 """Deadlocks out of storage-engine reports.
 
 A report names both transactions, the locks each holds and waits for, and the
-one rolled back. Everything is cut out of the text by regular expressions in
-one narrow pass: one nested row per report, which the flat tables explode.
+one rolled back. A server repeats its last deadlock in every report until the next one, so
+sections are parsed once for each distinct text and joined back by hash, and
+every table builds only the fields it shows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import let, lock_summary, pinned
+from tidewatch.operators.distinct_texts import HASH, distinct_texts, parse_once, text_hash
 
 REPORT_KEYS = ["server", "snapshot_ts"]
 
@@ -39,19 +43,23 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
-def lock_of(raw: Column) -> Column:
-    """A lock line picked apart: table, index, mode with gap qualifiers."""
+def _lock_table(raw: Column) -> Column:
     table = F.coalesce(
         F.nullif(F.regexp_extract(raw, r"of table (\S+)", 1), F.lit("")),
         F.regexp_extract(raw, r"table (\S+)", 1),
     )
+    return F.translate(table, "`", "")
+
+
+def lock_of(raw: Column) -> Column:
+    """A lock line picked apart: table, index, mode with gap qualifiers."""
     mode = F.coalesce(
         F.nullif(F.regexp_extract(raw, r"lock_mode (.*)\z", 1), F.lit("")),
         F.regexp_extract(raw, r"lock mode (.*)\z", 1),
     )
     return F.struct(
         raw.alias("raw"),
-        F.translate(table, "`", "").alias("table"),
+        _lock_table(raw).alias("table"),
         F.regexp_extract(raw, r" index (\S+)", 1).alias("index"),
         _strip(F.regexp_replace(mode, r"(?: waiting)+\z", "")).alias("mode"),
         raw.startswith("RECORD LOCKS").alias("record"),
@@ -79,11 +87,16 @@ def _of_kind(blocks: Column, kind: str) -> Column:
     return F.filter(blocks, lambda b: b["kind"] == kind)
 
 
-def _locks_of(blocks: Column, kind: str, index: Column) -> Column:
-    """Locks listed for one party under its markers of one kind."""
+def _lock_lines(blocks: Column, kind: str, index: Column) -> Column:
+    """Lines of the locks listed for one party under its markers of one kind."""
     own = F.filter(blocks, lambda b: (b["kind"] == kind) & (b["index"] == index))
     lines = F.flatten(F.transform(own, lambda b: _all(b["text"], LOCK_LINE, 1)))
-    return F.transform(lines, lambda raw: lock_of(_strip(raw)))
+    return F.transform(lines, _strip)
+
+
+def _awaited_line(blocks: Column, index: Column) -> Column:
+    """The last lock waited for is the one that closed the circle."""
+    return F.try_element_at(_lock_lines(blocks, "waiting", index), F.lit(-1))
 
 
 def _statement(text: Column) -> Column:
@@ -121,36 +134,51 @@ def _thread(text: Column) -> Column:
     return let(F.filter(words, lambda w: w != ""), of_words)
 
 
-def _party(block: Column, blocks: Column) -> Column:
-    text, index = block["text"], block["index"]
+#: Fields of a party that are flat, in their order, and those that hold its locks.
+PARTY_FIELDS = [
+    "trx_id", "active_secs", "activity", "thread_id", "host", "user", "state", "tables_in_use",
+    "tables_locked", "lock_structs", "row_locks", "query",
+]
+LOCK_FIELDS = ["holds", "waiting"]
+_THREAD_FIELDS = {"thread_id": "id", "host": "host", "user": "user", "state": "state"}
 
-    def of_parts(p: Column) -> Column:
-        head, thread = p["head"], p["thread"]
-        return F.struct(
-            index.alias("index"),
-            F.regexp_replace(
-                F.regexp_extract(head, r"TRANSACTION ([^,]*)", 1), r"^\s+|[^A-Za-z0-9]+\z", ""
-            ).alias("trx_id"),
-            _long(head, r"ACTIVE [^0-9]*([0-9]+)").alias("active_secs"),
-            _strip(F.regexp_extract(head, r" sec (.*)", 1)).alias("activity"),
-            thread["id"].alias("thread_id"),
-            thread["host"].alias("host"),
-            thread["user"].alias("user"),
-            thread["state"].alias("state"),
-            _long(text, r"(?m)^[ \t]*mysql tables in use [^0-9\n]*([0-9]+)").alias("tables_in_use"),
-            _long(text, r"(?m)^[ \t]*mysql tables in use[^\n]*locked [^0-9\n]*([0-9]+)").alias(
-                "tables_locked"
-            ),
-            _long(text, r"([0-9]+)[ \t]+lock struct\(s\)").alias("lock_structs"),
-            _long(text, r"lock struct\(s\)[^\n]*?([0-9]+)[ \t]+row").alias("row_locks"),
-            _statement(text).alias("query"),
-            _locks_of(blocks, "holds", index).alias("holds"),
-            # The last lock waited for is the one that closed the circle.
-            F.try_element_at(_locks_of(blocks, "waiting", index), F.lit(-1)).alias("waiting"),
-        )
 
+def _party(block: Column, blocks: Column, fields: Sequence[str]) -> Column:
+    """``index`` and the wanted fields of one party; no other is computed."""
+    text, index = block["text"], block["index"]
     head = F.regexp_extract(text, r"(?m)^[ \t]*(TRANSACTION [^\n]*)", 1)
-    return let(F.struct(head.alias("head"), _thread(text).alias("thread")), of_parts)
+
+    def waiting() -> Column:
+        line = _awaited_line(blocks, index)
+        return F.when(line.isNotNull(), lock_of(line))
+
+    def tables() -> Column:
+        lines = F.concat(_lock_lines(blocks, "holds", index), F.array_compact(F.array(_awaited_line(blocks, index))))
+        return F.transform(lines, _lock_table)
+
+    make = {
+        "trx_id": lambda: F.regexp_replace(
+            F.regexp_extract(head, r"TRANSACTION ([^,]*)", 1), r"^\s+|[^A-Za-z0-9]+\z", ""
+        ),
+        "active_secs": lambda: _long(head, r"ACTIVE [^0-9]*([0-9]+)"),
+        "activity": lambda: _strip(F.regexp_extract(head, r" sec (.*)", 1)),
+        "tables_in_use": lambda: _long(text, r"(?m)^[ \t]*mysql tables in use [^0-9\n]*([0-9]+)"),
+        "tables_locked": lambda: _long(text, r"(?m)^[ \t]*mysql tables in use[^\n]*locked [^0-9\n]*([0-9]+)"),
+        "lock_structs": lambda: _long(text, r"([0-9]+)[ \t]+lock struct\(s\)"),
+        "row_locks": lambda: _long(text, r"lock struct\(s\)[^\n]*?([0-9]+)[ \t]+row"),
+        "query": lambda: _statement(text),
+        "holds": lambda: F.transform(_lock_lines(blocks, "holds", index), lock_of),
+        "waiting": waiting,
+        "tables": tables,
+    }
+
+    def of_thread(thread: Column | None) -> Column:
+        built = [(thread[_THREAD_FIELDS[f]] if f in _THREAD_FIELDS else make[f]()).alias(f) for f in fields]
+        return F.struct(index.alias("index"), *built)
+
+    if _THREAD_FIELDS.keys() & set(fields):
+        return let(_thread(text), of_thread)
+    return of_thread(None)
 
 
 def deadlock_sections(reports: DataFrame) -> DataFrame:
@@ -161,30 +189,36 @@ def deadlock_sections(reports: DataFrame) -> DataFrame:
     return cut.where(F.col("section") != "").select(*REPORT_KEYS, "section")
 
 
-def deadlocks(reports: DataFrame) -> DataFrame:
-    """One nested row per report that shows a deadlock."""
-    cut = pinned(deadlock_sections(reports), "pieces", F.split("section", MARKER))
+def _parsed(texts: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Distinct sections with detected_at, victim and their parties' ``fields``, where there is a party."""
+    cut = pinned(texts, "pieces", F.split("section", MARKER))
     after_markers = F.slice("pieces", F.lit(2), F.size("pieces"))
     cut = pinned(cut, "blocks", F.transform(after_markers, _block))
-    parties = F.transform(_of_kind(F.col("blocks"), "party"), lambda b: _party(b, F.col("blocks")))
-    parsed = pinned(cut, "parties", parties)
+    parties = _of_kind(F.col("blocks"), "party")
+    cut = cut.where(F.size(parties) > 0)
     verdict = F.try_element_at(_of_kind(F.col("blocks"), "victim"), F.lit(-1))["text"]
-    return parsed.where(F.size("parties") > 0).select(
-        *REPORT_KEYS,
+    named = F.transform(parties, lambda b: _party(b, F.col("blocks"), fields))
+    found = pinned(cut, "parties", named) if fields else cut
+    return found.select(
+        HASH,
+        "section",
         _strip(F.regexp_extract(F.get("pieces", F.lit(0)), r"^\s*([^\n]*)", 1)).alias("detected_at"),
         F.nullif(F.regexp_extract(verdict, r"^[^\n]*\(([0-9]+)\)", 1), F.lit("")).try_cast("int").alias("victim"),
-        "parties",
-        F.col("section").alias("raw"),
+        *(["parties"] if fields else []),
     )
 
 
-PARTY_FIELDS = [
-    "trx_id", "active_secs", "activity", "thread_id", "host", "user", "state", "tables_in_use",
-    "tables_locked", "lock_structs", "row_locks", "query",
-]
+def _of_sections(sections: DataFrame, fields: Sequence[str]) -> DataFrame:
+    return parse_once(sections, "section", lambda texts: _parsed(texts, fields))
+
+
+def deadlocks(sections: DataFrame) -> DataFrame:
+    """One nested row per report that shows a deadlock, with everything known of its parties."""
+    return _of_sections(sections, [*PARTY_FIELDS, *LOCK_FIELDS])
 
 
-def deadlock_parties(parsed: DataFrame) -> DataFrame:
+def deadlock_parties(sections: DataFrame) -> DataFrame:
+    parsed = _of_sections(sections, PARTY_FIELDS)
     return parsed.select(*REPORT_KEYS, "detected_at", "victim", F.explode("parties").alias("p")).select(
         *REPORT_KEYS,
         "detected_at",
@@ -194,7 +228,7 @@ def deadlock_parties(parsed: DataFrame) -> DataFrame:
     )
 
 
-def deadlock_locks(parsed: DataFrame) -> DataFrame:
+def deadlock_locks(sections: DataFrame) -> DataFrame:
     """Held and awaited locks, one row each, in report order."""
 
     def role(locks: Column, name: str) -> Column:
@@ -205,7 +239,8 @@ def deadlock_locks(parsed: DataFrame) -> DataFrame:
     p = F.col("p")
     awaited = F.array_compact(F.array(p["waiting"]))
     exploded = (
-        parsed.select(*REPORT_KEYS, F.explode("parties").alias("p"))
+        _of_sections(sections, LOCK_FIELDS)
+        .select(*REPORT_KEYS, F.explode("parties").alias("p"))
         .select(
             *REPORT_KEYS,
             p["index"].alias("party"),
@@ -218,38 +253,41 @@ def deadlock_locks(parsed: DataFrame) -> DataFrame:
     )
 
 
-def deadlock_victim(parsed: DataFrame) -> DataFrame:
-    return parsed.select(*REPORT_KEYS, "detected_at", "victim")
+def deadlock_victim(sections: DataFrame) -> DataFrame:
+    return _of_sections(sections, []).select(*REPORT_KEYS, "detected_at", "victim")
 
 
-def deadlock_tables(parsed: DataFrame) -> DataFrame:
+def deadlock_tables(sections: DataFrame) -> DataFrame:
     """Tables of any lock on either side, each once, in report order."""
-    named = F.flatten(
-        F.transform(
-            F.col("parties"),
-            lambda p: F.concat(
-                F.transform(p["holds"], lambda lk: lk["table"]),
-                F.array_compact(F.array(p["waiting"]["table"])),
-            ),
-        )
-    )
+    parsed = _of_sections(sections, ["tables"])
+    named = F.flatten(F.transform("parties", lambda p: p["tables"]))
     distinct = F.array_distinct(F.filter(named, lambda t: t != ""))
     return parsed.select(*REPORT_KEYS, "detected_at", distinct.alias("tables"))
 
 
-def deadlock_history(parsed: DataFrame) -> DataFrame:
+def deadlock_history(sections: DataFrame) -> DataFrame:
     """Each deadlock once, however many snapshots repeat it.
 
-    A server remembers only its latest deadlock; snapshots keep them all.
+    A server remembers only its latest deadlock; snapshots keep them all. Repeats of one text on one server are
+    counted first, and of the parties only their transactions are read.
     """
-    trx_ids = F.transform(F.col("parties"), lambda p: p["trx_id"])
-    return (
-        parsed.withColumn("trx_ids", F.array_sort(trx_ids))
-        .groupBy("server", "detected_at", "trx_ids")
+    counted = (
+        sections.groupBy("server", text_hash(F.col("section")).alias(HASH))
         .agg(
             F.min("snapshot_ts").alias("first_seen"),
             F.max("snapshot_ts").alias("last_seen"),
-            F.min_by("victim", "snapshot_ts").alias("victim"),
             F.count(F.lit(1)).alias("snapshots"),
         )
+    )
+    parsed = _parsed(distinct_texts(sections, "section"), ["trx_id"])
+    trx_ids = F.array_sort(F.transform("parties", lambda p: p["trx_id"])).alias("trx_ids")
+    return (
+        counted.join(parsed.select(HASH, "detected_at", "victim", trx_ids), HASH)
+        .groupBy("server", "detected_at", "trx_ids")
+        .agg(
+            F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"),
+            F.min_by("victim", "first_seen").alias("victim"),
+            F.sum("snapshots").alias("snapshots"),
+        )
     )

@@ -12,7 +12,7 @@ from functools import reduce
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -259,7 +259,8 @@ def _text_literal(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("'"), escape_sql(c), F.lit("'")), F.lit("NULL"))
 
 
-def _insert_head(verb: str, table: str, columns: Sequence[str]) -> str:
+def insert_head(table: str, columns: Sequence[str], verb: str = "insert") -> str:
+    """What a statement begins with, up to its first tuple."""
     return f"{VERBS[verb]} {quote_table(table)} ({', '.join(quote_ident(c) for c in columns)}) VALUES\n"
 
 
@@ -281,7 +282,7 @@ def to_inserts(
     Each statement collects that many rows and no more.
     """
     shown = _shown(df, columns, ())
-    head = _insert_head(verb, table, [_origin(df, c) for c in shown])
+    head = insert_head(table, [_origin(df, c) for c in shown], verb)
     literals = df.select(
         *[F.col(o).alias(f"o_{o}") for o in order],
         _tuple([_text_literal(as_text(df, c)) for c in shown]).alias("values"),
@@ -304,7 +305,7 @@ def to_inserts(
 
 
 def value_literal(df: DataFrame, name: str) -> Column:
-    """A typed SQL literal: numbers bare, text escaped, other bytes as hex."""
+    """A typed SQL literal: numbers bare, text escaped, other bytes as hex; NaN and infinities are NULL."""
     c, kind = _ref(name), df.schema[name].dataType
     if isinstance(kind, T.BinaryType):
         text = c.cast("string")
@@ -313,6 +314,10 @@ def value_literal(df: DataFrame, name: str) -> Column:
         )
     elif isinstance(kind, T.BooleanType):
         literal = c.cast("int").cast("string")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        # No server has a literal for these; a dump that could not be read back would be worth nothing.
+        finite = ~F.isnan(c) & (F.abs(c) != float("inf"))
+        literal = F.when(finite, as_text(df, name)).otherwise(F.lit("NULL"))
     elif isinstance(kind, T.NumericType):
         literal = as_text(df, name)
     else:
@@ -341,7 +346,7 @@ def dump_data(
     and holds one statement at a time. Every partition ends its own last
     statement, so partitions need not know of one another.
     """
-    head = _insert_head("insert", table, df.columns)
+    head = insert_head(table, df.columns)
     size = F.lit(0)
     for c in df.columns:
         size = size + _rough_size(df, c)
@@ -369,26 +374,27 @@ def dump_data(
 
 def dump_preamble(schema: str, server_version: str, created: str) -> str:
     return (
-        f"-- data dump\n-- database: {schema}\n-- server:   {server_version}\n"
-        f"-- created:  {created}\n\nSET NAMES utf8mb4;\nSET FOREIGN_KEY_CHECKS = 0;\n"
-        "SET SQL_MODE = 'NO_AUTO_VALUE_ON_ZERO';\n"
+        f"-- `{schema}`, rows only, taken {created} from a server that says it is {server_version}\n"
+        "SET NAMES utf8mb4;\nSET FOREIGN_KEY_CHECKS = 0;\nSET SQL_MODE = 'NO_AUTO_VALUE_ON_ZERO';\n"
     )
 
 
 DUMP_EPILOGUE = "SET FOREIGN_KEY_CHECKS = 1;"
-
-
-def dump_stats(dumps: dict[str, DataFrame]) -> DataFrame:
-    """Rows and statement bytes per dumped table."""
-    out = None
-    for name, statements in dumps.items():
-        one = statements.agg(
-            F.lit(name).alias("table"),
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+DUMP_STATS = "table string, rows bigint, statements bigint, bytes bigint"
+
+
+def write_dump(statements: DataFrame, path: str) -> dict[str, int]:
+    """Write the statements of one table; rows, statements and bytes as the write itself saw them."""
+    seen = Observation()
+    watched = statements.observe(
+        seen,
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.count(F.lit(1)).alias("statements"),
+        # Each line ends with a line feed.
+        F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("bytes"),
+    )
+    watched.select("line").write.mode("overwrite").text(path)
+    return seen.get
 
 
 def dump_tables(
@@ -398,8 +404,12 @@ def dump_tables(
     server_version: str,
     created: str,
     only: Sequence[str] | None = None,
-) -> None:
-    """Write the chosen tables under ``path``; sub-folders sort in restore order."""
+) -> DataFrame:
+    """Write the chosen tables under ``path``; sub-folders sort in restore order.
+
+    Returns rows, statements and bytes of each table, counted while they were written. One small row per
+    table comes to the driver.
+    """
     if not tables:
         raise ValueError(f"no tables to dump in {schema}")
     chosen = sorted(tables) if only is None else list(only)
@@ -409,10 +419,12 @@ def dump_tables(
         spark.createDataFrame([(value,)], "line string").write.mode("overwrite").text(f"{path}/{folder}")
 
     text(dump_preamble(schema, server_version, created), "0-preamble")
+    found = []
     for name in chosen:
-        statements = dump_data(tables[name], name)
-        statements.select("line").write.mode("overwrite").text(f"{path}/1-{name}")
+        seen = write_dump(dump_data(tables[name], name), f"{path}/1-{name}")
+        found.append((name, seen["rows"], seen["statements"], seen["bytes"]))
     text(DUMP_EPILOGUE, "2-epilogue")
+    return spark.createDataFrame(found, DUMP_STATS)
 
 
 # --------------------------------------------------------------- files

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.sources.snapshots import not_system
+from tidewatch.sources.capabilities import INDEX_USAGE, gated
+from tidewatch.sources.snapshots import newest, not_system
 
 TABLE = ["server", "schema", "table"]
 
@@ -35,18 +36,24 @@ def tables_without_pk(tables: DataFrame, constraints: DataFrame) -> DataFrame:
     )
 
 
-def full_table_scans(usage: DataFrame, tables: DataFrame, limit: int | None = None) -> DataFrame:
-    """Tables read without an index: all of them, or for display the worst ``limit`` of each server."""
-    top = usage.where(F.col("index").isNull() & (F.col("reads") > 0) & not_system(F.col("schema")))
+def full_table_scans(
+    usage: DataFrame, tables: DataFrame, limit: int | None = None, capabilities: DataFrame | None = None
+) -> DataFrame:
+    """Tables read without an index: all of them, or for display the worst ``limit`` of each server.
+
+    With ``capabilities`` servers that do not count index usage say so, see ``gated``.
+    """
+    top = newest(usage).where(F.col("index").isNull() & (F.col("reads") > 0) & not_system(F.col("schema")))
     if limit is not None:
         worst = Window.partitionBy("server").orderBy(F.desc("reads"), "schema", "table")
         top = top.withColumn("_n", F.row_number().over(worst)).where(F.col("_n") <= limit)
     sizes = tables.select(*TABLE, "table_rows")
-    return top.join(sizes, TABLE, "left").select(
+    found = top.join(sizes, TABLE, "left").select(
         *TABLE,
         F.col("reads").alias("rows_full_scanned"),
         F.coalesce(F.col("table_rows"), F.lit(0)).cast("bigint").alias("table_rows"),
     )
+    return found if capabilities is None else gated(found, capabilities, INDEX_USAGE)
 
 
 def proper_prefixes(defs: DataFrame) -> DataFrame:

@@ -144,6 +144,11 @@ def derive_metrics(
 
     ``limits`` is ``(server, max_connections, ...)``, one row per server.
     """
+    return metrics_of_pairs(sample_pairs(status, chunk_seconds), limits)
+
+
+def metrics_of_pairs(pairs: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """The fourteen metrics of rows that hold a sample, ``prev_*`` of the one before and ``dt``."""
 
     def rate(name: str) -> Column:
         return per_second(_delta_of(name), F.col("dt"))
@@ -156,7 +161,6 @@ def derive_metrics(
         + _delta_of("Innodb_rows_updated")
         + _delta_of("Innodb_rows_deleted")
     )
-    pairs = sample_pairs(status, chunk_seconds)
     if limits is None:
         pairs = pairs.withColumn("max_connections", F.lit(None).cast("double"))
     else:

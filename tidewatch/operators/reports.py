@@ -1,7 +1,6 @@
 """Numbers out of storage-engine text reports, and storage-engine health.
 
-Extraction is a handful of regular expressions per report: rows stay where
-they are, no line is exploded and nothing is shuffled.
+Extraction is a handful of regular expressions per distinct report; no line is exploded.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import parse_double, parse_u64, pinned, saturating_sub
+from tidewatch.operators.distinct_texts import HASH, parse_once
 
 # Field, label at the start of a line, which number, which match.
 REPORT_FIELDS = [
@@ -54,16 +54,20 @@ def _report_number(report: Column, label: str, which: str, match: str) -> Column
 
 
 def parse_engine_reports(reports: DataFrame) -> DataFrame:
-    """Ten numbers per report; one that is missing is 0 and costs no other."""
-    # One pass over the text keeps the few lines that matter.
+    """Ten numbers per report; one that is missing is 0 and costs no other.
+
+    Each distinct text is parsed once, after the shuffle that found it.
+    """
     labels = "|".join(label for _, label, _, _ in REPORT_FIELDS)
-    lines = F.regexp_extract_all("report", F.lit(rf"(?m)^[ \t]*(?:{labels})[^\n]*"), F.lit(0))
-    short = pinned(reports.select("server", "snapshot_ts", "report"), "lines", F.array_join(lines, "\n"))
-    return short.select(
-        "server",
-        "snapshot_ts",
-        *[_report_number(F.col("lines"), lb, w, m).alias(f) for f, lb, w, m in REPORT_FIELDS],
-    )
+
+    def numbers(texts: DataFrame) -> DataFrame:
+        # One pass over the text keeps the few lines that matter.
+        lines = F.regexp_extract_all("report", F.lit(rf"(?m)^[ \t]*(?:{labels})[^\n]*"), F.lit(0))
+        short = pinned(texts, "lines", F.array_join(lines, "\n"))
+        found = [_report_number(F.col("lines"), lb, w, m).alias(f) for f, lb, w, m in REPORT_FIELDS]
+        return short.select(HASH, "report", *found)
+
+    return parse_once(reports.select("server", "snapshot_ts", "report"), "report", numbers)
 
 
 def checkpoint_age() -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import number_text
@@ -138,8 +139,18 @@ def split_bytes_rates(series: DataFrame) -> tuple[DataFrame, DataFrame]:
     return series.where(is_bytes), series.where(~is_bytes)
 
 
-def store_stats(samples: DataFrame, rollups: DataFrame) -> DataFrame:
-    """Row counts of both tables and the oldest instant in either."""
+def stored_bytes(spark: SparkSession, *paths: str) -> DataFrame:
+    """``stored_bytes``: the size of the data files under the folders, from file metadata alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    sizes = files.load(list(paths)).select("path", "length")
+    return sizes.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("stored_bytes"))
+
+
+def store_stats(samples: DataFrame, rollups: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
+    """Row counts of both tables, the oldest instant in either, and the bytes stored under ``paths``.
+
+    Without ``paths`` the size is NULL: a table need not be files.
+    """
 
     def side(df: DataFrame, raw: bool) -> DataFrame:
         n = F.count(F.lit(1))
@@ -148,13 +159,17 @@ def store_stats(samples: DataFrame, rollups: DataFrame) -> DataFrame:
             (n if raw else zero).alias("raw_rows"),
             (zero if raw else n).alias("rollup_rows"),
             F.min("ts").alias("oldest_ms"),
+            F.lit(None).cast("bigint").alias("stored_bytes"),
         )
 
-    both = side(samples, True).unionByName(side(rollups, False))
-    return both.agg(
+    parts = side(samples, True).unionByName(side(rollups, False))
+    if paths:
+        parts = parts.unionByName(stored_bytes(samples.sparkSession, *paths), allowMissingColumns=True)
+    return parts.agg(
         F.sum("raw_rows").alias("raw_rows"),
         F.sum("rollup_rows").alias("rollup_rows"),
         F.min("oldest_ms").alias("oldest_ms"),
+        F.sum("stored_bytes").alias("stored_bytes"),
     )
 
 

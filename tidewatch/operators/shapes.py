@@ -2,9 +2,10 @@
 
 A digest text has placeholders for literals, so its shape can be read with
 regular expressions and array functions. The text becomes a line of tokens
-separated by blanks, with every identifier in backticks; calls are folded from
-the inside out; the predicates are then simple patterns on that line. Rows the
-patterns cannot judge (joins, OR, sub-selects, UNION) get a NULL shape.
+separated by blanks, with every identifier in backticks. One walk over the tokens of the
+WHERE clause then finds the predicates and the calls around columns: nothing inside a call is a
+predicate, so all it has to know is how many parentheses the outermost call still has open. Rows that
+cannot be judged (joins, OR, sub-selects, UNION) get a NULL shape.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ TOKEN = r"(?U)`(?:[^`]|``)*`?|[A-Za-z_][A-Za-z0-9_]*|<=>|>=|<=|<>|!=|\S"
 
 # Characters that mean something on the token line are stored as private-use
 # code points while they are part of a name.
-_SPECIAL = " `(){}.,|⟨⟩"
+_SPECIAL = " `().,"
 _STORED = "".join(chr(0xE100 + i) for i in range(len(_SPECIAL)))
-_CALL, _END = chr(0xE200), chr(0xE201)
 
 ID = "`[^`]*`"
 COLUMN = rf"(?:{ID} \. )*`([^`]*)`"
 RANGE_OPS = [">", "<", ">=", "<=", "BETWEEN", "LIKE"]
+EQUAL_OPS = ["=", "<=>", "IN", "IS"]
 
 
 def _stored(name: Column) -> Column:
@@ -64,24 +65,58 @@ def token_line(sql: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
 
 
-def _fold_calls(clause: Column) -> Column:
-    """Replace each function call by one mark holding its name and first column.
+_WALK = "struct<open:int,preds:array<struct<col:string,op:string>>,wrapped:array<string>>"
+#: Tokens a step sees: two before it, itself, and enough behind it for a call's first ``a.b.c``.
+_BEFORE, _AFTER = 2, 6
 
-    A call is marked by ``{`` first. Each round closes the innermost groups, so
-    as many rounds as there are groups are always enough.
-    """
-    marked = F.regexp_replace(clause, rf"(?<!\. )({ID}) \(", "$1 {")
-    rounds = F.greatest(F.length(F.regexp_replace(clause, r"[^(]", "")), F.lit(1))
-    first_arg = rf"(?:{COLUMN} |{_CALL}([^|{_END}]*)\|[^{_END}]*{_END} )?"
-    call = rf"`([^`]*)` \{{ {first_arg}[^(){{]*\)"
 
-    def close(line: Column, _round: Column) -> Column:
-        line = F.regexp_replace(line, call, f"{_CALL}$1|$2$3{_END}")
-        return F.regexp_replace(line, r"\(([^(){]*)\)", "⟨$1⟩")
+def _is_name(token: Column) -> Column:
+    return F.startswith(token, F.lit("`"))
 
-    folded = F.aggregate(F.sequence(F.lit(1), rounds), marked, close)
-    unclosed = rf"(?s)`([^`]*)` \{{ (?:{COLUMN} )?.*\z"
-    return F.regexp_replace(folded, unclosed, f"{_CALL}$1|$2{_END} ")
+
+def _inner(token: Column) -> Column:
+    return F.regexp_replace(token, "`", "")
+
+
+def _first_argument(after: list[Column]) -> Column:
+    """The column, or the call, that a call's arguments begin with; NULL for anything else."""
+    one, dot, two, dot_two, three = after[:5]
+
+    def dotted(d: Column, n: Column) -> Column:
+        return (d == ".") & _is_name(n)
+
+    last = F.when(dotted(dot, two) & dotted(dot_two, three), three).when(dotted(dot, two), two).otherwise(one)
+    return F.when(_is_name(one), _inner(last))
+
+
+def _walk(clause: Column) -> Column:
+    """Predicates and wrapped columns of a clause, in one pass over its tokens."""
+    edge = F.lit("")
+
+    def around(tokens: Column) -> Column:
+        pad = F.concat(F.array(*[edge] * _BEFORE), tokens, F.array(*[edge] * _AFTER))
+        views = [F.slice(pad, F.lit(k + 1), F.size(tokens)).alias(f"t{k}") for k in range(_BEFORE + 1 + _AFTER)]
+        return F.arrays_zip(*views)
+
+    def step(state: Column, x: Column) -> Column:
+        at = [x[f"t{k}"] for k in range(_BEFORE + 1 + _AFTER)]
+        two_back, back, token, after = at[0], at[1], at[2], at[3:]
+        outside = state["open"] == 0
+        calls = outside & (token == "(") & _is_name(back) & (two_back != ".")
+        compared = after[0].isin(*RANGE_OPS, *EQUAL_OPS) & ~((after[0] == "IS") & (after[1] == "NOT"))
+        found = outside & _is_name(token) & compared
+        argument = _first_argument(after)
+        wraps = calls & argument.isNotNull()
+        still = F.greatest(F.lit(0), state["open"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0))
+        pair = F.struct(_inner(token).alias("col"), after[0].alias("op"))
+        return F.struct(
+            F.when(calls, 1).when(outside, 0).otherwise(still).alias("open"),
+            F.when(found, F.concat(state["preds"], F.array(pair))).otherwise(state["preds"]).alias("preds"),
+            F.when(wraps, F.concat(state["wrapped"], F.array(argument))).otherwise(state["wrapped"]).alias("wrapped"),
+        ).cast(_WALK)
+
+    start = F.struct(F.lit(0).alias("open"), F.array().alias("preds"), F.array().alias("wrapped")).cast(_WALK)
+    return F.aggregate(let(F.split(F.trim(clause), " "), around), start, step)
 
 
 def _names(line: Column, pattern: str, group: int) -> Column:
@@ -108,12 +143,6 @@ def _is_range(predicate: Column) -> Column:
     return predicate["op"].isin(RANGE_OPS)
 
 
-def _predicates(folded: Column) -> Column:
-    """``(col, op)`` pairs in the order they are written."""
-    pattern = rf"{COLUMN} (<=>|>=|<=|=|>|<|IN|BETWEEN|LIKE|IS(?! NOT)) "
-    return F.arrays_zip(_names(folded, pattern, 1).alias("col"), _names(folded, pattern, 2).alias("op"))
-
-
 def _first_range(preds: Column) -> Column:
     """Only the first range column can use an index, and only if no equality
     written before it already pins the column."""
@@ -153,27 +182,21 @@ def statement_shape(sql: Column) -> Column:
     where = r"(?s)^.*? WHERE( .*?)(?: (?:ORDER|GROUP|LIMIT|HAVING) |\z)"
     one_select = r"(?s)^ SELECT (?!.* (?:SELECT|JOIN|UNION) )"
 
-    def of_clause(table: Column, line: Column, folded: Column, preds: Column) -> Column:
+    def of_clause(table: Column, line: Column, walked: Column) -> Column:
+        preds = walked["preds"]
         equal = F.transform(F.filter(preds, lambda p: ~_is_range(p)), lambda p: p["col"])
-        wrapped = _names(folded, rf"{_CALL}[^|{_END}]*\|([^{_END}]+){_END}", 1)
         return F.struct(
             table["schema"].alias("schema"),
             table["table"].alias("table"),
             _restored_all(equal).alias("equality"),
             _restored(_first_range(preds)).alias("range"),
             _restored_all(_order_columns(line)).alias("order_by"),
-            _restored_all(wrapped).alias("wrapped_columns"),
+            _restored_all(walked["wrapped"]).alias("wrapped_columns"),
         )
 
     def of_parts(p: Column, line: Column) -> Column:
         judged = p["table"]["table"].isNotNull() & ~F.contains(p["clause"], F.lit(" OR "))
-        shape = let(
-            _fold_calls(p["clause"]),
-            lambda folded: let(
-                _predicates(folded), lambda preds: of_clause(p["table"], line, folded, preds)
-            ),
-        )
-        return F.when(judged, shape)
+        return F.when(judged, let(_walk(p["clause"]), lambda walked: of_clause(p["table"], line, walked)))
 
     def of_line(line: Column) -> Column:
         parts = F.struct(

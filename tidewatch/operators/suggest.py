@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions.binding import pinned
 from tidewatch.operators.digests import examined_per_sent
+from tidewatch.operators.distinct_texts import HASH, parse_once
 from tidewatch.operators.shapes import candidate_index, statement_shape
+from tidewatch.sources.snapshots import newest
 
 # Fixed values.
 MIN_EXECUTIONS = 10
@@ -44,9 +46,16 @@ def estimate_impact(digests: DataFrame) -> DataFrame:
 
 
 def statement_shapes(digests: DataFrame) -> DataFrame:
-    """Digests with their shape; NULL where the statement cannot be judged."""
-    text = F.coalesce(F.col("digest_text"), F.col("text"))
-    return pinned(digests, "shape", statement_shape(text))
+    """Digests with their shape and its ``candidate`` index; NULL where the statement cannot be judged.
+
+    A text is parsed once, however many servers and snapshots report it.
+    """
+
+    def parsed(texts: DataFrame) -> DataFrame:
+        shaped = pinned(texts, "shape", statement_shape(F.col("sql")))
+        return shaped.select(HASH, "sql", "shape", candidate_index(F.col("shape")).alias("candidate"))
+
+    return parse_once(digests.withColumn("sql", F.coalesce("digest_text", "text")), "sql", parsed)
 
 
 def _lower(columns: Column) -> Column:
@@ -55,8 +64,7 @@ def _lower(columns: Column) -> Column:
 
 def proposals(digests: DataFrame, min_executions: int = MIN_EXECUTIONS) -> DataFrame:
     """Digests with the index their shape wants and where it would go."""
-    shaped = statement_shapes(digests.where(F.col("count") >= min_executions))
-    shaped = pinned(shaped, "columns", candidate_index(F.col("shape")))
+    shaped = statement_shapes(newest(digests).where(F.col("count") >= min_executions)).withColumnRenamed("candidate", "columns")
     schema = F.coalesce(F.col("shape.schema"), F.nullif(F.col("schema"), F.lit("")))
     return (
         shaped.where(F.col("shape").isNotNull())
@@ -129,7 +137,10 @@ def drop_covered(merged: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def extends_index(merged: DataFrame, defs: DataFrame) -> DataFrame:
-    """Adds ``extends``: an index the proposal would only lengthen."""
+    """Adds ``extends``: an index the proposal would only lengthen.
+
+    The proposal travels with its leading parts, so it is computed once.
+    """
     existing = (
         _index_keys(defs)
         .groupBy("server", "schema_key", "table_key", F.col("index_key").alias("part"))
@@ -138,13 +149,13 @@ def extends_index(merged: DataFrame, defs: DataFrame) -> DataFrame:
     n = F.size("key")
     parts = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.slice("key", F.lit(1), k)))
     found = (
-        _with_table_keys(merged.select(*PROPOSAL))
-        .withColumn("part", F.explode(parts))
-        .join(existing, ["server", "schema_key", "table_key", "part"])
+        _with_table_keys(merged.select(F.struct(*merged.columns).alias("row"), *PROPOSAL))
+        .withColumn("part", F.explode_outer(parts))
+        .join(existing, ["server", "schema_key", "table_key", "part"], "left")
         .groupBy(*PROPOSAL)
-        .agg(F.min("index").alias("extends"))
+        .agg(F.any_value("row").alias("row"), F.min("index").alias("extends"))
     )
-    return merged.join(found, PROPOSAL, "left")
+    return found.select("row.*", "extends")
 
 
 def index_name(table: Column, columns: Column) -> Column:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from tidewatch.operators import advisor as V
 from tidewatch.operators import indexes as I
 from tidewatch.operators import suggest as G
-from tidewatch.operators.shapes import candidate_index
 from tidewatch.plans.registry import query
+from tidewatch.plans.queries_sources import FLAGGED
 from tidewatch.plans.views import TEMPLATES, view, with_views
 from tidewatch.sources.capabilities import server_capabilities
-from tidewatch.sources.snapshots import read_index_usage
+from tidewatch.sources.snapshots import read_index_usage, read_metadata_locks
 
 # ------------------------------------------------------------- catalogue
 
@@ -21,7 +21,9 @@ def definitions(spark, sf):
 
 
 def capabilities(spark, sf):
-    caps = server_capabilities(view(spark, sf, "servers"))
+    """Of every fourth server the performance tables are switched off."""
+    number = F.substring("server", 2, 20).cast("bigint")
+    caps = server_capabilities(view(spark, sf, "servers"), perf_schema_on=number % 4 != 3)
     return caps.withColumn("server", F.concat(F.lit("s"), F.substring("server", 2, 20)))
 
 
@@ -35,6 +37,24 @@ def uptimes(spark, sf):
     ).select("server", F.abs("u").alias("uptime_s"))
 
 
+def fleet(*views: str) -> str:
+    """The views and, as ``able``, which servers have what a reader needs."""
+    return FLAGGED.replace(with_views("servers"), with_views("servers", *views), 1) + (
+        ", able AS (SELECT concat('s', substr(server, 2)) AS server, CAST(substr(server, 2) AS BIGINT) % 4 <> 3 AS perf, flagged.* EXCLUDE (server) FROM flagged)"
+    )
+
+
+def gate(flag: str, columns: str, source: str) -> str:
+    """Rows of able servers, and one row for each server that is not."""
+    names = [c.split(" AS ")[-1].strip() for c in columns.split(",")]
+    nothing = ", ".join(f"NULL AS {n}" for n in names)
+    qualified = ", ".join(f"{source}.{c.strip()}" for c in columns.split(","))
+    return (
+        f" SELECT {source}.server AS server, {qualified}, true AS supported FROM {source} JOIN able ON able.server = {source}.server WHERE {flag} AND perf"
+        f" UNION ALL SELECT server, {nothing}, false FROM able WHERE NOT ({flag} AND perf)"
+    )
+
+
 _SYSTEM = "('mysql', 'performance_schema', 'information_schema', 'sys')"
 _DEFS = f""", defs AS (SELECT server, schema, table_, index_, list(column_ ORDER BY seq) AS cols, min(non_unique) = 0 AS uniq
       FROM v_index_columns WHERE schema NOT IN {_SYSTEM} GROUP BY server, schema, table_, index_)"""
@@ -82,16 +102,45 @@ _SCANS = f""", scans AS (SELECT u.server, u.schema, u.table_, u.reads, coalesce(
       LEFT JOIN v_tables t ON t.server = u.server AND t.schema = u.schema AND t.table_ = u.table_)"""
 
 
+def usage(spark, sf):
+    """Two snapshots of the cumulative counters; only the newer one may count."""
+    rows = view(spark, sf, "index_usage")
+    older = rows.withColumns({"reads": F.col("reads") + 3, "writes": F.col("writes") + 1, "snapshot_ts": F.timestamp_seconds(F.lit(1_700_000_000))})
+    return rows.withColumn("snapshot_ts", F.timestamp_seconds(F.lit(1_700_000_900))).unionByName(older)
+
+
 def scans(spark, sf):
-    return I.full_table_scans(view(spark, sf, "index_usage"), view(spark, sf, "tables"))
+    return I.full_table_scans(usage(spark, sf), view(spark, sf, "tables"))
 
 
 @query(
     "full_table_scans",
-    with_views("index_usage", "tables") + _SCANS + ' SELECT server, schema, table_ AS "table", reads AS rows_full_scanned, table_rows FROM scans',
+    fleet("index_usage", "tables") + _SCANS + gate("index_usage", 'schema, table_ AS "table", reads AS rows_full_scanned, table_rows', "scans"),
+)
+def _(spark, sf):
+    return I.full_table_scans(usage(spark, sf), view(spark, sf, "tables"), capabilities=capabilities(spark, sf))
+
+
+@query(
+    "read_index_usage",
+    fleet("index_usage")
+    + f", u AS (SELECT * FROM v_index_usage WHERE index_ IS NOT NULL AND schema NOT IN {_SYSTEM})"
+    + gate("index_usage", 'schema, table_ AS "table", index_ AS "index", reads, writes', "u"),
+)
+def _(spark, sf):
+    return read_index_usage(usage(spark, sf), capabilities(spark, sf)).drop("snapshot_ts")
+
+
+@query(
+    "read_metadata_locks",
+    fleet("metadata_locks")
+    + """, m AS (SELECT server, object_type, coalesce(schema, '') AS schema, coalesce(name, '') AS name, lock_type,
+      lock_status, coalesce(thread_id, 0) AS thread_id
+    FROM v_metadata_locks WHERE schema IS NULL OR schema NOT IN ('performance_schema'))"""
+    + gate("metadata_locks", "object_type, schema, name, lock_type, lock_status, thread_id", "m"),
 )
 def _(spark, sf):
-    return scans(spark, sf)
+    return read_metadata_locks(view(spark, sf, "metadata_locks"), capabilities(spark, sf)).drop("snapshot_ts")
 
 
 # --------------------------------------------------------------- findings
@@ -138,8 +187,7 @@ _UNUSED = (
 
 
 def unused(spark, sf):
-    usage = read_index_usage(view(spark, sf, "index_usage"))
-    return V.unused_indexes(usage, definitions(spark, sf), uptimes(spark, sf), capabilities(spark, sf))
+    return V.unused_indexes(read_index_usage(usage(spark, sf)), definitions(spark, sf), uptimes(spark, sf), capabilities(spark, sf))
 
 
 @query("unused_indexes", with_views("index_usage", "index_columns", "servers", "status") + _DEFS + _CAPS + _UPTIME + " " + _UNUSED)
@@ -307,7 +355,7 @@ def _(spark, sf):
 @query("candidate_index", _SHAPED + " SELECT server, digest, array_to_string(cand, ',') AS candidate FROM sd")
 def _(spark, sf):
     return G.statement_shapes(digests(spark, sf)).select(
-        "server", "digest", F.array_join(candidate_index(F.col("shape")), ",").alias("candidate")
+        "server", "digest", F.array_join("candidate", ",").alias("candidate")
     )
 
 

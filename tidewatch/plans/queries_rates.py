@@ -11,6 +11,7 @@ from tidewatch.operators.locks import lock_wait_summary
 from tidewatch.plans.dashboard import SHOWN, dashboard_cards
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import view, with_views
+from tidewatch.plans.workspace import folder_bytes, workspace
 from tidewatch.sources.snapshots import read_server_limits, read_status
 
 
@@ -130,12 +131,12 @@ def _(spark, sf):
     "raw_status_delta",
     NUMERIC
     + """, p AS (SELECT *, t - lag(t) OVER w AS dt, lag(value) OVER w AS prev FROM num
-      WHERE contains(lower(variable), 'ead') WINDOW w AS (PARTITION BY server, session, variable ORDER BY t))
+      WINDOW w AS (PARTITION BY server, session, variable ORDER BY t))
     SELECT server, session, t, variable, value_raw,
       CASE WHEN dt > 0 AND value >= prev THEN CAST(value - prev AS DOUBLE) / dt END AS per_s FROM p""",
 )
 def _(spark, sf):
-    return R.raw_status_delta(status(spark, sf), "Ead").drop("wall_ms")
+    return R.raw_status_delta(status(spark, sf)).drop("wall_ms")
 
 
 @query(
@@ -274,11 +275,11 @@ def _(spark, sf):
 
 @query(
     "split_bytes_rates",
-    with_views("metrics") + " SELECT server, metric, ts, value FROM v_metrics WHERE metric IN ('bytes_in_s', 'bytes_out_s')",
+    with_views("metrics") + " SELECT server, metric, ts, value, metric IN ('bytes_in_s', 'bytes_out_s') AS is_bytes FROM v_metrics",
 )
 def _(spark, sf):
-    byte_rates, _others = P.split_bytes_rates(samples(spark, sf).drop("seq"))
-    return byte_rates
+    byte_rates, others = P.split_bytes_rates(samples(spark, sf).drop("seq"))
+    return byte_rates.withColumn("is_bytes", F.lit(True)).unionByName(others.withColumn("is_bytes", F.lit(False)))
 
 
 @query(
@@ -286,10 +287,19 @@ def _(spark, sf):
     with_views("metrics")
     + _FOLDED
     + """ SELECT (SELECT count(*) FROM v_metrics) AS raw_rows, (SELECT count(*) FROM fold) AS rollup_rows,
-      least((SELECT min(ts) FROM v_metrics), (SELECT min(ts) FROM fold)) AS oldest_ms""",
+      least((SELECT min(ts) FROM v_metrics), (SELECT min(ts) FROM fold)) AS oldest_ms, true AS size_is_that_of_the_files""",
 )
 def _(spark, sf):
-    return P.store_stats(samples(spark, sf), folded(spark, sf))
+    """Both tables as files of a store; their size must be what the file system says."""
+    home = workspace(spark)
+    tables = [(samples(spark, sf), f"{home}/raw"), (folded(spark, sf), f"{home}/rollup")]
+    read = []
+    for df, path in tables:
+        df.write.parquet(path)
+        read.append(spark.read.schema(df.schema).parquet(path))
+    stats = P.store_stats(*read, paths=[path for _, path in tables])
+    size = sum(folder_bytes(spark, path) for _, path in tables)
+    return stats.withColumn("size_is_that_of_the_files", F.col("stored_bytes") == size).drop("stored_bytes")
 
 
 @query(

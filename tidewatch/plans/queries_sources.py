@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.operators.replication import coalesce_aliases
 from tidewatch.plans.registry import query
@@ -25,15 +26,22 @@ def _(spark, sf):
     )
 
 
+SETTINGS = [
+    "max_connections", "wait_timeout", "interactive_timeout", "innodb_buffer_pool_size", "innodb_buffer_pool_instances",
+    "innodb_redo_log_capacity", "innodb_log_file_size", "innodb_log_files_in_group", "innodb_io_capacity",
+    "innodb_io_capacity_max", "innodb_flush_log_at_trx_commit", "innodb_max_dirty_pages_pct", "innodb_page_size",
+]
+
+
 @query(
     "read_variables",
     with_views("variables")
-    + """ SELECT server, max(value) FILTER (name = 'max_connections') AS max_connections,
-      max(value) FILTER (name = 'innodb_page_size') AS innodb_page_size
-    FROM v_variables WHERE name IN ('max_connections', 'innodb_page_size') GROUP BY server""",
+    + " SELECT server, "
+    + ", ".join(f"max(value) FILTER (name = '{n}') AS {n}" for n in SETTINGS)
+    + f" FROM v_variables WHERE name IN ({', '.join(map(repr, SETTINGS))}) GROUP BY server",
 )
 def _(spark, sf):
-    return S.read_variables(view(spark, sf, "variables"), ["max_connections", "innodb_page_size"])
+    return S.read_variables(view(spark, sf, "variables"), SETTINGS)
 
 
 @query(
@@ -53,13 +61,13 @@ def _(spark, sf):
 @query(
     "read_processlist",
     with_views("processlist")
-    + """ SELECT server, id, user, host, db, command, time, state, coalesce(info, '') AS info
+    + """ SELECT server, id, user, host, db, command, time, state, CASE WHEN id % 2 = 0 THEN coalesce(info, '') ELSE '' END AS info
     FROM v_processlist WHERE id <> 5""",
 )
 def _(spark, sf):
     rows = view(spark, sf, "processlist")
+    # The table that odd sessions come from has no statement column.
     even, odd = rows.where("id % 2 = 0"), rows.where("id % 2 = 1").drop("info")
-    odd = odd.join(rows.select("server", "id", "info"), ["server", "id"])
     return S.read_processlist(even, odd, own_id=5).drop("snapshot_ts")
 
 
@@ -105,27 +113,6 @@ def _(spark, sf):
     return rows.withColumn("started_s", F.unix_seconds("started")).drop("snapshot_ts", "started")
 
 
-@query(
-    "read_metadata_locks",
-    with_views("metadata_locks")
-    + """ SELECT server, object_type, coalesce(schema, '') AS schema, coalesce(name, '') AS name, lock_type,
-      lock_status, coalesce(thread_id, 0) AS thread_id
-    FROM v_metadata_locks WHERE schema IS NULL OR schema NOT IN ('performance_schema')""",
-)
-def _(spark, sf):
-    return S.read_metadata_locks(view(spark, sf, "metadata_locks")).drop("snapshot_ts")
-
-
-@query(
-    "read_index_usage",
-    with_views("index_usage")
-    + """ SELECT server, schema, table_ AS "table", index_ AS "index", reads, writes FROM v_index_usage
-    WHERE index_ IS NOT NULL AND schema NOT IN ('mysql', 'performance_schema', 'information_schema', 'sys')""",
-)
-def _(spark, sf):
-    return S.read_index_usage(view(spark, sf, "index_usage"))
-
-
 @query(
     "read_engine_reports",
     with_views("reports")
@@ -157,6 +144,27 @@ def _(spark, sf):
     )
 
 
+@query(
+    "read_connected_replicas",
+    with_views("replicas_new", "replicas_old")
+    + """ SELECT server, row_number() OVER (PARTITION BY server ORDER BY ch) AS replica_id, ch AS host, 3306 AS port, 'new' AS uuid,
+      CAST(substr(server, 2) AS BIGINT) AS source_id FROM (SELECT server, Channel_Name AS ch FROM v_replicas_new) x
+    UNION ALL SELECT server, NULL, ch, NULL, '', CAST(substr(server, 2) AS BIGINT) FROM (SELECT server, Channel_Name AS ch FROM v_replicas_old) y""",
+)
+def _(spark, sf):
+    """Lists of both generations, made of the channels: the older servers report no usable id or port."""
+    number = F.row_number().over(Window.partitionBy("server").orderBy("Channel_Name"))
+    source = F.substring("server", 2, 20)
+    new = view(spark, sf, "replicas_new").select(
+        "server", number.alias("Server_Id"), F.col("Channel_Name").alias("Host"), F.lit("3306").alias("Port"),
+        source.alias("Source_Id"), F.lit("new").alias("Replica_UUID"),
+    )
+    old = view(spark, sf, "replicas_old").select(
+        "server", F.lit("none").alias("Server_id"), F.col("Channel_Name").alias("Host"), F.lit("").alias("Port"), source.alias("Master_id"),
+    )
+    return S.read_connected_replicas(new, old)
+
+
 @query(
     "latest_snapshot",
     with_views("processlist")
@@ -167,7 +175,7 @@ def _(spark, sf):
     return S.latest_snapshot(view(spark, sf, "processlist")).select("server", "id", "user", "time")
 
 
-_VERSIONED = (
+FLAGGED = (
     with_views("servers")
     + r""", nums AS (
       SELECT *, string_split(regexp_extract(version, '^[0-9.]*'), '.') AS p FROM v_servers),
@@ -192,7 +200,7 @@ _VERSIONED = (
 
 @query(
     "server_capabilities",
-    _VERSIONED + f" SELECT server, major, minor, patch, flavor, {', '.join(FLAGS)} FROM flagged",
+    FLAGGED + f" SELECT server, major, minor, patch, flavor, {', '.join(FLAGS)} FROM flagged",
 )
 def _(spark, sf):
     caps = server_capabilities(view(spark, sf, "servers"))
@@ -201,7 +209,7 @@ def _(spark, sf):
 
 @query(
     "capability_summary",
-    _VERSIONED
+    FLAGGED
     + """ SELECT server, array_to_string(list_filter([
         CASE WHEN perf_schema_on THEN 'perf_schema' END, CASE WHEN ps_processlist THEN 'ps.processlist' END,
         CASE WHEN ps_data_locks THEN 'data_locks' ELSE 'innodb_locks' END,

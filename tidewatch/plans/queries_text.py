@@ -10,6 +10,7 @@ from tidewatch.operators import changes as H
 from tidewatch.operators import export as O
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import base, view, with_views
+from tidewatch.plans.workspace import folder_bytes, workspace
 
 # ------------------------------------------------------------- catalogue
 
@@ -31,9 +32,9 @@ _TABLES = """SELECT server, schema, table_ AS "table", coalesce(engine, '') AS e
       table_type = 'VIEW' AS is_view FROM v_tables"""
 
 
-@query("list_tables", with_views("tables") + f" {_TABLES} WHERE schema = 'shop'")
+@query("list_tables", with_views("tables") + f" {_TABLES}")
 def _(spark, sf):
-    return K.list_tables(tables(spark, sf), "shop")
+    return K.list_tables(tables(spark, sf))
 
 
 @query("filter_tables", with_views("tables") + f" {_TABLES} WHERE contains(lower(table_), 't1')")
@@ -83,6 +84,21 @@ def _(spark, sf):
     return page.drop("o_orderstatus", "o_totalprice")
 
 
+@query(
+    "browse_after",
+    f"""WITH p AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderkey) AS n,
+        count(*) OVER () AS total FROM orders WHERE {_BROWSE})
+    SELECT o_orderkey, o_orderpriority, total > 150 AS has_more FROM p WHERE n > 100 AND n <= 150""",
+)
+def _(spark, sf):
+    """The page behind the first hundred rows, found by the last key of those instead of by an offset."""
+    rows = base(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    how = {"condition": _BROWSE, "order_by": "o_orderpriority", "descending": True}
+    first = K.browse_page(rows, ["o_orderkey"], limit=100, **how)
+    end = K.page_end(first, ["o_orderkey"], "o_orderpriority", descending=True)
+    return K.browse_after(rows, end, ["o_orderkey"], limit=50, **how).drop("o_orderstatus", "o_totalprice")
+
+
 @query(
     "equality_filter",
     with_views("grid") + " SELECT doc_id, 'null' AS kind FROM v_grid WHERE lang IS NULL UNION ALL SELECT doc_id, 'en' FROM v_grid WHERE lang = 'en'",
@@ -352,11 +368,14 @@ _DUMP_TUPLE = (
 )
 
 
-def dumped(spark, sf):
+def dump_rows(spark, sf):
     """Documents with a binary column that is not always text."""
     blob = F.expr("CASE WHEN doc_id % 3 = 0 THEN concat(X'FF', CAST(text AS BINARY)) ELSE CAST(text AS BINARY) END")
-    rows = grid(spark, sf).select("doc_id", "lang", "source", "n_chars", blob.alias("body"))
-    return O.dump_data(rows, "docs")
+    return grid(spark, sf).select("doc_id", "lang", "source", "n_chars", blob.alias("body"))
+
+
+def dumped(spark, sf):
+    return O.dump_data(dump_rows(spark, sf), "docs")
 
 
 @query("dump_data", with_views("grid") + f" SELECT {_DUMP_TUPLE} AS values FROM v_grid")
@@ -366,13 +385,31 @@ def _(spark, sf):
     return dumped(spark, sf).select(F.explode(F.split(body, r",\n")).alias("values"))
 
 
+_PRICES = "SELECT o_orderkey, floor(o_totalprice)::DOUBLE / 8 AS eighth, o_orderkey % 2 = 0 AS even FROM orders"
+_PRICE_TUPLE = "'(' || CAST(o_orderkey AS VARCHAR) || ',' || regexp_replace(CAST(eighth AS VARCHAR), '\\.0$', '') || ',' || CASE WHEN even THEN '1' ELSE '0' END || ')'"
+
+
 @query(
     "dump_stats",
-    with_views("grid") + " SELECT 'docs' AS \"table\", count(*) AS rows FROM v_grid UNION ALL SELECT 'orders', count(*) FROM orders",
+    with_views("grid")
+    + f""" SELECT 'docs' AS "table", count(*) AS rows, CAST(sum(strlen({_DUMP_TUPLE})) AS BIGINT) AS tuple_bytes, true AS bytes_are_those_of_the_files FROM v_grid
+    UNION ALL SELECT 'prices', count(*), CAST(sum(strlen({_PRICE_TUPLE})) AS BIGINT), true FROM ({_PRICES}) x""",
 )
 def _(spark, sf):
-    stats = O.dump_stats({"docs": dumped(spark, sf), "orders": O.dump_data(orders(spark, sf), "orders")})
-    return stats.drop("bytes")
+    """What a whole dump reports. How many statements it takes rests on the partitions, so their frame is taken off."""
+    home = workspace(spark)
+    cents = F.col("o_totalprice").cast("bigint").cast("double")
+    prices = base(spark, sf, "orders").select("o_orderkey", (cents / 8).alias("eighth"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    tables = {"docs": dump_rows(spark, sf), "prices": prices}
+    stats = O.dump_tables(tables, home, "shop", "9.1.0", "today")
+    # A statement is its head, tuples with a comma and a line feed between them, a semicolon and a line feed.
+    heads = {n: len(O.insert_head(n, df.columns)) + 2 for n, df in tables.items()}
+    head = F.when(F.col("table") == "docs", heads["docs"]).otherwise(heads["prices"])
+    frame = F.col("statements") * head + (F.col("rows") - F.col("statements")) * 2
+    written = F.when(F.col("table") == "docs", folder_bytes(spark, f"{home}/1-docs")).otherwise(folder_bytes(spark, f"{home}/1-prices"))
+    return stats.select(
+        "table", "rows", (F.col("bytes") - frame).alias("tuple_bytes"), (F.col("bytes") == written).alias("bytes_are_those_of_the_files")
+    )
 
 
 # --------------------------------------------------------------- scalars

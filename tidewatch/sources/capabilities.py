@@ -102,3 +102,23 @@ def capability_summary() -> Column:
         (F.col("sys_schema"), "sys"),
     ]
     return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in shown])), " · ")
+
+
+# What a server must have for a reader to see anything.
+METADATA_LOCKS = ["metadata_locks", "perf_schema_on"]
+INDEX_USAGE = ["index_usage", "perf_schema_on"]
+
+
+def gated(rows: DataFrame, capabilities: DataFrame, needs: list[str]) -> DataFrame:
+    """``rows`` with ``supported``; a server that lacks a need has one row that says so and holds nothing else.
+
+    A supporting server without rows has none, which is an empty answer, not a missing one. What a server
+    without the feature reports nevertheless, and rows of servers that ``capabilities`` does not know, are left out.
+    """
+    has = F.lit(True)
+    for flag in needs:
+        has = has & F.coalesce(F.col(flag), F.lit(False))
+    known = capabilities.select("server", has.alias("supported"))
+    able = rows.join(known.where("supported"), "server")
+    unable = known.where("NOT supported").dropDuplicates(["server"])
+    return able.select(*rows.columns, "supported").unionByName(unable, allowMissingColumns=True)

@@ -25,7 +25,7 @@ INDEX_COLUMNS = (
     "server string, schema string, table string, index string, seq int, column string, "
     "non_unique int"
 )
-INDEX_USAGE = "server string, schema string, table string, index string, reads bigint, writes bigint"
+INDEX_USAGE = "server string, snapshot_ts timestamp, schema string, table string, index string, reads bigint, writes bigint"
 CATALOG_TABLES = (
     "server string, schema string, table string, table_type string, engine string, "
     "table_rows bigint"

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tidewatch.functions import parse_u64
+from tidewatch.sources.capabilities import INDEX_USAGE, METADATA_LOCKS, gated
 from tidewatch.sources.schemas import SNAPSHOT_TABLES
 
 # Schemas that belong to the server itself.
@@ -167,24 +168,30 @@ def read_transactions(raw: DataFrame) -> DataFrame:
     ).orderBy("started", "server", "trx_id")
 
 
-def read_metadata_locks(raw: DataFrame) -> DataFrame:
+def read_metadata_locks(raw: DataFrame, capabilities: DataFrame | None = None) -> DataFrame:
+    """Metadata locks; with ``capabilities`` servers that cannot show any say so, see ``gated``."""
     kept = raw.where(F.col("schema").isNull() | (F.col("schema") != "performance_schema"))
-    return kept.withColumns(
+    rows = kept.withColumns(
         {
             "schema": F.coalesce(F.col("schema"), F.lit("")),
             "name": F.coalesce(F.col("name"), F.lit("")),
             "thread_id": _count("thread_id"),
         }
     )
+    return rows if capabilities is None else gated(rows, capabilities, METADATA_LOCKS)
 
 
 def not_system(schema: Column) -> Column:
     return ~schema.isin(SYSTEM_SCHEMAS)
 
 
-def read_index_usage(raw: DataFrame) -> DataFrame:
-    """Reads and writes per index; rows without an index are table scans."""
-    return raw.where(F.col("index").isNotNull() & not_system(F.col("schema")))
+def read_index_usage(raw: DataFrame, capabilities: DataFrame | None = None) -> DataFrame:
+    """Reads and writes per index since each server's start, as its newest snapshot has them.
+
+    Rows without an index are table scans. With ``capabilities`` servers that do not count say so, see ``gated``.
+    """
+    rows = newest(raw).where(F.col("index").isNotNull() & not_system(F.col("schema")))
+    return rows if capabilities is None else gated(rows, capabilities, INDEX_USAGE)
 
 
 def read_engine_reports(df_or_session, path: str | None = None) -> DataFrame:
@@ -214,6 +221,32 @@ def read_replica_status(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def newest(df: DataFrame) -> DataFrame:
+    """The newest snapshot of each server where snapshots are dated: cumulative counters must not be added up."""
+    return latest_snapshot(df) if "snapshot_ts" in df.columns else df
+
+
+def read_connected_replicas(*tables: DataFrame) -> DataFrame:
+    """Replicas that are connected to each server, as it sees them, in one spelling.
+
+    Both generations of the list name the same five things; a port or id that is no number is NULL.
+    """
+    rows = read_replica_status(*tables)
+
+    def first(*names: str) -> Column:
+        have = [F.col(f"`{n}`") for n in names if n in rows.columns]
+        return F.coalesce(*have) if have else F.lit(None).cast("string")
+
+    return rows.select(
+        "server",
+        first("Server_Id", "Server_id").try_cast("bigint").alias("replica_id"),
+        F.coalesce(first("Host"), F.lit("")).alias("host"),
+        first("Port").try_cast("int").alias("port"),
+        first("Source_Id", "Master_Id", "Master_id").try_cast("bigint").alias("source_id"),
+        F.coalesce(first("Replica_UUID", "Slave_UUID"), F.lit("")).alias("uuid"),
+    )
+
+
 def latest_snapshot(df: DataFrame, by: str = "snapshot_ts", keys: list[str] | None = None) -> DataFrame:
     """Rows of the newest snapshot of each server.
 
