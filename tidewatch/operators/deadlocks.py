@@ -20,10 +20,9 @@ REPORT_KEYS = ["server", "snapshot_ts"]
 
 # Fixed patterns of the report layout.
 HEADER = "LATEST DETECTED DEADLOCK"
-SECTION = (
-    r"(?s)^[^\n]*\n(?:[ \t]*-{4,}[ \t\r]*(?:\n|\z))*+"
-    r"(.*?)(?:\n[ \t]*-{4,}[ \t\r]*(?=\n|\z)|\z)"
-)
+_RULE = r"[ \t]*-{4,}[ \t\r]*"
+AFTER_RULES = rf"(?s)^[^\n]*\n(?:{_RULE}(?:\n|\z))*+(.*)"
+NEXT_RULE = rf"\n{_RULE}(?=\n|\z)"
 MARKER = r"(?m)^[ \t]*\*\*\* "
 LOCK_LINE = r"(?m)^[ \t]*((?:RECORD LOCKS|TABLE LOCK)[^\n]*)"
 IS_LOCK_LINE = r"^(?:RECORD LOCKS|TABLE LOCK)"
@@ -184,8 +183,9 @@ def _party(block: Column, blocks: Column, fields: Sequence[str]) -> Column:
 def deadlock_sections(reports: DataFrame) -> DataFrame:
     """Deadlock part of each report that has one."""
     some = reports.where(F.contains("report", F.lit(HEADER))).select(*REPORT_KEYS, "report")
-    # What follows the header, so that the pattern starts where it matches.
-    cut = pinned(some, "section", F.regexp_extract(F.split("report", HEADER, 2)[1], SECTION, 1))
+    # What follows the header, so that the patterns start where they match.
+    tail = F.substr("report", F.instr("report", HEADER) + F.lit(len(HEADER)))
+    cut = pinned(some, "section", F.get(F.split(F.regexp_extract(tail, AFTER_RULES, 1), NEXT_RULE, 2), F.lit(0)))
     return cut.where(F.col("section") != "").select(*REPORT_KEYS, "section")
 
 
