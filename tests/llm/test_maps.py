@@ -243,25 +243,39 @@ def test_suffix_automaton_accepts_substrings_only():
         assert (state >= 0) == (word in inside)
 
 
+def greedy_phrases(row, held):
+    """From the end of the last phrase the longest run that the sample holds, one symbol at least."""
+    at = count = 0
+    while at < len(row):
+        size = 1
+        while at + size < len(row) and bytes(row[at : at + size + 1]) in held:
+            size += 1
+        at, count = at + size, count + 1
+    return count
+
+
 def test_phrases_equal_greedy_longest_matches():
     rng = np.random.default_rng(3)
     text = rng.integers(2, 5, 60).astype(np.uint8)
-    table, held = dense(text), bytes(text)
-    rows = rng.integers(2, 6, (20, 40)).astype(np.uint8)
-    sizes = rng.integers(1, 41, 20)
-    got = languages.phrases(table, rows, sizes)
-    for row, n, count in zip(rows, sizes, got, strict=True):
-        at, phrases, word = 0, 1, b""
-        for c in row[:n]:
-            if word + bytes([c]) in held:
-                word += bytes([c])
-                continue
-            phrases += 1
-            word = bytes([c])
-            if word not in held:
-                phrases, word = phrases + 1, b""
-        del at
-        assert count == phrases
+    rows = rng.integers(2, 6, (60, 40)).astype(np.uint8)
+    sizes = rng.integers(1, 41, 60)
+    got = languages.phrases(dense(text), rows, sizes)
+    assert got.tolist() == [greedy_phrases(row[:n], bytes(text)) for row, n in zip(rows, sizes, strict=True)]
+    # Symbol 5 is not in the sample: each is one phrase.
+    small = np.array([2, 3, 2, 3, 4], np.uint8)
+    table = dense(small)
+    for row, count in (([5], 1), ([5, 5], 2), ([2, 5, 5, 3], 4), ([2, 3, 4, 2], 2)):
+        assert languages.phrases(table, np.array([row], np.uint8), np.array([len(row)])).tolist() == [count]
+
+
+def test_marks_are_no_letters_and_draws_are_scored_as_such(documents):
+    model = languages.fit([("de", "aa bb"), ("en", "aa bb")])
+    got = languages.decide(model, ["\u0301", "\u0301\u0300 12", "aa", "", "é"])
+    assert got[0] == got[1] == got[3] == ("und", 0.0)
+    assert got[2][0] == "de" and abs(got[2][1] - 0.5) < 1e-9 and got[4][0] != "und"
+    rows = languages.identify(documents(["aa", "aa", None], ids=[4, 4, None]), model).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in rows) == [(0, "und"), (4, "de"), (4, "de")]
+    assert languages.identify(documents([]), model).count() == 0
 
 
 def test_language_of_plain_text(documents):
@@ -333,11 +347,26 @@ def test_toxicity_on_unseen_rows(spark, documents):
     assert all(0 <= s <= 1 for s in got.values())
 
 
-def test_isotonic_fit_is_monotone():
+def brute_isotonic(raw, y):
+    """The monotone fit by its min-max formula, at each distinct score."""
+    points = sorted(set(raw))
+    mean = lambda a, b: np.mean([v for x, v in zip(raw, y) if points[a] <= x <= points[b]])
+    return [max(min(mean(a, b) for b in range(k, len(points))) for a in range(k + 1)) for k in range(len(points))]
+
+
+def test_isotonic_fit_equals_brute_force_with_ties():
     rng = np.random.default_rng(1)
-    raw = rng.normal(size=300)
-    knots, values = toxicity.isotonic(raw, (rng.random(300) < 1 / (1 + np.exp(-raw))).astype(float))
-    assert (np.diff(knots) >= 0).all() and (np.diff(values) >= -1e-12).all()
+    for values in (2, 5, 40):
+        raw = rng.integers(0, values, 60) / 4
+        y = (rng.random(60) < raw / values * 4).astype(float)
+        knots, fitted = toxicity.isotonic(raw, y)
+        assert (np.diff(knots) >= 0).all() and (np.diff(fitted) >= -1e-12).all()
+        assert np.allclose(np.interp(sorted(set(raw)), knots, fitted), brute_isotonic(raw.tolist(), y.tolist()))
+        order = rng.permutation(60)
+        again = toxicity.isotonic(raw[order], y[order])
+        assert np.array_equal(again[0], knots) and np.allclose(again[1], fitted)
+    knots, fitted = toxicity.isotonic(np.zeros(4), np.array([0.0, 1.0, 0.0, 1.0]))
+    assert np.interp(0.0, knots, fitted) == 0.5
 
 
 @pytest.mark.parametrize("run", [queries.secret_digest, licenses.scan, lambda d: byte_bpe.round_trip(d, PATH, public_tokenizers.PATTERN)])

@@ -114,6 +114,11 @@ def encoded(text: str, symbols: np.ndarray) -> np.ndarray:
     return out[keep]
 
 
+def has_letter(text: str) -> bool:
+    """Whether the text has a letter; a mark by itself is none."""
+    return any(map(str.isalpha, text))
+
+
 def fit(labelled: list[tuple[str, str]]) -> Model:
     """A model of (language, text) pairs."""
     letters = _letters()
@@ -151,12 +156,11 @@ def phrases(table: np.ndarray, stretches: np.ndarray, lengths: np.ndarray) -> np
         to = flat[state[:n] * np.int64(width) + symbol]
         missed = to < 0
         fresh = root[symbol]
-        # A symbol that the sample lacks is a phrase of its own.
-        count[:n] += missed
-        count[:n] += missed & (fresh < 0)
+        # In the start state no phrase is open: at the beginning, and after a symbol that the sample lacks, which is one by itself.
+        count[:n] += missed | (state[:n] == 0)
         state[:n] = np.where(missed, np.maximum(fresh, 0), to)
     out = np.empty_like(count)
-    out[order] = count + 1
+    out[order] = count
     return out
 
 
@@ -182,9 +186,12 @@ def rates(model: Model, coded: list[np.ndarray]) -> np.ndarray:
 
 
 def decide(model: Model, texts: list[str]) -> list[tuple[str, float]]:
-    """(language, score) of each text; ("und", 0.0) without letters or without a learned language."""
-    coded = [encoded(t, model.symbols) for t in texts]
-    judged = [k for k, x in enumerate(coded) if x.any() and model.languages]
+    """(language, score) of each text; ("und", 0.0) without letters or without a learned language.
+
+    Of languages that need equally few phrases the first by name is given; n of them share the score, 1 / n at most.
+    """
+    judged = [k for k, t in enumerate(texts) if model.languages and has_letter(t)]
+    coded = {k: encoded(texts[k], model.symbols) for k in judged}
     out = [("und", 0.0)] * len(texts)
     if judged:
         got = rates(model, [coded[k] for k in judged])
@@ -223,8 +230,9 @@ def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of each text.
 
-    One row per input row. ``und`` with score 0 for null texts and texts without letters, and for
-    all when nothing could be learned.
+    One row per input row, so repeated rows are predicted alike and null ids stay; an empty table gives an empty
+    table, and other columns are not read. ``und`` with score 0 for null texts and texts without letters, and for
+    all when nothing could be learned. Texts of any length are parsed whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

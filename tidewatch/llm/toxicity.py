@@ -209,17 +209,21 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boost:
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (raw score, probability) of the monotone least-squares fit, by pooling neighbours."""
-    order = np.argsort(raw, kind="stable")
+    """Knots (raw score, probability) of the monotone least-squares fit, by pooling neighbours.
+
+    Rows of one raw score are one point of their mean label, whatever their order.
+    """
+    points, place, rows = np.unique(raw, return_inverse=True, return_counts=True)
+    labels = np.bincount(place.ravel(), y, points.size)
     blocks: list[list[float]] = []
-    for score, label in zip(raw[order], y[order], strict=True):
-        blocks.append([label, 1, score, score])
+    for score, total, n in zip(points.tolist(), labels.tolist(), rows.tolist(), strict=True):
+        blocks.append([total, n, score, score])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             total, n, _, high = blocks.pop()
             blocks[-1][0] += total
             blocks[-1][1] += n
             blocks[-1][3] = high
-    knots = [(x, (total + 0.5 * (n == 0)) / n) for total, n, low, high in blocks for x in ((low,) if low == high else (low, high))]
+    knots = [(x, total / n) for total, n, low, high in blocks for x in ((low,) if low == high else (low, high))]
     return np.array([k for k, _ in knots]), np.array([v for _, v in knots])
 
 
