@@ -45,7 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [x or "" for x in batch.column("text").to_pylist()]
         if not shared.value.languages:
-            return batch.filter(pa.array([bool(languages.encoded(x, shared.value.symbols).any()) for x in rows], pa.bool_()))
+            return batch.filter(pa.array([languages.has_letter(x) for x in rows], pa.bool_()))
         found = languages.decide(shared.value, rows)
         return batch.filter(pa.array([k != "und" for k, _ in found], pa.bool_()))
 
