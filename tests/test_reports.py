@@ -9,36 +9,41 @@ from tidewatch.operators.reports import checkpoint_age, log_flush_lag, parse_eng
 
 NEW = """
 =====================================
-2026-01-02 03:04:05 1 INNODB MONITOR OUTPUT
-SEMAPHORES
-OS WAIT ARRAY INFO: reservation count 77
-OS WAIT ARRAY INFO: signal count 8
+2031-07-08 21:15:40 4 INNODB MONITOR OUTPUT
+BACKGROUND THREAD
+srv_master_thread loops: 12 srv_active, 0 srv_shutdown, 90 srv_idle
+OS WAIT ARRAY INFO: reservation count 412
+RW-shared spins 3, rounds 5, OS waits 1
 TRANSACTIONS
-History list length 1234
+Trx id counter 90818
+History list length 5678
+FILE I/O
+0.00 reads/s, 0 avg bytes/read, 7.50 writes/s
 LOG
-Log sequence number          900000100
-Log buffer assigned up to    900000100
-Log flushed up to            900000000
-Pages flushed up to          899000000
-Last checkpoint at           898000000
+Log sequence number          700000250
+Log flushed up to            700000000
+Pages flushed up to          698000000
+Last checkpoint at           697000000
+3 pending log flushes, 0 pending chkp writes
 BUFFER POOL AND MEMORY
+Total large memory allocated 137363456
 Buffer pool size   0
-Buffer pool size   65536
-Free buffers       10
-Database pages     60000
-Old database pages 44
-Modified db pages  321
-INDIVIDUAL BUFFER POOL INFO
-Buffer pool size   8192
+Buffer pool size   32768
+Free buffers       21
+Database pages     30011
+Modified db pages  654
+Pending reads      2
+ROW OPERATIONS
+Buffer pool size   4096
 """
 OLD = """
-History list length 5
-Log sequence number 500
-Log flushed up to   600
-Last checkpoint at  700.
-Buffer pool size, bytes 1000
+History list length 8
+Log sequence number 900
+Log flushed up to   950
+Last checkpoint at  1000.
+Buffer pool size, bytes 2000
 Free buffers
-Modified db pages  12, and more
+Modified db pages  31, rest later
 """
 
 DEADLOCK = """header
@@ -91,14 +96,14 @@ def test_numbers_of_both_layouts(spark):
     rows = {r.server: r.asDict() for r in parsed.withColumns({"age": checkpoint_age(), "lag": log_flush_lag()}).collect()}
     new = {k: int(v) for k, v in rows["s0"].items() if k not in ("server", "snapshot_ts")}
     assert new == {
-        "history_list_length": 1234, "lsn": 900000100, "log_flushed_up_to": 900000000,
-        "pages_flushed_up_to": 899000000, "last_checkpoint": 898000000, "buffer_pool_pages": 65536,
-        "free_buffers": 10, "database_pages": 60000, "modified_pages": 321,
-        "os_wait_reservations": 77, "age": 2000100, "lag": 100,
+        "history_list_length": 5678, "lsn": 700000250, "log_flushed_up_to": 700000000,
+        "pages_flushed_up_to": 698000000, "last_checkpoint": 697000000, "buffer_pool_pages": 32768,
+        "free_buffers": 21, "database_pages": 30011, "modified_pages": 654,
+        "os_wait_reservations": 412, "age": 3000250, "lag": 250,
     }
     old = rows["s1"]
-    assert (old["history_list_length"], old["last_checkpoint"], old["modified_pages"]) == (5, 700, 12)
-    assert old["buffer_pool_pages"] == 1000 and old["free_buffers"] == 0
+    assert (old["history_list_length"], old["last_checkpoint"], old["modified_pages"]) == (8, 1000, 31)
+    assert old["buffer_pool_pages"] == 2000 and old["free_buffers"] == 0
     assert old["age"] == 0 and old["lag"] == 0  # never below zero
     for s in ("s2", "s3"):
         assert all(v == 0 for k, v in rows[s].items() if k not in ("server", "snapshot_ts"))

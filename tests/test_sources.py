@@ -41,14 +41,14 @@ def test_limits_default_to_zero(spark):
 @pytest.mark.parametrize(
     ("version", "comment", "flavor", "on", "off"),
     [
-        ("5.6.51", "", "MySQL", ["innodb_trx"], ["sys_schema", "ps_data_locks"]),
-        ("5.7.44-log", "", "MySQL", ["sys_schema", "metadata_locks"], ["ps_data_locks"]),
-        ("8.0.11", "", "MySQL", ["ps_data_locks"], ["ps_processlist", "invisible_index"]),
-        ("8.0.36", "", "MySQL", ["ps_processlist", "replica_terms", "invisible_index"], ["perf_schema_on"]),
-        ("8.0.9", "", "MySQL", ["digest_sample_text"], ["invisible_index"]),
-        ("10.11.6-MariaDB", "", "MariaDB", ["sys_schema", "metadata_locks"], ["ps_data_locks", "replica_terms"]),
-        ("8.0.36-28", "Percona Server", "Percona", ["replica_terms"], []),
-        ("?", "", "Unknown", [], ["innodb_trx", "sys_schema"]),
+        ("5.6.49", "", "MySQL", ["innodb_trx"], ["sys_schema", "ps_data_locks"]),
+        ("5.7.31-debug", "", "MySQL", ["sys_schema", "metadata_locks"], ["ps_data_locks"]),
+        ("8.0.12", "", "MySQL", ["ps_data_locks"], ["ps_processlist", "invisible_index"]),
+        ("8.4.3", "", "MySQL", ["ps_processlist", "replica_terms", "invisible_index"], ["perf_schema_on"]),
+        ("8.0.1", "", "MySQL", ["digest_sample_text"], ["invisible_index"]),
+        ("10.9.8-MariaDB-harbour", "", "MariaDB", ["sys_schema", "metadata_locks"], ["ps_data_locks", "replica_terms"]),
+        ("9.0.1-1", "percona, packed by us", "Percona", ["replica_terms"], []),
+        ("not told", "", "Unknown", [], ["innodb_trx", "sys_schema"]),
     ],
 )
 def test_versions(spark, version, comment, flavor, on, off):
@@ -59,7 +59,7 @@ def test_versions(spark, version, comment, flavor, on, off):
 
 
 def test_summary_names_the_lock_source(spark):
-    df = spark.createDataFrame([("s", "8.0.36", ""), ("t", "5.7.1", "")], "server string, version string, version_comment string")
+    df = spark.createDataFrame([("s", "8.4.3", ""), ("t", "5.7.2", "")], "server string, version string, version_comment string")
     caps = server_capabilities(df, perf_schema_on=F.lit(True))
     got = {r.server: r.x for r in caps.select("server", capability_summary().alias("x")).collect()}
     assert got == {

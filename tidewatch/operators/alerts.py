@@ -46,17 +46,12 @@ DEFAULT_RULES = [
     Rule(7, "aborted_connects_s", "above", 1.0, 30.0),
 ]
 
-# Rules come from a list on the driver; past this many they are joined like
-# any other table instead of being broadcast.
-BROADCAST_RULES = 10_000
-
 STATE_KEYS = ["server", "session", "rule_id"]
 
 
 def rules_table(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
     rules = DEFAULT_RULES if rules is None else rules
-    df = spark.createDataFrame([astuple(r) for r in rules], RULE_SCHEMA)
-    return F.broadcast(df) if len(rules) <= BROADCAST_RULES else df
+    return spark.createDataFrame([astuple(r) for r in rules], RULE_SCHEMA)
 
 
 def breached(value: Column, cmp: Column, threshold: Column) -> Column:

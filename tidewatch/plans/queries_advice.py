@@ -60,7 +60,7 @@ _DEFS = f""", defs AS (SELECT server, schema, table_, index_, list(column_ ORDER
       FROM v_index_columns WHERE schema NOT IN {_SYSTEM} GROUP BY server, schema, table_, index_)"""
 # Servers s0, s1, s2, … run the version their number picks: only some hide indexes.
 _CAPS = """, caps AS (SELECT concat('s', substr(server, 2)) AS server,
-      version IN ('8.0.36', '8.0.22') AS invisible FROM v_servers)"""
+      version IN ('8.4.3', '8.0.22') AS invisible FROM v_servers)"""
 
 
 def _action(schema: str = "schema", table: str = "table_", index: str = "index_") -> str:

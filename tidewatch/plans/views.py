@@ -163,9 +163,9 @@ def status(d) -> str:
 def servers(d) -> str:
     """One server per customer, over the versions in the field."""
     versions = [
-        ("8.0.36", "MySQL Community Server"), ("5.7.44-log", ""), ("8.0.11", ""), ("5.6.51", ""),
-        ("10.11.6-MariaDB-1:10.11.6+maria~ubu2204", ""), ("5.7.44-48-log", "Percona Server (GPL)"),
-        ("10.4.2-MariaDB", ""), ("garbage", ""), ("8.0.22", "Source distribution"), ("5.7.3", ""),
+        ("8.4.3", "harbour build"), ("5.7.31-debug", ""), ("8.0.12", ""), ("5.6.49", ""),
+        ("10.9.8-MariaDB-harbour", ""), ("5.7.40-43", "percona, packed by us"),
+        ("10.5.0-mariadb", ""), ("not told", ""), ("8.0.22", "from source"), ("5.7.3", ""),
     ]
 
     def pick(i: int) -> str:
@@ -493,6 +493,12 @@ def reports(d) -> str:
         place = f"'RECORD LOCKS space id ', {d.text(f'{key} % 800 + 3')}, ' page no ', {d.text(f'{key} % 61 + 5')}, ' n bits ', {d.text(f'{key} % 4 * 8 + 72')}"
         return f"concat({place}, ' index {index} of table {table} trx id ', {d.text(key)}, ' {mode}')"
 
+    def statement(n: int, key: str) -> list[str]:
+        """The two sides run different statements."""
+        if n == 1:
+            return [f"concat('DELETE FROM `depot`.`pallet` WHERE lane = ', {d.text(key)})", f"concat('  ORDER BY slot LIMIT ', {d.text('o_custkey')})"]
+        return [f"concat('UPDATE `depot`.`bay` SET lane = NULL WHERE slot > ', {d.text(key)}, ' AND crane = ', {d.text('o_custkey')})"]
+
     def party(n: int, key: str) -> list[str]:
         return [
             f"'*** ({n}) TRANSACTION:'",
@@ -500,8 +506,7 @@ def reports(d) -> str:
             f"concat('mysql tables in use ', {d.text(f'{key} % 3 + 1')}, ', locked ', {d.text(f'{key} % 2 + 1')})",
             f"concat('LOCK WAIT ', {d.text(f'{key} % 9 + 2')}, ' lock struct(s), heap size ', {d.text(f'{key} % 7 * 1024 + 3200')}, ', ', {d.text(f'{key} % 5')}, ' row lock(s)')",
             f"concat('MySQL thread id ', {d.text(f'{key} + 7')}, ', OS thread handle ', {d.text(f'{key} + 140000')}, ', query id ', {d.text(f'{key} * 2')}, ' 172.20.4.', {d.text('o_custkey % 9')}, ' svc', {d.text(f'{key} % 3')}, ' Searching rows for update')",
-            f"concat('DELETE FROM `depot`.`pallet` WHERE lane = ', {d.text(key)})",
-            f"concat('  ORDER BY slot LIMIT ', {d.text('o_custkey')})",
+            *statement(n, key),
             f"'*** ({n}) HOLDS THE LOCK(S):'",
             lock("by_bay", "`depot`.`', o_orderpriority, '`", key, "lock mode S"),
             f"'*** ({n}) WAITING FOR THIS LOCK TO BE GRANTED:'",
