@@ -254,10 +254,10 @@ def test_common_length():
         assert decontaminate.common_length(a, b) == brute(a, b)
 
 
-def brute_nearest(rows, k):
+def brute_nearest(rows, k, every=20):
     out = set()
     for q, v in rows:
-        if q % 20 == 0:
+        if q % every == 0:
             near = sorted((-float(np.dot(np.float64(v), np.float64(w))), i) for i, w in rows if i != q)[:k]
             out |= {(q, i) for _, i in near}
     return out
@@ -285,6 +285,47 @@ def test_nearest_neighbours(spark, monkeypatch):
         assert own == sorted(own, key=lambda x: (-x[1], x[2]))
 
 
+def test_block_search_equals_brute_force_where_it_looks(monkeypatch):
+    """Copies of one vector, equal scores and repeated ids; with a stop that never holds all rows are verified."""
+    monkeypatch.setattr(neighbours, "LEAF", 5)
+    rng = np.random.default_rng(2)
+    vectors = np.concatenate([rng.normal(size=(150, 12)), np.repeat(rng.normal(size=(1, 12)), 60, axis=0), np.eye(12)])
+    ids = rng.permutation(len(vectors)).astype(np.int64)
+    ids[5] = ids[9]
+    longest = float(np.sqrt((vectors**2).sum(1).max()))
+    shard = neighbours.Shard(ids, vectors, longest)
+    shard.stop = np.inf
+    asked = np.concatenate([np.arange(0, 30), np.arange(150, 160), [200]])
+    query, found, score = shard.nearest(ids[asked], vectors[asked], 7)
+    for at, row in enumerate(asked):
+        scores = np.einsum("ij,ij->i", np.repeat(vectors[row][None], len(vectors), axis=0), vectors)
+        want = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != ids[row])[:7]
+        got = [(-s, i) for q, i, s in zip(query.tolist(), found.tolist(), score.tolist()) if q == at]
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+@pytest.mark.parametrize("together", [1, 3, 7, 512])
+def test_every_query_is_answered(spark, monkeypatch, together):
+    """More queries than are searched at once, over several shards and blocks."""
+    for name, value in (("TOGETHER", together), ("SHARD_ROWS", 90), ("QUERY_ROWS", 20)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=6).astype(np.float32).tolist()) for k in range(400)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=5).collect()
+    want = brute_nearest(rows, 20, every=5)
+    assert {r.query_id for r in got} == set(range(0, 400, 5)) and len(got) == len(want) == 80 * 20
+    assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
+
+
+def test_repeated_and_long_ids_of_vectors(spark, monkeypatch):
+    """Repeated rows count once, a repeated query id takes its smallest vector, other lengths are no candidates."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 2)
+    schema = "vec_id long, embedding array<float>"
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [2.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [1.0, 0.0, 0.0]), (2**62, [3.0, 1.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(20, 1, 1, 3.0), (20, 2, 2, 3.0), (20, 3, 2**62, 3.0)]
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0

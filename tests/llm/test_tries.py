@@ -7,7 +7,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import lexical, prefix_trie, token_counts
 
@@ -60,8 +62,24 @@ def trie_rows(spark, rows, parts=3):
     return [tuple(r) for r in got.collect()]
 
 
-def test_trie_equals_brute_force(spark):
+@pytest.fixture
+def many_partitions(spark):
+    """Small partitions that stay apart, so that conversations cross their borders."""
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_trie_equals_brute_force(spark, many_partitions):
     rows = conversations(3)
+    folders = []
+    turns, _ = prefix_trie.rebuilt(spark.createDataFrame([(*r, "extra") for r in rows], TURNS).repartition(3), folders)
+    crossed = turns.groupBy("conv_id").agg(F.countDistinct("part").alias("n")).where("n > 1").count()
+    assert crossed >= 3
     got = trie_rows(spark, rows)
     assert len(got) == len(set(got)) and set(got) == brute_trie(rows)
 
@@ -210,6 +228,24 @@ def test_search_over_several_trees(monkeypatch, leaf):
     assert list(zip((-best.scores).tolist(), best.ids.tolist())) == sorted(want)[:20]
 
 
+def test_a_task_cuts_its_rows_into_trees(monkeypatch):
+    """Every row is in one tree, whatever the bounds of rows and terms are."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 6, 2500)
+    batches = []
+    for a in range(0, 2500, 700):
+        part = sizes[a : a + 700]
+        terms = [sorted(rng.choice(30, n, replace=False).tolist()) for n in part]
+        columns = [pa.array(range(a, a + part.size), pa.int64()), pa.array([9] * part.size, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array([[1] * n for n in part], pa.list_(pa.int32()))]
+        batches.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "terms", "tfs"]))
+    for rows, limit in ((10**9, 10**9), (1000, 10**9), (10**9, 900)):
+        monkeypatch.setattr(lexical, "TREE_ROWS", rows)
+        monkeypatch.setattr(lexical, "TREE_TERMS", limit)
+        trees = list(lexical._trees(iter(batches), np.arange(30), 2500, 22500))
+        assert sorted(np.concatenate([t.ids for t in trees]).tolist()) == list(range(2500))
+        assert sum(t.terms.size for t in trees) == sizes.sum() and (len(trees) > 1) == (min(rows, limit) < 10**9)
+
+
 def test_trees_prune_and_stay_exact():
     """The bound of a subtree is never below the score of a document in it."""
     rng = np.random.default_rng(5)

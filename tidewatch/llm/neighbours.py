@@ -4,9 +4,9 @@ Vectors are lifted by one coordinate so that the largest inner product becomes t
 Euclidean distance. AXES random Gaussian projections (2-stable: a projected squared distance is the
 squared distance times a chi-square variable of AXES degrees of freedom) are indexed by a kd-tree,
 one tree for each shard of rows. A query takes its neighbours in the projected space in
-growing order, verifies each on the original vector, and stops when the chi-square test says
+growing rings, leaf by leaf, verifies them on the original vectors, and stops when the chi-square test says
 that a vector nearer than the k-th verified one would hardly lie as far out in projection as the
-next one does.
+next ring does. Queries that reach a leaf in the same round are verified by one product of matrices.
 
 Every row is indexed. Queries are sent to the shards in blocks and the best k of all shards are
 merged, so no task holds all vectors or all queries.
@@ -21,17 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 AXES = 8
-LEAF = 48
+LEAF = 128
 #: Factor by which the squared radius of a search grows from ring to ring.
 GROWTH = 1.35
 #: Chance that a vector as near as the k-th is missed when the search of a shard stops; nearer ones are
 #: missed less. Measured recall of the whole is in the README.
 MISS = 0.1
-#: Rows of a shard and queries of a block, about.
-SHARD_ROWS = 4096
+#: Rows of a shard and queries of a block, about, and queries that are searched together.
+SHARD_ROWS = 8192
 QUERY_ROWS = 4096
+TOGETHER = 512
+#: By so much a product of matrices may differ from the sum of one pair's products, at lengths near one.
+SLACK = 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -94,31 +98,13 @@ class Tree:
         self.floor = np.array([f for f, _ in boxes])
         self.ceiling = np.array([c for _, c in boxes])
 
-    def ascending(self, query: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(radius, places in ``order``): points by growing projected squared distance, ring by ring.
-
-        All points within the radius have come by then and none beyond it. Leaves are opened when
-        the radius reaches their boxes.
-        """
-        if not len(self.cuts):
-            return
-        away = np.maximum(0, np.maximum(self.floor - query, query - self.ceiling))
-        bounds = (away**2).sum(axis=1)
-        leaves = np.argsort(bounds, kind="stable")
-        reached = bounds[leaves]
-        radius, opened = float(reached[0]) + 1.0, 0
-        places, distances = np.zeros(0, np.int64), np.zeros(0)
-        while opened < leaves.size or places.size:
-            upto = int(np.searchsorted(reached, radius, side="right"))
-            if upto > opened:
-                new = np.concatenate([np.arange(*self.cuts[leaf]) for leaf in leaves[opened:upto]])
-                places = np.concatenate([places, new])
-                distances = np.concatenate([distances, ((self.points[new] - query) ** 2).sum(axis=1)])
-                opened = upto
-            inside = distances <= radius
-            yield radius, places[inside]
-            places, distances = places[~inside], distances[~inside]
-            radius *= GROWTH
+    def bounds(self, places: np.ndarray) -> np.ndarray:
+        """Least squared distance from each place to each leaf's box."""
+        out = np.zeros((len(places), len(self.cuts)))
+        for axis in range(places.shape[1]):
+            at = places[:, axis, None]
+            out += np.maximum(0, np.maximum(self.floor[:, axis] - at, at - self.ceiling[:, axis])) ** 2
+        return out
 
 
 class Shard:
@@ -132,24 +118,61 @@ class Shard:
         self.ids, self.vectors, self.longest = ids[self.tree.order], vectors[self.tree.order], longest
         self.stop = stop_factor()
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """(score, id) of the best k found, the query's own id left out; largest score, then smallest id."""
-        length = float(np.sqrt(query @ query))
-        place = np.append(query / length, 0.0) @ self.axes
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for radius, rows in self.tree.ascending(place):
-            found = np.einsum("ij,j->i", self.vectors[rows], query)
-            good = self.ids[rows] != query_id
-            if ids.size >= k:
-                good &= found >= scores[k - 1]
-            if good.any():
-                ids, scores = np.concatenate([ids, self.ids[rows[good]]]), np.concatenate([scores, found[good]])
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the best k found for each of a block of queries, by their places in the block.
+
+        Every query goes out in rings of its own: a leaf is verified for all queries whose ring has reached it, and a
+        query stops when its ring has passed the chi-square bound of its k-th score. Its own id is left out. Largest
+        score, then smallest id.
+        """
+        lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        unit = np.hstack([queries / lengths[:, None], np.zeros((len(queries), 1))])
+        bounds = self.tree.bounds(unit @ self.axes)
+        radius = bounds.min(axis=1) + 1.0
+        best = _Best(len(queries), k)
+        waiting, active = np.ones(bounds.shape, bool), np.ones(len(queries), bool)
+        while active.any():
+            reached = waiting & active[:, None] & (bounds <= radius[:, None])
+            for leaf in np.flatnonzero(reached.any(axis=0)).tolist():
+                low, high = self.tree.cuts[leaf]
+                own = np.flatnonzero(reached[:, leaf])
+                rough = queries[own] @ self.vectors[low:high].T
+                q, row = np.nonzero((rough >= (best.kth - SLACK * lengths * self.longest)[own, None]) & (query_ids[own, None] != self.ids[low:high]))
+                if q.size:
+                    q, row = own[q], row + low
+                    # Summed in one way for every pair, so that equal vectors score alike.
+                    best.offer(q, self.ids[row], np.einsum("ij,ij->i", queries[q], self.vectors[row]))
+            waiting &= ~reached
             # Squared distance of lifted, unit vectors: 2 - 2 * score / (|query| * longest).
-            if ids.size >= k and radius >= self.stop * max(0.0, 2 - 2 * scores[k - 1] / (length * self.longest)):
-                break
-        return list(zip(scores.tolist(), ids.tolist(), strict=True))
+            with np.errstate(invalid="ignore"):
+                enough = self.stop * np.maximum(0.0, 2 - 2 * best.kth / (lengths * self.longest))
+            active &= waiting.any(axis=1) & ~((best.kth > -np.inf) & (radius >= enough))
+            radius *= GROWTH
+        return best.rows()
+
+
+class _Best:
+    """The k best of each query so far, best first; places that are not filled yet hold minus infinity."""
+
+    def __init__(self, queries: int, k: int):
+        self.scores = np.full((queries, k), -np.inf)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+        self.kth = self.scores[:, k - 1]
+
+    def offer(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        touched, owner, more = np.unique(query, return_inverse=True, return_counts=True)
+        k = self.scores.shape[1]
+        q = np.concatenate([np.repeat(np.arange(touched.size), k), owner])
+        i = np.concatenate([self.ids[touched].ravel(), ids])
+        s = np.concatenate([self.scores[touched].ravel(), scores])
+        order = np.lexsort((i, -s, q))
+        first = np.append(0, np.cumsum(more + k)[:-1])
+        kept = order[first[:, None] + np.arange(k)]
+        self.scores[touched], self.ids[touched] = s[kept], i[kept]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, place = np.nonzero(self.scores > -np.inf)
+        return query, self.ids[query, place], self.scores[query, place]
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -177,41 +200,52 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by (dims, shard, block of queries), the shard's own rows first.
-        key, index, ids, parts, longest = None, None, [], [], 1.0
+        key, index, rows, asked, longest = None, None, ([], []), ([], []), 1.0
+
+        def answer() -> pa.RecordBatch:
+            nonlocal index, asked
+            ids, parts = asked
+            asked = ([], [])
+            if index is None and rows[0] and ids:
+                index = Shard(np.concatenate(rows[0]), np.concatenate(rows[1]), longest)
+            if index is None or not ids:
+                return _found([], [], [])
+            ids = np.concatenate(ids)
+            query, found, score = index.nearest(ids, np.concatenate(parts), k)
+            return _found(ids[query], found, score)
+
         for batch in batches:
-            out: dict = {c: [] for c in ("query_id", "vec_id", "score")}
-            columns = [batch.column(c).to_pylist() for c in ("dims", "shard", "block", "vec_id", "longest", "query")]
-            lists = batch.column("embedding")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            begin = 0
-            for dims, shard, block, vec_id, far, is_query in zip(*columns, strict=True):
-                vector = flat[begin : begin + dims]
-                begin += dims
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("dims", "shard", "block", "query")], axis=1)
+            borders = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, batch.num_rows)
+            ids, far = batch.column("vec_id").to_numpy(), batch.column("longest").to_numpy()
+            flat, begin, start = batch.column("embedding").flatten().to_numpy(zero_copy_only=False), 0, 0
+            for end in borders.tolist():
+                dims, shard, block, is_query = keys[start].tolist()
+                size = (end - start) * dims
+                part = flat[begin : begin + size].reshape(-1, dims)
                 if (dims, shard, block) != key:
-                    key, index, ids, parts = (dims, shard, block), None, [], []
-                if not is_query:
-                    ids.append(vec_id)
-                    parts.append(vector.copy())
-                    longest = far
-                    continue
-                if index is None:
-                    if not ids:
-                        continue
-                    index = Shard(np.array(ids, np.int64), np.array(parts), longest)
-                for score, found in index.nearest(vec_id, vector, k):
-                    out["query_id"].append(vec_id)
-                    out["vec_id"].append(found)
-                    out["score"].append(score)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())],
-                names=["query_id", "vec_id", "score"],
-            )
+                    yield answer()
+                    key, index, rows, longest = (dims, shard, block), None, ([], []), float(far[start])
+                # A few hundred queries at a time bound the table of their distances to all leaves.
+                step = TOGETHER if is_query else max(1, end - start)
+                for at in range(0, end - start, step):
+                    # Answering begins a new list of queries.
+                    side = asked if is_query else rows
+                    side[0].append(ids[start + at : min(end, start + at + step)].copy())
+                    side[1].append(part[at : at + step].copy())
+                    if is_query and sum(map(len, asked[0])) >= TOGETHER:
+                        yield answer()
+                begin, start = begin + size, end
+        yield answer()
 
     dealt = held.unionAll(sent).repartition("dims", "shard", "block").sortWithinPartitions("dims", "shard", "block", "query", "vec_id")
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "score"))), 1, k).alias("best")
-    )
-    return best.select("query_id", F.posexplode("best").alias("place", "x")).select(
-        "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(query, ids, scores) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())],
+        names=["query_id", "vec_id", "score"],
     )
