@@ -77,6 +77,72 @@ def test_prefix_tree_equals_all_pairs():
         assert set(tree.linked(s)) == want
 
 
+def near_misses(seed, rows):
+    """One long passage in every text, each with as many words of its own as leave it near 0.8; some copies."""
+    rng = random.Random(seed)
+    passage = [f"p{k}" for k in range(80)]
+    out = []
+    for k in range(rows):
+        text = passage[rng.randint(0, 3) :] + [f"own{k}-{j}" for j in range(rng.randint(9, 16))]
+        if k % 3 == 0:
+            text[rng.randint(10, 60)] = f"edit{k}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize(("cell", "rest", "hubs"), [(4096, 128, 1), (16, 128, 1), (4096, 3, 1), (16, 3, 8)])
+def test_jaccard_of_a_passage_in_every_text(documents, monkeypatch, cell, rest, hubs):
+    for name, value in (("CELL", cell), ("REST", rest), ("HUBS", hubs)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = near_misses(cell + rest, 90) + near_misses(1, 10)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(documents(texts)).collect()}
+    assert got == brute_classes(texts)
+    assert 1 < len({c for _, c in got.values()}) < len(texts)
+
+
+@pytest.mark.parametrize(("rest", "steps", "parts"), [(99, 1 << 20, 1), (99, 40, 1), (4, 40, 1), (99, 1 << 20, 3)])
+def test_forest_walk_equals_all_pairs(monkeypatch, rest, steps, parts):
+    """Cells of sets with one shingle in common: no linked pair is lost, others only as the bounds allow."""
+    monkeypatch.setattr(jaccard, "STEPS", steps)
+    rng = random.Random(rest + steps + parts)
+    cells, sets = [], []
+    for cell in range(12):
+        for _ in range(rng.choice([1, 2, 30])):
+            size = rng.randint(30, 38)
+            own = rng.randint(0, 6)
+            sets.append([0, *sorted(rng.sample(range(1, 40), size - own)), *(1000 * len(sets) + 1000 + k for k in range(own))])
+            cells.append(cell)
+    n = np.array([len(s) for s in sets])
+    paths = [s[1 : jaccard.prefix_length(len(s))] for s in sets]
+    unseen = np.array([max(0, len(p) - rest) for p in paths])
+    paths = [p[:rest] for p in paths]
+    length = np.array([len(p) for p in paths])
+    component = np.array([rng.choice([k, 7, 7, 8]) for k in range(len(sets))])
+    block = np.array([rng.randrange(parts) for _ in sets])
+    forest = jaccard.Forest(
+        cells=np.array(cells), whole=np.full(n.size, parts == 1), node=np.arange(n.size), n=n, component=component,
+        place=np.zeros(n.size, np.int64), unseen=unseen, block=block, start=np.cumsum(length) - length, length=length,
+        tokens=np.array([t for p in paths for t in p], np.int64),
+    )
+    got = set()
+    for share in forest.shares():
+        got |= set(zip(*(x.tolist() for x in forest.walk(share)), strict=True))
+    linked, allowed = set(), set()
+    for b in range(n.size):
+        for a in range(b):
+            if cells[a] != cells[b] or component[a] == component[b] or (parts > 1 and block[a] == block[b]):
+                continue
+            short, long = sorted((int(n[a]), int(n[b])))
+            both = len(set(sets[a]) & set(sets[b]))
+            if 100 * both >= 80 * (short + long - both):
+                linked.add((a, b))
+            seen = 1 + len(set(paths[a]) & set(paths[b])) + unseen[a] + unseen[b]
+            if 5 * short >= 4 * long and seen >= max(1, jaccard.needed(short, long) - -(-4 * long // 5) + 1):
+                allowed.add((a, b))
+    assert linked
+    assert linked <= got == allowed
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

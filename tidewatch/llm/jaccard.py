@@ -10,10 +10,12 @@ their first n - ceil(0.8 n) + 1 shingles, so only those prefixes are indexed.
 3. Verification: the candidates of a probe, in blocks, are stored in a prefix tree; the probe
    walks it once, sharing partial overlaps along common beginnings and leaving subtrees whose
    remaining length cannot reach the bound.
-4. Links give components. Posting lists that still hold several components are joined in
-   full (first a share of the pairs, then all between the components that remain), but only across components, with the bounds on sizes, positions and number of shared
-   prefix shingles; what passes is verified as before. Nothing is capped: a group of near copies
-   is settled by its hubs, and what they cannot settle is settled here.
+4. Links give components. The posting lists that still hold several components are settled by a
+   forest: a list's sets are dealt by their prefixes behind its shingle, common beginnings are
+   stored once, and every set walks the trees of the shorter ones. A subtree is left as soon as
+   the shared prefix shingles that it can still reach are too few, or all of it lies in the
+   walker's own component. Long lists are cut into blocks that meet block by block. What the
+   walk finds is verified as before. Nothing is capped.
 
 Only texts of candidate sets travel, never token sets of the whole table.
 """
@@ -45,8 +47,12 @@ WORDS = 5
 SLOTS = 1 << 20
 #: Hubs of a posting list.
 HUBS = 8
-#: One in so many of the remaining pairs is verified before all that then remain.
-SHARE = 8
+#: Sets of a posting list that one forest holds; longer lists are cut into blocks.
+CELL = 4096
+#: Prefix shingles behind the list's own that a row carries; those beyond count as shared.
+REST = 128
+#: Steps of a walk that are held at once, about.
+STEPS = 1 << 20
 #: Members of one prefix tree.
 BLOCK = 128
 
@@ -234,23 +240,21 @@ def _sizes_fit(a, b):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def _needed(a, b):
-    return F.ceil(4 * (a + b) / 9)
-
-
 def _prefix_shared(a, b):
     """Shingles that linked sets of these sizes share within both prefixes, at least."""
     prefix = lambda n: n - F.ceil(4 * n / 5) + 1
     return F.greatest(
-        F.lit(1), F.least(prefix(a) - a + _needed(a, b), prefix(b) - b + _needed(a, b))
+        F.lit(1), F.least(prefix(a) - a + F.ceil(4 * (a + b) / 9), prefix(b) - b + F.ceil(4 * (a + b) / 9))
     )
 
 
 def _placed(postings: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Postings with the component of their set, of those lists that hold several components."""
+    """Postings with the component of their set and the list's size, of lists with several components."""
     own = postings.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return own.join(mixed.select("token"), "token")
+    lists = own.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
+    )
+    return own.join(lists.where("low < high").select("token", "size"), "token")
 
 
 def hub_pairs(placed: DataFrame) -> DataFrame:
@@ -271,21 +275,164 @@ def hub_pairs(placed: DataFrame) -> DataFrame:
     return pairs.join(sizes, "u").where(fit).select("u", "v")
 
 
-def remaining_pairs(own: DataFrame) -> DataFrame:
-    """(u, v): all pairs of sets in different components that can still link."""
-    a = own.select("token", *(F.col(k).alias(f"{k}_a") for k in ("node", "n", "place", "component")))
-    b = own.select("token", *(F.col(k).alias(f"{k}_b") for k in ("node", "n", "place", "component")))
-    n_a, n_b, least = F.col("n_a"), F.col("n_b"), F.least("place_a", "place_b")
-    fit = (
-        (F.col("node_a") < F.col("node_b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & _sizes_fit(n_a, n_b)
-        & (F.col("place_a") - least <= n_a - _needed(n_a, n_b))
-        & (F.col("place_b") - least <= n_b - _needed(n_a, n_b))
+def remaining_pairs(placed: DataFrame) -> DataFrame:
+    """(u, v): all pairs of sets in different components that can still link, found by walks."""
+    paths = placed.groupBy("node", "n", "component").agg(
+        F.array_sort(F.collect_list(F.struct("place", "token", "size"))).alias("path")
+    )
+    rest = F.slice(F.transform("path.token", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")), F.col("i") + 2, REST)
+    rows = paths.select("node", "n", "component", "path", F.posexplode("path").alias("i", "own")).select(
+        *("node", "n", "component", "own.token", "own.place", rest.alias("rest")),
+        F.greatest(F.size("path") - F.col("i") - 1 - REST, F.lit(0)).cast("long").alias("unseen"),
+        F.ceil(F.col("own.size") / CELL).alias("blocks"),
+    )
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(
+        *("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block"),
+        *("node", "n", "component", F.col("place").cast("long").alias("place"), "unseen", "rest"),
+    )
+    rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            cells = _cells(held)
+            start = int(np.searchsorted(cells, cells[-1]))
+            if start:
+                yield _forest_pairs(held.slice(0, start), cells[:start])
+                held = held.slice(start).combine_chunks()
+        if held is not None:
+            yield _forest_pairs(held, _cells(held))
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def _cells(rows: pa.Table) -> np.ndarray:
+    """A rising number for each run of equal (token, low, high)."""
+    keys = [rows.column(k).to_numpy() for k in ("token", "low", "high")]
+    return np.cumsum(np.any([np.diff(k, prepend=k[:1]) != 0 for k in keys], axis=0))
+
+
+def _forest_pairs(rows: pa.Table, cells: np.ndarray) -> pa.RecordBatch:
+    rests = rows.column("rest").combine_chunks()
+    ends = rests.offsets.to_numpy()
+    columns = {k: rows.column(k).to_numpy() for k in ("node", "n", "component", "place", "unseen", "block")}
+    whole = rows.column("low").to_numpy() == rows.column("high").to_numpy()
+    forest = Forest(
+        cells=cells, whole=whole, start=ends[:-1].astype(np.int64), length=np.diff(ends).astype(np.int64),
+        tokens=rests.values.to_numpy().astype(np.int64), **columns,
     )
-    pairs = a.join(b, "token").where(fit).groupBy(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    counted = pairs.agg(F.count("*").alias("shared"), F.first("n_a").alias("a"), F.first("n_b").alias("b"))
-    return counted.where(F.col("shared") >= _prefix_shared(F.col("a"), F.col("b"))).select("u", "v")
+    out = [forest.walk(probes) for probes in forest.shares()]
+    low, high = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    pairs = np.unique(np.stack([low, high], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of ``counts`` items from ``starts``: the run of each item, and the item."""
+    run = np.repeat(np.arange(counts.size), counts)
+    return run, np.arange(run.size) - np.repeat(np.cumsum(counts) - counts, counts) + starts[run]
+
+
+class Forest:
+    """Prefix trees of many cells, walked by all their sets at once, level by level.
+
+    A cell's largest component has a tree of its own, which its sets do not enter. Each node has the
+    least and most size below it, the most shingles still to come and the components' range.
+    """
+
+    def __init__(self, cells, whole, node, n, component, place, unseen, block, start, length, tokens):
+        self.cells, self.whole, self.node, self.n, self.place = cells, whole, node, n, place
+        self.unseen, self.block, self.length = unseen, block, length
+        row, at = _spread(start, length)
+        self.keys = np.sort((row << 32) | tokens[at])
+        self.components, self.code = np.unique(component, return_inverse=True)
+        # The first of two linked sets' common shingles is this early in the shorter one.
+        members = np.flatnonzero(place <= n - -(-8 * n // 9))
+        of, counts = np.unique(cells[members] * self.components.size + self.code[members], return_counts=True)
+        by_size = np.lexsort((counts, of // self.components.size))
+        self.largest = np.full(int(cells[-1]) + 1, -1)
+        self.largest[of[by_size] // self.components.size] = of[by_size] % self.components.size
+        self.members = np.bincount(cells[members], minlength=self.largest.size)
+
+        key = 2 * cells[members] + (self.code[members] == self.largest[cells[members]])
+        self.levels, depth, before = [], 0, None
+        while members.size:
+            names, at = np.unique(key, return_inverse=True)
+            level = {"names": names, "token": names & 0xFFFFFFFF}
+            level["children"] = None if before is None else np.searchsorted(names >> 32, np.arange(before + 1))
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], np.arange(names.size))
+            rest = length[members] - depth + unseen[members]
+            for name, of, values in (
+                ("least", np.minimum, n[members]), ("most", np.maximum, n[members]), ("rest", np.maximum, rest),
+                ("low", np.minimum, self.code[members]), ("high", np.maximum, self.code[members]),
+            ):
+                level[name] = of.reduceat(values[order], first)
+            done = order[length[members[order]] == depth]
+            level["ending"], level["ends"] = members[done], np.searchsorted(at[done], np.arange(names.size + 1))
+            self.levels.append(level)
+            on = length[members] > depth
+            members, key = members[on], at[on] << 32
+            key |= tokens[start[members] + depth]
+            depth, before = depth + 1, names.size
+
+    def shares(self) -> Iterator[np.ndarray]:
+        """All rows, in runs whose walks stay near STEPS."""
+        cost = np.cumsum(self.members[self.cells] + 1) // STEPS
+        yield from np.split(np.arange(cost.size), np.flatnonzero(np.diff(cost)) + 1)
+
+    def walk(self, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(smaller, larger) set numbers of the pairs that may link."""
+        low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if not self.levels:
+            return low[0], high[0]
+        names = self.levels[0]["names"]
+        others = probe[self.code[probe] != self.largest[self.cells[probe]]]
+        tree = np.concatenate([2 * self.cells[probe], 2 * self.cells[others] + 1])
+        probe = np.concatenate([probe, others])
+        at = np.minimum(np.searchsorted(names, tree), names.size - 1)
+        probe, at = probe[names[at] == tree], at[names[at] == tree]
+        shared = np.ones(probe.size, np.int64)
+        for depth, level in enumerate(self.levels):
+            n = self.n[probe]
+            least, most = np.maximum(level["least"][at], -(-4 * n // 5)), np.minimum(level["most"][at], n)
+            own = (level["low"][at] == self.code[probe]) & (level["high"][at] == self.code[probe])
+            reach = shared + level["rest"][at] + self.unseen[probe]
+            on = (least <= most) & ~own & (reach >= _both_prefixes(n, least))
+            probe, at, shared = probe[on], at[on], shared[on]
+
+            run, item = _spread(level["ends"][at], level["ends"][at + 1] - level["ends"][at])
+            a, b = probe[run], level["ending"][item]
+            m, n = self.n[b], self.n[a]
+            fit = (m < n) | ((m == n) & (self.node[b] < self.node[a]))
+            fit &= (5 * m >= 4 * n) & (self.code[a] != self.code[b]) & (self.whole[a] | (self.block[a] != self.block[b]))
+            fit &= np.minimum(n - self.place[a], m - self.place[b]) >= -(-4 * (m + n) // 9)
+            fit &= shared[run] + self.unseen[a] + self.unseen[b] >= _both_prefixes(n, m)
+            a, b = self.node[a[fit]], self.node[b[fit]]
+            low.append(np.minimum(a, b))
+            high.append(np.maximum(a, b))
+
+            if depth + 1 == len(self.levels):
+                break
+            below = self.levels[depth + 1]
+            run, at = _spread(below["children"][at], below["children"][at + 1] - below["children"][at])
+            probe, shared = probe[run], shared[run]
+            if self.keys.size:
+                key = (probe << 32) | below["token"][at]
+                place = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
+                shared = shared + (self.keys[place] == key)
+        return np.concatenate(low), np.concatenate(high)
+
+
+def _both_prefixes(longer, shorter):
+    """Shingles that linked sets of these sizes share within both prefixes, at least."""
+    return np.maximum(1, -(-4 * (longer + shorter) // 9) - -(-4 * longer // 5) + 1)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -330,14 +477,9 @@ def numbered_classes(docs: DataFrame) -> DataFrame:
     discard(spark, folders[3])
 
     grouped = spark.createDataFrame([], "node long, component long")
-    # Hubs settle most of a group of near copies. A share of the remaining pairs then joins nearly all
-    # others to it, and the last round takes every pair that is still between components.
-    for round_of in ("hubs", "share", "all"):
-        placed = _placed(postings, grouped)
-        pairs = hub_pairs(placed) if round_of == "hubs" else remaining_pairs(placed)
-        if round_of == "share":
-            pairs = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(SHARE)) == 0)
-        pairs = stored(pairs)
+    # Hubs settle most of a group of near copies; the walks find every pair still between components.
+    for pairs_of in (hub_pairs, remaining_pairs):
+        pairs = stored(pairs_of(_placed(postings, grouped)))
         links = stored(verified(pairs, _texts_of(pairs, nodes, docs), weights))
         if not links.isEmpty():
             known = grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))
