@@ -101,9 +101,11 @@ def test_jaccard_of_a_passage_in_every_text(documents, monkeypatch, cell, rest,
 
 
 @pytest.mark.parametrize(("rest", "steps", "parts"), [(99, 1 << 20, 1), (99, 40, 1), (4, 40, 1), (99, 1 << 20, 3)])
-def test_forest_walk_equals_all_pairs(monkeypatch, rest, steps, parts):
+def test_forest_walk_equals_all_pairs(monkeypatch, rest, steps, parts, more=3):
     """Cells of sets with one shingle in common: no linked pair is lost, others only as the bounds allow."""
     monkeypatch.setattr(jaccard, "STEPS", steps)
+    monkeypatch.setattr(jaccard, "MORE", more)
+    monkeypatch.setattr(jaccard, "PLACES", 1 << 18)
     rng = random.Random(rest + steps + parts)
     cells, sets = [], []
     for cell in range(12):
@@ -113,7 +115,7 @@ def test_forest_walk_equals_all_pairs(monkeypatch, rest, steps, parts):
             sets.append([0, *sorted(rng.sample(range(1, 40), size - own)), *(1000 * len(sets) + 1000 + k for k in range(own))])
             cells.append(cell)
     n = np.array([len(s) for s in sets])
-    paths = [s[1 : jaccard.prefix_length(len(s))] for s in sets]
+    paths = [s[1 : jaccard.prefix_length(len(s)) + jaccard.MORE] for s in sets]
     unseen = np.array([max(0, len(p) - rest) for p in paths])
     paths = [p[:rest] for p in paths]
     length = np.array([len(p) for p in paths])
@@ -136,8 +138,9 @@ def test_forest_walk_equals_all_pairs(monkeypatch, rest, steps, parts):
             both = len(set(sets[a]) & set(sets[b]))
             if 100 * both >= 80 * (short + long - both):
                 linked.add((a, b))
-            seen = 1 + len(set(paths[a]) & set(paths[b])) + unseen[a] + unseen[b]
-            if 5 * short >= 4 * long and seen >= max(1, jaccard.needed(short, long) - -(-4 * long // 5) + 1):
+            seen = 1 + len(set(paths[a]) & set(paths[b])) + max(unseen[a], unseen[b])
+            behind = max(0, long - jaccard.prefix_length(long) - jaccard.MORE)
+            if 5 * short >= 4 * long and seen >= max(1, jaccard.needed(short, long) - behind):
                 allowed.add((a, b))
     assert linked
     assert linked <= got == allowed

@@ -11,10 +11,10 @@ their first n - ceil(0.8 n) + 1 shingles, so only those prefixes are indexed.
    walks it once, sharing partial overlaps along common beginnings and leaving subtrees whose
    remaining length cannot reach the bound.
 4. Links give components. The posting lists that still hold several components are settled by a
-   forest: a list's sets are dealt by their prefixes behind its shingle, common beginnings are
-   stored once, and every set walks the trees of the shorter ones. A subtree is left as soon as
-   the shared prefix shingles that it can still reach are too few, or all of it lies in the
-   walker's own component. Long lists are cut into blocks that meet block by block. What the
+   forest: a list's sets are dealt by their paths behind its shingle (the prefix and a few more),
+   common beginnings are stored once, and every set walks the trees of the shorter ones. A subtree
+   is left as soon as the shared shingles that it can still reach are too few, or all of it lies
+   in the walker's own component. Long lists are cut into blocks that meet block by block. What the
    walk finds is verified as before. Nothing is capped.
 
 Only texts of candidate sets travel, never token sets of the whole table.
@@ -49,8 +49,12 @@ SLOTS = 1 << 20
 HUBS = 8
 #: Sets of a posting list that one forest holds; longer lists are cut into blocks.
 CELL = 4096
-#: Prefix shingles behind the list's own that a row carries; those beyond count as shared.
-REST = 128
+#: Shingles behind its prefix that a set's path also holds; linked sets share that many more.
+MORE = 32
+#: Shingles behind the list's own that a row carries; those beyond count as shared.
+REST = 512
+#: Slots of a walker's path; shingles of one slot pass for each other until verification.
+PLACES = 2048
 #: Steps of a walk that are held at once, about.
 STEPS = 1 << 20
 #: Members of one prefix tree.
@@ -170,22 +174,22 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_key (128 bits of the set; null for an empty one), prefix."""
+    """doc_id, text_hash, n_shingles, set_key (128 bits of the set; null for an empty one), path (prefix and MORE)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         import xxhash
 
-        out: dict = {k: [] for k in ("text_hash", "n_shingles", "set_key", "prefix")}
+        out: dict = {k: [] for k in ("text_hash", "n_shingles", "set_key", "path")}
         for text in byte_texts(batch.column("text")):
             shingles = shingle_set(text)
             # The same number as Spark's xxhash64 of the text.
             out["text_hash"].append(int(np.uint64(xxhash.xxh64_intdigest(text, 42)).astype(np.int64)))
             out["n_shingles"].append(shingles.size)
             out["set_key"].append(xxhash.xxh3_128_digest(shingles.tobytes()) if shingles.size else None)
-            out["prefix"].append(ordered(shingles, weights.value)[: prefix_length(shingles.size)].view(np.int64))
+            out["path"].append(ordered(shingles, weights.value)[: prefix_length(shingles.size) + MORE].view(np.int64))
         return {"doc_id": batch.column("doc_id")} | out
 
-    return map_rows(texts(docs), run, "doc_id long, text_hash long, n_shingles long, set_key binary, prefix array<long>")
+    return map_rows(texts(docs), run, "doc_id long, text_hash long, n_shingles long, set_key binary, path array<long>")
 
 
 def verified(pairs: DataFrame, members: DataFrame, weights) -> DataFrame:
@@ -275,15 +279,15 @@ def hub_pairs(placed: DataFrame) -> DataFrame:
     return pairs.join(sizes, "u").where(fit).select("u", "v")
 
 
-def remaining_pairs(placed: DataFrame) -> DataFrame:
+def remaining_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): all pairs of sets in different components that can still link, found by walks."""
-    paths = placed.groupBy("node", "n", "component").agg(
-        F.array_sort(F.collect_list(F.struct("place", "token", "size"))).alias("path")
-    )
-    rest = F.slice(F.transform("path.token", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")), F.col("i") + 2, REST)
-    rows = paths.select("node", "n", "component", "path", F.posexplode("path").alias("i", "own")).select(
-        *("node", "n", "component", "own.token", "own.place", rest.alias("rest")),
-        F.greatest(F.size("path") - F.col("i") - 1 - REST, F.lit(0)).cast("long").alias("unseen"),
+    lists = placed.groupBy("node", "n", "component").agg(F.collect_list(F.struct("place", "token", "size")).alias("lists"))
+    short = F.transform("path", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("path")
+    rows = lists.join(sets.select("node", short), "node").select("node", "n", "component", "path", F.explode("lists").alias("own"))
+    rows = rows.select(
+        *("node", "n", "component", "own.token", "own.place"),
+        F.slice("path", F.col("own.place") + 2, REST).alias("rest"),
+        F.greatest(F.size("path") - F.col("own.place") - 1 - REST, F.lit(0)).cast("long").alias("unseen"),
         F.ceil(F.col("own.size") / CELL).alias("blocks"),
     )
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
@@ -350,7 +354,8 @@ class Forest:
         self.cells, self.whole, self.node, self.n, self.place = cells, whole, node, n, place
         self.unseen, self.block, self.length = unseen, block, length
         row, at = _spread(start, length)
-        self.keys = np.sort((row << 32) | tokens[at])
+        self.present = np.zeros((n.size, PLACES), bool)
+        self.present[row, tokens[at] % PLACES] = True
         self.components, self.code = np.unique(component, return_inverse=True)
         # The first of two linked sets' common shingles is this early in the shorter one.
         members = np.flatnonzero(place <= n - -(-8 * n // 9))
@@ -364,13 +369,14 @@ class Forest:
         self.levels, depth, before = [], 0, None
         while members.size:
             names, at = np.unique(key, return_inverse=True)
-            level = {"names": names, "token": names & 0xFFFFFFFF}
+            level = {"names": names, "slot": (names & 0xFFFFFFFF) % PLACES}
             level["children"] = None if before is None else np.searchsorted(names >> 32, np.arange(before + 1))
             order = np.argsort(at, kind="stable")
             first = np.searchsorted(at[order], np.arange(names.size))
-            rest = length[members] - depth + unseen[members]
+            seen = length[members] - depth
             for name, of, values in (
-                ("least", np.minimum, n[members]), ("most", np.maximum, n[members]), ("rest", np.maximum, rest),
+                ("least", np.minimum, n[members]), ("most", np.maximum, n[members]),
+                ("seen", np.maximum, seen), ("rest", np.maximum, seen + unseen[members]),
                 ("low", np.minimum, self.code[members]), ("high", np.maximum, self.code[members]),
             ):
                 level[name] = of.reduceat(values[order], first)
@@ -403,8 +409,8 @@ class Forest:
             n = self.n[probe]
             least, most = np.maximum(level["least"][at], -(-4 * n // 5)), np.minimum(level["most"][at], n)
             own = (level["low"][at] == self.code[probe]) & (level["high"][at] == self.code[probe])
-            reach = shared + level["rest"][at] + self.unseen[probe]
-            on = (least <= most) & ~own & (reach >= _both_prefixes(n, least))
+            reach = shared + np.maximum(level["rest"][at], level["seen"][at] + self.unseen[probe])
+            on = (least <= most) & ~own & (reach >= _both_paths(n, least))
             probe, at, shared = probe[on], at[on], shared[on]
 
             run, item = _spread(level["ends"][at], level["ends"][at + 1] - level["ends"][at])
@@ -413,7 +419,8 @@ class Forest:
             fit = (m < n) | ((m == n) & (self.node[b] < self.node[a]))
             fit &= (5 * m >= 4 * n) & (self.code[a] != self.code[b]) & (self.whole[a] | (self.block[a] != self.block[b]))
             fit &= np.minimum(n - self.place[a], m - self.place[b]) >= -(-4 * (m + n) // 9)
-            fit &= shared[run] + self.unseen[a] + self.unseen[b] >= _both_prefixes(n, m)
+            # Both paths follow one order, so what is out of sight on either side lies behind one end.
+            fit &= shared[run] + np.maximum(self.unseen[a], self.unseen[b]) >= _both_paths(n, m)
             a, b = self.node[a[fit]], self.node[b[fit]]
             low.append(np.minimum(a, b))
             high.append(np.maximum(a, b))
@@ -422,17 +429,15 @@ class Forest:
                 break
             below = self.levels[depth + 1]
             run, at = _spread(below["children"][at], below["children"][at + 1] - below["children"][at])
-            probe, shared = probe[run], shared[run]
-            if self.keys.size:
-                key = (probe << 32) | below["token"][at]
-                place = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
-                shared = shared + (self.keys[place] == key)
+            probe = probe[run]
+            shared = shared[run] + self.present[probe, below["slot"][at]]
         return np.concatenate(low), np.concatenate(high)
 
 
-def _both_prefixes(longer, shorter):
-    """Shingles that linked sets of these sizes share within both prefixes, at least."""
-    return np.maximum(1, -(-4 * (longer + shorter) // 9) - -(-4 * longer // 5) + 1)
+def _both_paths(longer, shorter):
+    """Shingles that linked sets of these sizes share within both paths, at least."""
+    behind = np.maximum(-(-4 * longer // 5) - 1 - MORE, 0)
+    return np.maximum(1, -(-4 * (longer + shorter) // 9) - behind)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -462,28 +467,34 @@ def numbered_classes(docs: DataFrame) -> DataFrame:
     )
     nodes = stored(nodes, folders[2])
     chosen = nodes.select("text_hash", F.col("doc_id").alias("own"), "node", "n")
-    postings = stored(
+    sets = stored(
         signed.where("set_key IS NOT NULL")
-        .select("doc_id", "text_hash", "prefix")
+        .select("doc_id", "text_hash", "path")
         .join(chosen, "text_hash")
         .where(F.col("doc_id").eqNullSafe(F.col("own")))
-        .select("node", "n", F.posexplode("prefix").alias("place", "token")),
+        .select("node", "n", "path"),
         folders[3],
     )
     discard(spark, folders[0])
+    prefix = F.slice("path", 1, (F.col("n") - F.ceil(4 * F.col("n") / 5) + 1).cast("int"))
+    postings = sets.select("node", "n", F.posexplode(prefix).alias("place", "token"))
     # Lists of one set link nothing.
     several = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     postings = stored(postings.join(several.select("token"), "token"), folders[4])
-    discard(spark, folders[3])
 
     grouped = spark.createDataFrame([], "node long, component long")
     # Hubs settle most of a group of near copies; the walks find every pair still between components.
-    for pairs_of in (hub_pairs, remaining_pairs):
-        pairs = stored(pairs_of(_placed(postings, grouped)))
-        links = stored(verified(pairs, _texts_of(pairs, nodes, docs), weights))
+    for round_of in ("hubs", "walks"):
+        placed = _placed(postings, grouped)
+        used = [shared_folder(spark) for _ in range(2)]
+        pairs = stored(hub_pairs(placed) if round_of == "hubs" else remaining_pairs(placed, sets), used[0])
+        links = stored(verified(pairs, _texts_of(pairs, nodes, docs), weights), used[1])
         if not links.isEmpty():
             known = grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))
             grouped = stored(components(known.unionAll(links)))
+        for folder in used:
+            discard(spark, folder)
+    discard(spark, folders[3])
     discard(spark, folders[4])
     whole = nodes.join(grouped, "node", "left").select(
         "set_key", "doc_id", F.coalesce("component", "node").alias("component")
