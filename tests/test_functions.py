@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import functions as T
+from tidewatch.plans import catalogue
 
 
 def run(spark, value, kind, fn):
@@ -81,3 +82,21 @@ def test_number_text_reads_back_equal(spark):
         assert float(row.text) == row.v and "E" not in row.text.upper() and not row.text.endswith(".0"), row
     small = spark.sql("SELECT CAST(0.1 AS FLOAT) AS v").select(T.number_text(F.col("v")).alias("text")).first()
     assert small.text == "0.1"
+
+
+def test_numbers_beyond_64_bits(spark, tmp_path):
+    """Keys of larger tables: their products no longer fit 64 bits."""
+    keys = [0, 3, 7, 499_279, 499_280, 499_283, 899_998, 899_999, 900_000, 53_999_999, 400_000_001, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    big = {k: k * k * 37 * (1, 1000, 1_000_000)[k % 3] for k in keys if k is not None}
+
+    def in_steps(v, steps):
+        return next(f"{v / at:.1f}{unit}" for at, below, unit in steps if v < below)
+
+    size = [(1024**p, 1024 ** (p + 1) if p < 4 else float("inf"), f" {u}") for p, u in enumerate(["B", "KiB", "MiB", "GiB", "TiB"])]
+    want = {
+        "fmt_bytes": {k: in_steps(float(v), size) for k, v in big.items()} | {None: None},
+    }
+    for name, texts in want.items():
+        rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r.o_orderkey: r.text for r in rows} == texts and len(rows) == len(keys)

@@ -428,6 +428,12 @@ def _(spark, sf):
 _BIG = "o_orderkey * o_orderkey * 37 * (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END)"
 
 
+def big_numbers(spark, sf):
+    """Keys with ``_BIG`` in whole numbers of 38 digits: 64 bits end before key 499,280."""
+    big = f"CAST(o_orderkey AS DECIMAL(20, 0)) * {_BIG.removeprefix('o_orderkey * ')}"
+    return base(spark, sf, "orders").select("o_orderkey", F.expr(big).alias("big"))
+
+
 @query(
     "fmt_bytes",
     f"""WITH v AS (SELECT o_orderkey, CAST({_BIG} AS DOUBLE) AS b FROM orders)
@@ -436,7 +442,7 @@ _BIG = "o_orderkey * o_orderkey * 37 * (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1
       ELSE printf('%.1f TiB', b / 1099511627776) END AS text FROM v""",
 )
 def _(spark, sf):
-    return base(spark, sf, "orders").select("o_orderkey", T.fmt_bytes(F.expr(_BIG)).alias("text"))
+    return big_numbers(spark, sf).select("o_orderkey", T.fmt_bytes(F.col("big")).alias("text"))
 
 
 @query(
