@@ -94,8 +94,10 @@ def test_numbers_beyond_64_bits(spark, tmp_path):
         return next(f"{v / at:.1f}{unit}" for at, below, unit in steps if v < below)
 
     size = [(1024**p, 1024 ** (p + 1) if p < 4 else float("inf"), f" {u}") for p, u in enumerate(["B", "KiB", "MiB", "GiB", "TiB"])]
+    count = [(1e3, 1e6, "k"), (1e6, 1e9, "M"), (1e9, float("inf"), "B")]
     want = {
         "fmt_bytes": {k: in_steps(float(v), size) for k, v in big.items()} | {None: None},
+        "fmt_count": {k: str(v) if v < 1000 else in_steps(v, count) for k, v in big.items()} | {None: None},
     }
     for name, texts in want.items():
         rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()

@@ -452,7 +452,7 @@ def _(spark, sf):
       WHEN b >= 1000 THEN printf('%.1fk', b / 1e3) ELSE CAST(b AS VARCHAR) END AS text FROM v""",
 )
 def _(spark, sf):
-    return base(spark, sf, "orders").select("o_orderkey", T.fmt_count(F.expr(_BIG)).alias("text"))
+    return big_numbers(spark, sf).select("o_orderkey", T.fmt_count(F.col("big")).alias("text"))
 
 
 _MS = "CAST(o_orderkey AS DOUBLE) * 7 / 16 * (CASE o_orderkey % 3 WHEN 0 THEN 0.0078125 ELSE 3 END)"
