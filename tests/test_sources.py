@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators.export import to_markdown
 from tidewatch.operators.replication import coalesce_aliases, normalize_replicas, with_health
+from tidewatch.plans import catalogue
 from tidewatch.sources import snapshots as S
 from tidewatch.sources.capabilities import capability_summary, server_capabilities
 from tidewatch.sources.schemas import DIGESTS_RAW, SNAPSHOT_TABLES
@@ -97,3 +100,19 @@ def test_lag_bands(spark, lag, health):
 def test_markdown_keeps_a_group_without_a_name(spark):
     df = spark.createDataFrame([(None, 1), ("g", 2)], "g string, id int")
     assert to_markdown(df, ["g"], ["id"]).where("part = 2").count() == 2
+
+
+def test_every_session_keeps_its_statement(spark, tmp_path):
+    at = dt.datetime(2026, 1, 2)
+    orders = [(k, 1, s, 1.0, at, p) for k, s, p in [(4, "F", "a"), (7, "F", "b"), (7, "F", "b"), (-3, "P", "c"), (9, "O", "d"), (5, "F", "e"), (None, "F", "f")]]
+    spark.createDataFrame(
+        orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = catalogue.QUERIES["read_processlist"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.info) for r in rows) == [(-3, "SELECT c"), (4, "SELECT a"), (7, "SELECT b"), (7, "SELECT b"), (9, "")]
+
+
+def test_a_process_list_without_statements(spark):
+    with_info = spark.sql("SELECT 's' AS server, 1L AS id, 'u' AS user, 'h' AS host, 'd' AS db, 'Query' AS command, 2L AS time, '' AS state, 'SELECT 1' AS info")
+    rows = S.read_processlist(with_info, with_info.withColumn("id", F.lit(2)).drop("info"), own_id=5).collect()
+    assert {r.id: r.info for r in rows} == {1: "SELECT 1", 2: ""}

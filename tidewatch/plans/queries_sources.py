@@ -61,13 +61,13 @@ def _(spark, sf):
 @query(
     "read_processlist",
     with_views("processlist")
-    + """ SELECT server, id, user, host, db, command, time, state, CASE WHEN id % 2 = 0 THEN coalesce(info, '') ELSE '' END AS info
+    + """ SELECT server, id, user, host, db, command, time, state, coalesce(info, '') AS info
     FROM v_processlist WHERE id <> 5""",
 )
 def _(spark, sf):
     rows = view(spark, sf, "processlist")
-    # The table that odd sessions come from has no statement column.
-    even, odd = rows.where("id % 2 = 0"), rows.where("id % 2 = 1").drop("info")
+    # As from two tables, each with its statements; an odd id below zero leaves -1.
+    even, odd = rows.where("id % 2 = 0"), rows.where("id % 2 <> 0")
     return S.read_processlist(even, odd, own_id=5).drop("snapshot_ts")
 
 
