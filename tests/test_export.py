@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,25 @@ def test_dump_reports_what_it_wrote(spark, tmp_path):
 def test_only_finite_numbers_are_literals(spark):
     df = spark.sql("SELECT double('Infinity') AS a, double('-Infinity') AS b, float('NaN') AS c, 2.5e0 AS d, double(null) AS e")
     assert O.dump_data(df, "t").first().line.endswith("(NULL,NULL,NULL,2.5,NULL);")
+
+
+def test_dump_statements_leave_one_by_one(spark, monkeypatch):
+    """Each statement is given away as it ends, before more of the table is read."""
+    steps = []
+    whole = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, step, *a, **b: steps.append(step) or whole(df, step, *a, **b))
+    O.dump_data(spark.range(1), "t", batch_rows=3, batch_bytes=100)
+    read = []
+
+    def batches():
+        for rows in ([("(1)", 1), ("(2)", 1)], [("(3)", 1), ("(4)", 1), ("(5)", 200), ("(6)", 1)], [], [("(7)", 1)]):
+            read.append(len(rows))
+            yield pa.RecordBatch.from_pylist([{"values": v, "size": n} for v, n in rows], pa.schema({"values": pa.string(), "size": pa.int32()}))
+
+    found = [(b.to_pylist(), len(read)) for b in steps[0](batches())]
+    head = "INSERT INTO `t` (`id`) VALUES\n"
+    assert found == [
+        ([{"line": f"{head}(1),\n(2),\n(3);", "rows": 3}], 2),
+        ([{"line": f"{head}(4),\n(5);", "rows": 2}], 2),
+        ([{"line": f"{head}(6),\n(7);", "rows": 2}], 4),
+    ]

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -342,9 +342,11 @@ def dump_data(
 ) -> DataFrame:
     """Multi-row INSERTs that end at ``batch_rows`` rows or ``batch_bytes``.
 
-    Literals are built by Spark; the Python step only groups finished tuples
-    and holds one statement at a time. Every partition ends its own last
-    statement, so partitions need not know of one another.
+    Literals are built by Spark; the Python step only groups finished tuples.
+    It reads them out of Arrow's batch statement by statement and gives each
+    away as it ends, so besides that batch it holds one statement at a time.
+    Every partition ends its own last statement, so partitions need not know
+    of one another.
     """
     head = insert_head(table, df.columns)
     size = F.lit(0)
@@ -354,22 +356,28 @@ def dump_data(
         _tuple([value_literal(df, c) for c in df.columns]).alias("values"), size.alias("size")
     )
 
-    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[str] = []
-        filled = 0
+    def joined(values: pa.Array) -> str:
+        return ",\n".join(values.to_pylist())
+
+    def statement(parts: list[str], rows: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"line": [head + ",\n".join(parts) + ";"], "rows": [rows]})
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []  # what earlier batches gave to the open statement
+        rows = filled = 0
         for batch in batches:
-            out: list[tuple[str, int]] = []
-            for values, n in zip(batch["values"], batch["size"]):
-                rows.append(values)
-                filled += n
-                if len(rows) >= batch_rows or filled >= batch_bytes:
-                    out.append((head + ",\n".join(rows) + ";", len(rows)))
-                    rows, filled = [], 0
-            yield pd.DataFrame(out, columns=["line", "rows"])
+            values, start = batch.column("values"), 0
+            for end, n in enumerate(batch.column("size").to_pylist(), 1):
+                rows, filled = rows + 1, filled + n
+                if rows >= batch_rows or filled >= batch_bytes:
+                    yield statement([*held, joined(values[start:end])], rows)
+                    held, rows, filled, start = [], 0, 0, end
+            if start < len(values):
+                held.append(joined(values[start:]))
         if rows:
-            yield pd.DataFrame([(head + ",\n".join(rows) + ";", len(rows))], columns=["line", "rows"])
+            yield statement(held, rows)
 
-    return tuples.mapInPandas(group, "line string, rows bigint")
+    return tuples.mapInArrow(group, "line string, rows bigint")
 
 
 def dump_preamble(schema: str, server_version: str, created: str) -> str:
