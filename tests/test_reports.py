@@ -175,3 +175,16 @@ def test_repeated_sections_are_parsed_once(spark):
         assert max(marks) < first(lines, "Aggregate [_text_hash") and marks
     assert not any("lock struct" in line or "thread id" in line for line in plan(X.deadlock_history(sections)))
     assert not any("thread id" in line for line in plan(X.deadlock_tables(sections)))
+
+
+def test_lock_lines_are_cut_once(spark):
+    """One cut of the lines held and one of those awaited, however many fields are read from them."""
+    found = X.deadlock_locks(X.deadlock_sections(reports(spark, DEADLOCK)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RECORD LOCKS|TABLE LOCK") == 2
+
+
+def test_blanks_around_lock_lines(spark):
+    spaced = DEADLOCK.replace("RECORD LOCKS", " \t RECORD LOCKS").replace("lock mode S\n", "lock mode S \t\x0b\f\r\n")
+    rows = X.deadlock_locks(X.deadlock_sections(reports(spark, spaced))).orderBy("party", "role", "pos").collect()
+    assert [(r.raw[:6], r.mode) for r in rows] == [("RECORD", "X locks gap before rec"), ("TABLE ", "IX"), ("RECORD", "S"), ("RECORD", "X")]
