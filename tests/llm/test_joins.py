@@ -146,6 +146,65 @@ def test_forest_walk_equals_all_pairs(monkeypatch, rest, steps, parts, more=3):
     assert linked <= got == allowed
 
 
+def test_lists_of_the_same_sets_stay_once(spark):
+    """Of equal lists the earliest stays and counts them all; other lists are untouched."""
+    lists = {50: [1, 2, 3], 7: [1, 2, 3], 30: [1, 2, 3], 9: [2, 3], 11: [1, 2], 40: [1, 2], 12: [4, 5, 6]}
+    order = [40, 30, 50, 7, 9, 11, 12]
+    rows = [(node, order.index(token), token) for token, nodes in lists.items() for node in nodes]
+    got = jaccard.distinct_lists(spark.createDataFrame(rows, "node long, place int, token long")).collect()
+    assert sorted((r.token, r.node, r.times) for r in got) == sorted(
+        (token, node, times) for token, times in ((30, 3), (40, 2), (9, 1), (12, 1)) for node in lists[token]
+    )
+
+
+def test_bitmaps_never_lose_a_link():
+    rng = np.random.default_rng(3)
+    left_out = 0
+    for _ in range(400):
+        size = int(rng.integers(1, 700))
+        base = rng.integers(0, 2**63, 2 * size + 9).astype(np.uint64)
+        a, b = (np.unique(base[start : start + size + more]) for start, more in ((0, 0), (int(rng.integers(0, size)), int(rng.integers(0, 9)))))
+        both = np.intersect1d(a, b).size
+        most = jaccard.most_shared(a.size, *(np.frombuffer(jaccard.bitmap(a), np.uint8), b.size, np.frombuffer(jaccard.bitmap(b), np.uint8)))
+        assert both <= most <= min(a.size, b.size)
+        left_out += 9 * most < 4 * (a.size + b.size)
+    assert left_out > 200
+
+
+def test_only_pairs_that_may_link_are_verified(documents, monkeypatch):
+    """Texts that share a long passage but no link: few lists are walked, no text of theirs is read again."""
+    rows, pairs = [], []
+    lists, verify = jaccard.distinct_lists, jaccard.verified
+
+    def counted(postings):
+        out = lists(postings)
+        rows.append((postings.count(), out.count()))
+        return out
+
+    def seen(candidates, members, weights):
+        pairs.append(candidates.count())
+        return verify(candidates, members, weights)
+
+    monkeypatch.setattr(jaccard, "distinct_lists", counted)
+    monkeypatch.setattr(jaccard, "verified", seen)
+    passage = [f"p{k}" for k in range(100)]
+    texts = [" ".join(passage + [f"own{k}-{j}" for j in range(70)]) for k in range(30)]
+    texts += [texts[0] + " end", texts[0] + " end"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(documents(texts)).collect()}
+    assert got == brute_classes(texts)
+    assert rows[0][1] * 4 < rows[0][0]
+    assert sum(pairs) <= 3
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_of_repeated_rows(documents, seed):
+    """Rows that are there twice, with their ids, change no class."""
+    texts = varied(seed, groups=6)
+    ids = [*range(len(texts))] * 2
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(documents(texts * 2, ids=ids)).collect()}
+    assert got == {(k, *v) for k, v in brute_classes(texts).items()}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

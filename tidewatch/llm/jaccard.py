@@ -5,11 +5,12 @@ more. Sets are written in one global order, seldom shingles first (by a fixed-si
 shingles that stand out in some part of the table, ties by hash). Linked sets must share one of
 their first n - ceil(0.8 n) + 1 shingles, so only those prefixes are indexed.
 
-1. Equal sets become one set, so copies cost one row each and are never paired.
+1. Equal sets become one set, so copies cost one row each and are never paired. Of the posting
+   lists that hold the same sets only the earliest stays: it holds the first shingle that any two share.
 2. Hub candidates: in each posting list every set is paired with a few hubs only.
-3. Verification: the candidates of a probe, in blocks, are stored in a prefix tree; the probe
-   walks it once, sharing partial overlaps along common beginnings and leaving subtrees whose
-   remaining length cannot reach the bound.
+3. Verification: pairs whose bitmaps show that they share too little go. The candidates left of a
+   probe, in blocks, are stored in a prefix tree; the probe walks it once, sharing partial overlaps
+   along common beginnings and leaving subtrees whose remaining length cannot reach the bound.
 4. Links give components. The posting lists that still hold several components are settled by a
    forest: a list's sets are dealt by their paths behind its shingle (the prefix and a few more),
    common beginnings are stored once, and every set walks the trees of the shorter ones. A subtree
@@ -56,7 +57,9 @@ REST = 512
 #: Slots of a walker's path; shingles of one slot pass for each other until verification.
 PLACES = 2048
 #: Steps of a walk that are held at once, about.
-STEPS = 1 << 20
+STEPS = 1 << 18
+#: Shingles of the paths in one forest, about; a cell stays whole.
+HELD = 1 << 19
 #: Members of one prefix tree.
 BLOCK = 128
 
@@ -88,6 +91,21 @@ def ordered(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return shingles[np.lexsort((shingles, weights[shingles & np.uint64(SLOTS - 1)]))]
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle, in four to eight times as many slots as there are shingles, a power of two."""
+    slots = np.zeros(1 << (int(shingles.size).bit_length() + 2), bool)
+    slots[(shingles >> np.uint64(20)) & np.uint64(slots.size - 1)] = True
+    return np.packbits(slots, bitorder="little").tobytes()
+
+
+def most_shared(a: int, left: np.ndarray, b: int, right: np.ndarray) -> int:
+    """Most shingles that sets of these sizes and bitmaps can share: a bit of one side only is a shingle of it alone."""
+    size = min(left.size, right.size)
+    left, right = (np.bitwise_or.reduce(x.reshape(-1, size)) if x.size > size else x for x in (left, right))
+    both = int(np.bitwise_count(left & right).sum())
+    return both + min(a - int(np.bitwise_count(left).sum()), b - int(np.bitwise_count(right).sum()))
+
+
 class PrefixTree:
     """Sets in global order, common beginnings stored once."""
 
@@ -174,12 +192,12 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_key (128 bits of the set; null for an empty one), path (prefix and MORE)."""
+    """doc_id, text_hash, n_shingles, set_key (128 bits of the set; null for an empty one), path (prefix and MORE), bitmap."""
 
     def run(batch: pa.RecordBatch) -> dict:
         import xxhash
 
-        out: dict = {k: [] for k in ("text_hash", "n_shingles", "set_key", "path")}
+        out: dict = {k: [] for k in ("text_hash", "n_shingles", "set_key", "path", "bitmap")}
         for text in byte_texts(batch.column("text")):
             shingles = shingle_set(text)
             # The same number as Spark's xxhash64 of the text.
@@ -187,20 +205,47 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
             out["n_shingles"].append(shingles.size)
             out["set_key"].append(xxhash.xxh3_128_digest(shingles.tobytes()) if shingles.size else None)
             out["path"].append(ordered(shingles, weights.value)[: prefix_length(shingles.size) + MORE].view(np.int64))
+            out["bitmap"].append(bitmap(shingles))
         return {"doc_id": batch.column("doc_id")} | out
 
-    return map_rows(texts(docs), run, "doc_id long, text_hash long, n_shingles long, set_key binary, path array<long>")
+    schema = "doc_id long, text_hash long, n_shingles long, set_key binary, path array<long>, bitmap binary"
+    return map_rows(texts(docs), run, schema)
 
 
-def verified(pairs: DataFrame, members: DataFrame, weights) -> DataFrame:
-    """(u, v) of the candidate pairs that link; ``members`` has node and text."""
+def _met(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``members`` (node and more) for each u and a block of its v: u's own, marked as probe, then theirs."""
     degree = pairs.groupBy("u").agg(F.count("*").alias("degree"))
     blocked = pairs.join(degree, "u").select(
         "u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("degree") / BLOCK)).alias("block")
     )
     probes = blocked.select("u", "block").distinct().select("u", "block", F.col("u").alias("node"), F.lit(True).alias("probe"))
     rows = probes.unionAll(blocked.select("u", "block", F.col("v").alias("node"), F.lit(False).alias("probe")))
-    rows = rows.join(members, "node").repartition("u", "block").sortWithinPartitions("u", "block", F.col("probe").desc())
+    return rows.join(members, "node").repartition("u", "block").sortWithinPartitions("u", "block", F.col("probe").desc())
+
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of the pairs whose bitmaps allow a link; none that links is lost. ``sets`` has node, n and bitmap."""
+    rows = _met(pairs, sets.select("node", "n", "bitmap"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, probe = None, None
+        for batch in batches:
+            out = []
+            columns = [batch.column(k).to_pylist() for k in ("u", "block", "node", "probe", "n", "bitmap")]
+            for u, block, node, is_probe, n, bits in zip(*columns, strict=True):
+                own = (n, np.frombuffer(bits, np.uint8))
+                if is_probe:
+                    group, probe = (u, block), own
+                elif (u, block) == group and 9 * most_shared(*probe, *own) >= 4 * (probe[0] + n):
+                    out.append((u, node))
+            yield _pairs(out)
+
+    return rows.select("u", "block", "node", "probe", "n", "bitmap").mapInArrow(run, "u long, v long")
+
+
+def verified(pairs: DataFrame, members: DataFrame, weights) -> DataFrame:
+    """(u, v) of the candidate pairs that link; ``members`` has node and text."""
+    rows = _met(pairs, members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, probe, tree = None, None, None
@@ -252,6 +297,24 @@ def _prefix_shared(a, b):
     )
 
 
+def distinct_lists(postings: DataFrame) -> DataFrame:
+    """The postings of the earliest of all lists that hold the same sets, with the number of these lists, ``times``.
+
+    The first shingle that two sets share stays: an earlier list of the same sets would be one they share.
+    Lists are told apart by their length and 128 bits of their sets.
+    """
+    lists = postings.groupBy("token").agg(
+        F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.min(F.struct("node", "place")).alias("least"),
+    )
+    # Equal lists have one smallest set, whose places tell which is the earliest.
+    first = F.min(F.struct("least.place", "token")).alias("first")
+    kept = lists.groupBy("size", "x", "y").agg(first, F.count("*").alias("times"))
+    return postings.join(kept.select("first.token", "times"), "token")
+
+
 def _placed(postings: DataFrame, grouped: DataFrame) -> DataFrame:
     """Postings with the component of their set and the list's size, of lists with several components."""
     own = postings.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -271,9 +334,9 @@ def hub_pairs(placed: DataFrame) -> DataFrame:
     own = [F.min(F.when(F.pmod("node", F.lit(HUBS)) == k, hub)).alias(f"h{k}") for k in range(HUBS)]
     hubs = placed.groupBy("token").agg(*own)
     hubs = hubs.select("token", F.array_compact(F.array(*(f"h{k}" for k in range(HUBS)))).alias("hubs"))
-    rows = placed.join(hubs, "token").select(F.explode("hubs").alias("hub"), "node", "n", "component")
-    rows = rows.where("hub.component <> component").select(F.col("hub.node").alias("u"), F.col("node").alias("v"), "n")
-    pairs = rows.groupBy("u", "v").agg(F.count("*").alias("shared"), F.first("n").alias("b"))
+    rows = placed.join(hubs, "token").select(F.explode("hubs").alias("hub"), "node", "n", "component", "times")
+    rows = rows.where("hub.component <> component").select(F.col("hub.node").alias("u"), F.col("node").alias("v"), "n", "times")
+    pairs = rows.groupBy("u", "v").agg(F.sum("times").alias("shared"), F.first("n").alias("b"))
     sizes = placed.groupBy(F.col("node").alias("u")).agg(F.first("n").alias("a"))
     fit = _sizes_fit(F.col("a"), F.col("b")) & (2 * F.col("shared") >= _prefix_shared(F.col("a"), F.col("b")))
     return pairs.join(sizes, "u").where(fit).select("u", "v")
@@ -308,10 +371,10 @@ def remaining_pairs(placed: DataFrame, sets: DataFrame) -> DataFrame:
             cells = _cells(held)
             start = int(np.searchsorted(cells, cells[-1]))
             if start:
-                yield _forest_pairs(held.slice(0, start), cells[:start])
+                yield from _forests(held.slice(0, start), cells[:start])
                 held = held.slice(start).combine_chunks()
         if held is not None:
-            yield _forest_pairs(held, _cells(held))
+            yield from _forests(held, _cells(held))
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
@@ -322,14 +385,25 @@ def _cells(rows: pa.Table) -> np.ndarray:
     return np.cumsum(np.any([np.diff(k, prepend=k[:1]) != 0 for k in keys], axis=0))
 
 
+def _forests(rows: pa.Table, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs of runs of cells that hold about HELD shingles each."""
+    last = np.flatnonzero(np.diff(cells, append=cells[-1] + 1))
+    ends = rows.column("rest").combine_chunks().offsets.to_numpy()
+    shingles = ends[last + 1].astype(np.int64) - ends[0]
+    start = 0
+    for end in last[np.flatnonzero(np.diff(shingles // HELD, append=-1))] + 1:
+        yield _forest_pairs(rows.slice(start, end - start), cells[start:end] - cells[start])
+        start = end
+
+
 def _forest_pairs(rows: pa.Table, cells: np.ndarray) -> pa.RecordBatch:
     rests = rows.column("rest").combine_chunks()
     ends = rests.offsets.to_numpy()
     columns = {k: rows.column(k).to_numpy() for k in ("node", "n", "component", "place", "unseen", "block")}
     whole = rows.column("low").to_numpy() == rows.column("high").to_numpy()
     forest = Forest(
-        cells=cells, whole=whole, start=ends[:-1].astype(np.int64), length=np.diff(ends).astype(np.int64),
-        tokens=rests.values.to_numpy().astype(np.int64), **columns,
+        cells=cells, whole=whole, start=(ends[:-1] - ends[0]).astype(np.int64), length=np.diff(ends).astype(np.int64),
+        tokens=rests.values[ends[0] : ends[-1]].to_numpy().astype(np.int64), **columns,
     )
     out = [forest.walk(probes) for probes in forest.shares()]
     low, high = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
@@ -454,48 +528,47 @@ def classes(docs: DataFrame) -> DataFrame:
 def numbered_classes(docs: DataFrame) -> DataFrame:
     """``classes`` with the number of each class, which ids do not decide; null for texts without words."""
     spark = docs.sparkSession
-    folders = [shared_folder(spark) for _ in range(5)]
+    folders = [shared_folder(spark) for _ in range(6)]
     weights = spark.sparkContext.broadcast(frequent(docs))
-    signed = stored(signatures(docs, weights), folders[0])
-    small = stored(signed.drop("prefix"), folders[1])
-    # One node per distinct set, numbered once and for all by being written.
+    # Rows and nodes are numbered once and for all by being written.
+    signed = stored(signatures(docs, weights).withColumn("at", F.monotonically_increasing_id()), folders[0])
+    small = stored(signed.drop("path", "bitmap", "at"), folders[1])
+    # One node per distinct set; one of its rows stands for it, of rows that are equal too.
     nodes = (
-        small.where("set_key IS NOT NULL")
+        signed.where("set_key IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"))
-        .select("set_key", "row.doc_id", "row.text_hash", "n", F.monotonically_increasing_id().alias("node"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "at")).alias("row"), F.first("n_shingles").alias("n"))
+        .select("set_key", "row.doc_id", "row.text_hash", "row.at", "n", F.monotonically_increasing_id().alias("node"))
     )
     nodes = stored(nodes, folders[2])
-    chosen = nodes.select("text_hash", F.col("doc_id").alias("own"), "node", "n")
     sets = stored(
-        signed.where("set_key IS NOT NULL")
-        .select("doc_id", "text_hash", "path")
-        .join(chosen, "text_hash")
-        .where(F.col("doc_id").eqNullSafe(F.col("own")))
-        .select("node", "n", "path"),
+        signed.where("set_key IS NOT NULL").select("at", "path", "bitmap").join(nodes.select("at", "node", "n"), "at").drop("at"),
         folders[3],
     )
     discard(spark, folders[0])
     prefix = F.slice("path", 1, (F.col("n") - F.ceil(4 * F.col("n") / 5) + 1).cast("int"))
     postings = sets.select("node", "n", F.posexplode(prefix).alias("place", "token"))
     # Lists of one set link nothing.
-    several = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    several = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     postings = stored(postings.join(several.select("token"), "token"), folders[4])
+    postings = stored(distinct_lists(postings), folders[5])
+    discard(spark, folders[4])
 
     grouped = spark.createDataFrame([], "node long, component long")
     # Hubs settle most of a group of near copies; the walks find every pair still between components.
     for round_of in ("hubs", "walks"):
         placed = _placed(postings, grouped)
-        used = [shared_folder(spark) for _ in range(2)]
+        used = [shared_folder(spark) for _ in range(3)]
         pairs = stored(hub_pairs(placed) if round_of == "hubs" else remaining_pairs(placed, sets), used[0])
-        links = stored(verified(pairs, _texts_of(pairs, nodes, docs), weights), used[1])
+        pairs = stored(likely(pairs, sets), used[1])
+        links = stored(verified(pairs, _texts_of(pairs, nodes, docs), weights), used[2])
         if not links.isEmpty():
             known = grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))
             grouped = stored(components(known.unionAll(links)))
         for folder in used:
             discard(spark, folder)
     discard(spark, folders[3])
-    discard(spark, folders[4])
+    discard(spark, folders[5])
     whole = nodes.join(grouped, "node", "left").select(
         "set_key", "doc_id", F.coalesce("component", "node").alias("component")
     )
