@@ -205,6 +205,15 @@ def test_jaccard_of_repeated_rows(documents, seed):
     assert got == {(k, *v) for k, v in brute_classes(texts).items()}
 
 
+def test_jaccard_with_small_forests(documents, monkeypatch):
+    """Each cell in a forest of its own."""
+    monkeypatch.setattr(jaccard, "HELD", 50)
+    monkeypatch.setattr(jaccard, "HUBS", 1)
+    texts = near_misses(5, 60)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(documents(texts)).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
