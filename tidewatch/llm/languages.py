@@ -7,9 +7,9 @@ its phrases, so the language whose parse needs the fewest phrases, normalised by
 wins.
 
 Texts are written in a small alphabet (the commonest letters of the samples, one symbol for all
-other letters, one for everything between words) so that the automaton is a dense table and
-many stretches of text step through it at once. A text is parsed in stretches of ``STRETCH``
-symbols that together cover all of it.
+other letters, one for everything between words) so that the symbols that lead on from a state
+are the bits of one word and many stretches of text step through the automaton at once. A text is
+parsed in stretches of ``STRETCH`` symbols that together cover all of it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 import unicodedata
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,30 +36,47 @@ STRETCH = 192
 LANES = 16384
 
 
+@dataclass
+class Automaton:
+    """Transitions without gaps: from a state by the symbols whose bits are set in ``held``, and the targets of
+    those, in the order of the symbols, from ``first`` on. Some 12 bytes for each state and 4 for each transition;
+    a dense table takes 4 for each state and symbol.
+    """
+
+    held: np.ndarray
+    first: np.ndarray
+    targets: np.ndarray
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Where each state goes by its symbol; -1 where nowhere."""
+        held, bit = self.held.take(states), np.uint64(1) << symbols.astype(np.uint64)
+        # Where the symbol is not held this may be one past the last target, so a spare one stands there.
+        to = self.targets.take(self.first.take(states) + np.bitwise_count(held & (bit - np.uint64(1))))
+        return np.where(held & bit, to, np.int32(-1))
+
+
+def automaton(states: int, width: int, places: np.ndarray, targets: np.ndarray) -> Automaton:
+    """Of transitions at places state * width + symbol; up to 64 symbols."""
+    if width > 64:
+        raise ValueError("a state's symbols must fit in 64 bits")
+    order = np.argsort(places)
+    state, symbol = np.divmod(places[order], width)
+    held = np.zeros(states, np.uint64)
+    np.bitwise_or.at(held, state, np.uint64(1) << symbol.astype(np.uint64))
+    first = np.searchsorted(state, np.arange(states)).astype(np.int32)
+    return Automaton(held, first, np.append(targets[order], -1).astype(np.int32))
+
+
 @dataclass
 class Model:
-    """symbols: code point to symbol (0: between words, 1: other letter); edges: by language the
-    transitions of the automaton, as states * width + symbol and targets.
+    """symbols: code point to symbol (0: between words, 1: other letter); automata: one for each language.
 
-    What is sent to the workers is the edges (a few bytes for each character of the sample); the dense
-    tables are laid out there, once for each worker.
+    A worker holds the automata as they are sent, a few bytes for each character of the sample.
     """
 
     languages: list[str]
     symbols: np.ndarray
-    edges: list[tuple[int, np.ndarray, np.ndarray]]
-
-    @cached_property
-    def tables(self) -> list[np.ndarray]:
-        out = []
-        for states, places, targets in self.edges:
-            table = np.full((states, 2 + LETTERS), -1, np.int32)
-            table.ravel()[places] = targets
-            out.append(table)
-        return out
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+    automata: list[Automaton]
 
 
 def suffix_automaton(text: np.ndarray, width: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -133,17 +149,23 @@ def fit(labelled: list[tuple[str, str]]) -> Model:
     common = common[counts[common] > 0]
     symbols[common] = np.arange(2, 2 + common.size)
     languages = sorted({language for language, _ in labelled})
-    edges = []
+    width, automata = 2 + LETTERS, []
     for language in languages:
         parts = [encoded(t, symbols) for k, t in sorted(labelled) if k == language]
-        edges.append(suffix_automaton(np.concatenate(parts), 2 + LETTERS))
-    return Model(languages, symbols, edges)
+        states, places, targets = suffix_automaton(np.concatenate(parts), width)
+        automata.append(automaton(states, width, places, targets))
+    return Model(languages, symbols, automata)
+
 
+def phrases(table: Automaton | np.ndarray, stretches: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Greedy phrases of each row of ``stretches``; the first ``lengths`` symbols count.
 
-def phrases(table: np.ndarray, stretches: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Greedy phrases of each row of ``stretches``; the first ``lengths`` symbols count."""
-    flat, width = table.ravel(), table.shape[1]
-    root = table[0]
+    The automaton may also come as a dense table, a row of targets for each state, -1 where there is none.
+    """
+    if isinstance(table, np.ndarray):
+        places = np.flatnonzero(table >= 0)
+        table = automaton(*table.shape, places, table.ravel()[places])
+    root = table.step(np.zeros(64, np.int32), np.arange(64))
     count = np.zeros(len(stretches), np.int64)
     state = np.zeros(len(stretches), np.int32)
     order = np.argsort(-lengths, kind="stable")
@@ -153,7 +175,7 @@ def phrases(table: np.ndarray, stretches: np.ndarray, lengths: np.ndarray) -> np
         if not n:
             break
         symbol = rows[:n, step]
-        to = flat[state[:n] * np.int64(width) + symbol]
+        to = table.step(state[:n], symbol)
         missed = to < 0
         fresh = root[symbol]
         # In the start state no phrase is open: at the beginning, and after a symbol that the sample lacks, which is one by itself.
@@ -180,7 +202,7 @@ def rates(model: Model, coded: list[np.ndarray]) -> np.ndarray:
         for row, x in zip(block, part, strict=True):
             row[: x.size] = x
         own, sizes = np.array(owners[at : at + LANES]), np.array(lengths[at : at + LANES])
-        for k, language in enumerate(model.tables):
+        for k, language in enumerate(model.automata):
             np.add.at(total[:, k], own, phrases(language, block, sizes))
     return total / np.maximum(1, [[x.size] for x in coded])
 
