@@ -220,6 +220,68 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
 
 
+def test_a_settled_forest_takes_no_round_and_a_chain_few(spark, monkeypatch):
+    """Every half round is a job of the driver."""
+    written, write = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda *args: written.append(1) or write(*args))
+
+    def run(edges):
+        written.clear()
+        found = components.components(spark.createDataFrame(edges, "u long, v long"))
+        return {r.node: r.component for r in found.collect()}, len(written)
+
+    assert run([]) == ({}, 1)
+    assert run([(k, 3) for k in range(4, 30)] + [(2, 2)]) == (dict.fromkeys(range(3, 30), 3), 1)
+    # Two components of one node number apart, an edge twice and a node with two smaller ones.
+    assert run([(5, 4), (5, 3), (4, 5), (9, 8)]) == ({3: 3, 4: 3, 5: 3, 8: 8, 9: 8}, 3)
+
+
+def test_components_equal_a_plain_search(spark):
+    draw = random.Random(11)
+    edges = [(draw.randrange(120), draw.randrange(120)) for _ in range(90)]
+    root = {k: k for e in edges for k in e}
+    while any(root[a] != root[b] for a, b in edges):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {k: v for k, v in root.items() if any(k in e for e in edges if e[0] != e[1])}
+    found = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(found) == len(want) and {r.node: r.component for r in found} == want
+
+
+def test_frequent_shingles_take_jobs_that_partitions_do_not_add_to(spark, documents):
+    """One job for each partition filled the driver; the weights are those of plain counts."""
+    draw = random.Random(3)
+    common = " ".join(f"c{k}" for k in range(25))
+    texts = [common + " " + " ".join(f"w{draw.randrange(10**6)}" for _ in range(20)) for _ in range(40)]
+    counts = np.zeros(jaccard.SLOTS, np.int64)
+    for text in texts:
+        counts[np.unique(jaccard.shingle_set(text.encode()) & np.uint64(jaccard.SLOTS - 1))] += 1
+    want = np.where(counts >= 8, [1 + int(n).bit_length() for n in counts], 0)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = jobs()
+        got = jaccard.frequent(documents(texts).coalesce(1))
+        assert jobs() - before <= 2
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert np.array_equal(got, want) and np.count_nonzero(got) >= 20
+
+
+def test_each_block_of_a_probe_meets_it_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    pairs = [(1, k) for k in range(10, 40)] + [(2, 10)]
+    members = spark.createDataFrame([(k, k + 100) for k in (1, 2, *range(10, 40))], "node long, n long")
+    rows = jaccard._met(spark.createDataFrame(pairs, "u long, v long"), members).collect()
+    assert sorted((r.u, r.node) for r in rows if not r.probe) == pairs
+    probes = [(r.u, r.block, r.n) for r in rows if r.probe]
+    assert sorted(probes) == [(1, k, 101) for k in range(8)] + [(2, 0, 102)]
+    assert {(r.u, r.block) for r in rows} == {x[:2] for x in probes}
+
+
 def brute_kept(rows):
     words = [(k, (t or "").split()) for k, t in rows]
     starts = {}

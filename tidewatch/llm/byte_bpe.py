@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import map_rows, texts
 
 #: Distinct pieces whose ids a worker keeps; when full, the store is emptied and fills again.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 200_000
 
 _loaded: dict[str, tuple] = {}
 

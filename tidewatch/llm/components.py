@@ -8,45 +8,56 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import discard, shared_folder, stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One half step: the neighbours of a node are hung on its smallest neighbour.
+def _least(edges: DataFrame) -> DataFrame:
+    """The smallest neighbour of each node that has a smaller one; a map-side aggregate."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
 
-    The smallest neighbour is a map-side aggregate and is joined back, so a node with very many
-    neighbours is never gathered anywhere.
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Hangs the larger neighbours of each node on its smallest neighbour, or on itself if it has no smaller one.
+
+    One row for each edge. The smallest neighbours are joined, so a node with very many neighbours is never
+    gathered anywhere; so they are in the small star.
     """
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if not large:
-        both = both.where("v < u")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        own = least.select("u", F.col("m").alias("v"))
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(own)
-    return out.where("u <> v").distinct()
+    joined = edges.join(_least(edges), F.col("v") == F.col("node"), "left")
+    return joined.select("u", F.coalesce("m", "v").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hangs each node and its smaller neighbours on the smallest of them."""
+    least = _least(edges)
+    joined = edges.join(least, F.col("u") == F.col("node")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return joined.unionAll(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each node hangs on one other, and nothing on a node that hangs."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionAll(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    found = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return found.where("hangs > 1 OR (hangs = 1 AND holds = 1)").agg(F.count("*").alias("n")).first().n == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge to another.
 
-    Alternates large and small stars until the edges stay the same; the number of rounds grows
-    with the logarithm of the longest chain. Each round is written to the shared folder, so a lost
-    executor costs one round at most. No edges give an empty table.
+    Alternates large and small stars until the edges are stars; the number of rounds grows
+    with the logarithm of the longest chain. Each half round is written to the shared folder, so a lost
+    executor costs one at most, and each is a small job. No edges give an empty table.
     """
     spark = edges.sparkSession
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    folder = shared_folder(spark)
-    now, mark, old = stored(now, folder), None, folder
-    while True:
-        folder = shared_folder(spark)
-        now = stored(_star(_star(now, True), False), folder)
-        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.hash("u", "v")).alias("s")).first()
-        discard(spark, old)
-        old = folder
-        if seen == mark:
-            break
-        mark = seen
-    nodes = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return nodes.unionAll(roots.join(nodes, "node", "left_anti"))
+    old = shared_folder(spark)
+    # The larger node of an edge comes first, here and after each star.
+    now = stored(now, old)
+    while not _settled(now):
+        for star in (_large_star, _small_star):
+            folder = shared_folder(spark)
+            now = stored(star(now), folder)
+            discard(spark, old)
+            old = folder
+    roots = now.select("v").distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+        roots.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    )

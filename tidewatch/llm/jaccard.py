@@ -185,9 +185,10 @@ def frequent(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    # One job, whatever the number of partitions; five bytes for each slot. The binary form of n is as long as its weight less one.
+    found = found.select(F.col("slot").cast("int"), (F.length(F.bin("n")) + 1).cast("byte").alias("weight")).toArrow()
     weights = np.zeros(SLOTS, np.uint8)
-    for row in found.toLocalIterator():
-        weights[row.slot] = 1 + int(row.n).bit_length()
+    weights[found.column("slot").to_numpy()] = found.column("weight").to_numpy()
     return weights
 
 
@@ -214,12 +215,13 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
 
 def _met(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Rows of ``members`` (node and more) for each u and a block of its v: u's own, marked as probe, then theirs."""
-    degree = pairs.groupBy("u").agg(F.count("*").alias("degree"))
-    blocked = pairs.join(degree, "u").select(
-        "u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("degree") / BLOCK)).alias("block")
+    blocks = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # A block may stay without any v; then its probe finds nothing.
+    probes = blocks.select(
+        "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("u").alias("node"), F.lit(True).alias("probe")
     )
-    probes = blocked.select("u", "block").distinct().select("u", "block", F.col("u").alias("node"), F.lit(True).alias("probe"))
-    rows = probes.unionAll(blocked.select("u", "block", F.col("v").alias("node"), F.lit(False).alias("probe")))
+    met = pairs.join(blocks, "u").select("u", F.pmod(F.xxhash64("v"), "blocks").alias("block"), F.col("v").alias("node"), F.lit(False).alias("probe"))
+    rows = probes.unionAll(met)
     return rows.join(members, "node").repartition("u", "block").sortWithinPartitions("u", "block", F.col("probe").desc())
 
 
@@ -315,9 +317,12 @@ def distinct_lists(postings: DataFrame) -> DataFrame:
     return postings.join(kept.select("first.token", "times"), "token")
 
 
-def _placed(postings: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Postings with the component of their set and the list's size, of lists with several components."""
-    own = postings.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _placed(postings: DataFrame, grouped: DataFrame | None) -> DataFrame:
+    """Postings with the component of their set (its own number while there are none) and the list's size, of
+    lists with several components."""
+    own = postings.withColumn("component", F.col("node"))
+    if grouped is not None:
+        own = postings.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lists = own.groupBy("token").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
     )
@@ -554,19 +559,23 @@ def numbered_classes(docs: DataFrame) -> DataFrame:
     postings = stored(distinct_lists(postings), folders[5])
     discard(spark, folders[4])
 
-    grouped = spark.createDataFrame([], "node long, component long")
+    grouped = None
     # Hubs settle most of a group of near copies; the walks find every pair still between components.
     for round_of in ("hubs", "walks"):
-        placed = _placed(postings, grouped)
-        used = [shared_folder(spark) for _ in range(3)]
-        pairs = stored(hub_pairs(placed) if round_of == "hubs" else remaining_pairs(placed, sets), used[0])
-        pairs = stored(likely(pairs, sets), used[1])
-        links = stored(verified(pairs, _texts_of(pairs, nodes, docs), weights), used[2])
+        used = [shared_folder(spark) for _ in range(4)]
+        # What several jobs or parts of one read is written before, so that each plan and its number of tasks stay small.
+        placed = stored(_placed(postings, grouped), used[0])
+        pairs = stored(hub_pairs(placed) if round_of == "hubs" else remaining_pairs(placed, sets), used[1])
+        pairs = stored(likely(pairs, sets), used[2])
+        links = stored(verified(pairs, _texts_of(pairs, nodes, docs), weights), used[3])
         if not links.isEmpty():
-            known = grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            grouped = stored(components(known.unionAll(links)))
+            if grouped is not None:
+                links = links.unionAll(grouped.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            grouped = stored(components(links))
         for folder in used:
             discard(spark, folder)
+    if grouped is None:
+        grouped = spark.createDataFrame([], "node long, component long")
     discard(spark, folders[3])
     discard(spark, folders[5])
     whole = nodes.join(grouped, "node", "left").select(
